@@ -313,7 +313,7 @@ def sql_parameter_concat(facts: CodeFacts) -> DataFrame:
     )
     own = facts.params.select("file", "func", F.col("name").alias("param")).distinct()
     built = joined.join(own, ["file", "func", "param"]).groupBy("file", "func", "name").agg(
-        F.array_join(F.sort_array(F.collect_set("param")), ", ").alias("params"))  # bounded by a signature
+        F.array_join(F.sort_array(F.collect_set("param")), ", ").alias("joined"))  # bounded by a signature
     runs = (
         facts.called.where((F.col("language") == "python") & F.col("last").isin("execute", "executemany")
                            & (F.size("args") == 1) & F.col("callee").contains("."))
@@ -324,7 +324,7 @@ def sql_parameter_concat(facts: CodeFacts) -> DataFrame:
         .withColumn("rule_id", F.lit("SEC004T")).withColumn("severity", F.lit("HIGH")).withColumn("sink_ord", F.lit(2000))
     )
     return _findings(hits, 5, F.concat(
-        F.lit("SQL injection - parameter(s) "), F.col("params"), F.lit(" concatenated into SQL string passed to execute()")))
+        F.lit("SQL injection - parameter(s) "), F.col("joined"), F.lit(" concatenated into SQL string passed to execute()")))
 
 
 def scan_flow(facts: CodeFacts) -> DataFrame:

@@ -40,14 +40,18 @@ def _matches(language: Column, line: Column, table: dict[str, str]) -> Column:
     return case
 
 
-def line_facts(lines: DataFrame) -> DataFrame:
+# PHP is left to the scope pass, which knows its sanitisers.
+DEFAULT_LANGUAGES = ("python", "javascript", "java", "go")
+
+
+def line_facts(lines: DataFrame, languages: tuple[str, ...] = DEFAULT_LANGUAGES) -> DataFrame:
     """Per line: assigned name, names mentioned, source flag, joining operator, sinks hit."""
     language, line = F.col("language"), F.col("line")
     sinks = F.array_compact(F.array(*[
         F.when((language == lang) & line.rlike("(?i)" + pattern), F.lit(f"{rule}|{sev}|{message}"))
-        for lang, rule, sev, pattern, message in WINDOW_SINKS]))
+        for lang, rule, sev, pattern, message in WINDOW_SINKS if lang in languages]))
     return (
-        lines.where(language.isin(*{s[0] for s in WINDOW_SINKS}))
+        lines.where(language.isin(*languages))
         .select(
             "file", "language", "line_no", "line", assigned_name(language, line).alias("lhs"),
             F.array_distinct(F.regexp_extract_all(line, F.lit(NAME), F.lit(0))).alias("names"),
@@ -90,9 +94,10 @@ def nearest_sources(tainted: DataFrame, uses: DataFrame, window: int = 25) -> Da
     An as-of join by one running maximum over the union of both sides: linear in the
     rows, no pairs of sources and uses.
     """
-    block = F.floor(F.col("line_no") / BLOCK)
+    size = max(BLOCK, 4 * window)
+    block = F.floor(F.col("line_no") / size)
     sources = tainted.withColumn(
-        "_block", F.explode(F.array_distinct(F.array(block, F.floor((F.col("line_no") + window) / BLOCK)))))
+        "_block", F.explode(F.array_distinct(F.array(block, F.floor((F.col("line_no") + window) / size)))))
     events = (
         sources.select("file", "name", "_block", "line_no", F.col("line_no").alias("_src"))
         .unionByName(uses.withColumn("_block", block), allowMissingColumns=True)
@@ -104,9 +109,9 @@ def nearest_sources(tainted: DataFrame, uses: DataFrame, window: int = 25) -> Da
     )
 
 
-def taint_window(lines: DataFrame, window: int = 25) -> DataFrame:
+def taint_window(lines: DataFrame, window: int = 25, languages: tuple[str, ...] = DEFAULT_LANGUAGES) -> DataFrame:
     """Findings of (file, language, line_no, line) rows; one per (line, rule)."""
-    facts = cut_lineage(line_facts(lines))  # read once per round
+    facts = cut_lineage(line_facts(lines, languages))  # read once per round
     tainted = tainted_names(facts)
     uses = (
         facts.where(F.size("sinks") > 0)
