@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -24,13 +26,12 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder the cluster names; executors may be lost at any time.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints.
 
     Only where ``spark.checkpoint.dir`` is unset and the master is local (tests) is a
     temporary folder taken.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,4 +40,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by the executors")
             folder = tempfile.mkdtemp(prefix="codescan-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def work_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder below the shared one, for a table or a stream's state."""
+    return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder; executors may be lost at any time."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_epoch(rows: DataFrame, path: str, epoch: int) -> None:
+    """Write a stream's batch as its own partition; a batch that runs again replaces it."""
+    rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
