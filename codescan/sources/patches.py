@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codescan.functions import text as tx
 
-FILE_LINE = r"^diff --git a/(.+) b/\1$"
+FILE_LINE = r"^diff --git a/(.+) b/\1(?:\n|$)"
 HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 
 
@@ -19,26 +19,19 @@ def recent_commits(patches: DataFrame, max_commits: int = 100, since: str | None
 def added_lines(patches: DataFrame, key: tuple[str, ...] = ("sha",)) -> DataFrame:
     """(key, file, line, text) of the lines a patch adds.
 
-    A patch is cut into hunks inside its row: each hunk knows its file and first line, and
-    an added line's number is the hunk start plus the added lines above it.  Numbering
-    restarts per hunk, so the window spans one hunk, never a whole commit.
+    A patch is cut at its file headers, those pieces at their hunk headers, and the added
+    lines of a hunk are numbered from its start.  All of it happens inside the patch's
+    row: no shuffle, however large a commit is.
     """
-    rows = (
-        patches.select(*key, F.posexplode(F.split("patch", tx.LINE_BREAK)).alias("pos", "raw"))
-        .where(F.col("raw").rlike(r"^(\+|@@ |diff --git )") & ~F.col("raw").startswith("+++"))
-        .withColumn("_file", F.when(F.col("raw").rlike(FILE_LINE), F.regexp_extract("raw", FILE_LINE, 1)))
-        .withColumn("_start", F.when(F.col("raw").rlike(HUNK), F.regexp_extract("raw", HUNK, 1).cast("int")))
-    )
-    upto = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = (
-        rows.withColumn("file", F.last("_file", ignorenulls=True).over(upto))
-        .withColumn("_from", F.last("_start", ignorenulls=True).over(upto))
-        .withColumn("_hunk", F.last(F.when(F.col("_start").isNotNull(), F.col("pos")), ignorenulls=True).over(upto))
-    )
-    # Header rows are dropped before numbering; a hunk's added lines are counted from its start.
-    within = Window.partitionBy(*key, "_hunk").orderBy("pos")
+    plain = F.regexp_replace("patch", tx.LINE_BREAK, "\n")
+    added = F.filter(F.split("_hunk", "\n"), lambda x: x.startswith("+") & ~x.startswith("+++"))
     return (
-        marked.where(F.col("raw").startswith("+"))
-        .withColumn("line", F.coalesce("_from", F.lit(1)) + F.row_number().over(within) - 1)
-        .select(*key, F.coalesce("file", F.lit("")).alias("file"), "line", F.substring("raw", 2, 1 << 30).alias("text"))
+        patches.select(*key, F.explode(F.split(plain, r"(?m)^(?=diff --git )")).alias("_piece"))
+        .select(*key, F.regexp_extract("_piece", FILE_LINE, 1).alias("file"),
+                F.explode(F.split("_piece", r"(?m)^(?=@@ )")).alias("_hunk"))
+        .where(F.col("_hunk").rlike(HUNK))
+        .select(*key, "file", F.regexp_extract("_hunk", HUNK, 1).cast("int").alias("_start"),
+                F.posexplode(added).alias("_i", "_raw"))
+        .select(*key, "file", (F.col("_start") + F.col("_i")).alias("line"),
+                F.substring("_raw", 2, 1 << 30).alias("text"))
     )
