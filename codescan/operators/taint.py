@@ -177,8 +177,7 @@ def reached_sinks(sinks: DataFrame, tainted: DataFrame, guarded: DataFrame) -> D
     """Sink rows whose argument mentions a tainted, unguarded name; with the label."""
     uses = (
         sinks.withColumn("name", F.explode_outer("uses")).where(F.col("name").isNotNull())
-        .join(guarded.withColumnRenamed("func", "scope").withColumnRenamed("name", "_g").select(
-            "file", F.col("scope").alias("func"), F.col("_g").alias("name")), ["file", "func", "name"], "left_anti")
+        .join(guarded, ["file", "func", "name"], "left_anti")
         .withColumn("scope", scope_of(F.col("name"), F.col("func"), F.col("class_name")))
     )
     return uses.join(tainted, ["file", "scope", "name"])
@@ -217,6 +216,7 @@ def tainted_functions(facts: CodeFacts, tainted: DataFrame) -> DataFrame:
     direct = rows.where("is_source").select(*key)
     via = (
         rows.withColumn("name", F.explode_outer("uses")).where(F.col("name").isNotNull())
+        .join(facts.guarded, ["file", "func", "name"], "left_anti")
         .withColumn("scope", scope_of(F.col("name"), F.col("func"), F.col("class_name")))
         .join(tainted.where(F.col("label") == WEB), ["file", "scope", "name"], "left_semi").select(*key)
     )
