@@ -35,10 +35,14 @@ def blank_block_comments(content: Column) -> Column:
 
 
 def blank_docstrings(content: Column) -> Column:
-    """Empty triple-quoted strings, keeping line numbers."""
+    """Empty triple-quoted strings, keeping line numbers.
+
+    Within a string the match goes on at the line start (``\\G``), which is tried before
+    the quotes, so that the next quotes close the string.
+    """
     for q in ('"""', "'''"):
         blanked = F.regexp_replace(
-            content, rf"(?:{q}|\G(?<=\n))(?:(?!{q})[^\n])*+(?:(\n)|{q}|\z)", "$1")
+            content, rf"(?:\G(?<=\n)|{q})(?:(?!{q})[^\n])*+(?:(\n)|{q}|\z)", "$1")
         content = F.when(content.contains(q), blanked).otherwise(content)
     return content
 

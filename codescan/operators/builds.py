@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codescan.operators.skew import salted_lookup
 from codescan.rules.languages import BUILD_STATUSES
 
 
@@ -54,7 +55,7 @@ def flatten_builds(reports: DataFrame) -> DataFrame:
 def assign_owner(reports: DataFrame, owners: DataFrame) -> DataFrame:
     """Owner by webhook secret; reports with an unknown secret are left out."""
     o = owners.select(F.col("id").alias("owner_id"), F.col("username").alias("owner_username"), "webhook_secret")
-    return reports.join(o, "webhook_secret").drop("webhook_secret")
+    return salted_lookup(reports, o, ["webhook_secret"]).drop("webhook_secret")
 
 
 def unowned(reports: DataFrame, owners: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def scope_builds(builds: DataFrame, role: str, user_id: int | None, branch: str
 
 def owner_enrich(builds: DataFrame, owners: DataFrame) -> DataFrame:
     names = owners.select(F.col("id").alias("owner_id"), F.col("username").alias("owner_username"))
-    return builds.join(names, "owner_id", "left")
+    return salted_lookup(builds, names, ["owner_id"], how="left")
 
 
 def build_summary(builds: DataFrame, now, *by: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codescan.functions.text import cvss_severity
+from codescan.operators.skew import salted_lookup
 
 CAP = 3
 
@@ -24,18 +25,6 @@ def first_advisories(advisories: DataFrame, keys: list[str], cap: int = CAP) ->
     )
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
-    """Inner join of many rows with a lookup that holds one row per key.
-
-    The lookup is repeated ``salts`` times and the left side spread at random over the
-    copies, so the rows of one popular key are shared by ``salts`` tasks.
-    """
-    # The salt is a hash of the row, not a random number: a recomputed task must agree.
-    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts))
-    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return left.withColumn("_salt", salt.cast("long")).join(spread, [*keys, "_salt"]).drop("_salt")
-
-
 def scan_dependencies(deps: DataFrame, advisories: DataFrame, compat: bool = False, salts: int = 16) -> DataFrame:
     """SCA001 findings; at most three advisories per dependency.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codescan.operators.skew import salted_lookup
+
 
 def normalise_path(path: Column, root: str = "corpus") -> Column:
     """Path from the first ``root`` component on, else the base name."""
@@ -27,7 +29,7 @@ def detected_cases(cases: DataFrame, findings: DataFrame, exact_only: bool = Fal
         return out.withColumn("found", F.coalesce("_exact", F.lit(False))).drop("_exact", "path")
     names = files.select(base_name(F.col("path")).alias("name")).distinct().withColumn("_named", F.lit(True))
     return (
-        out.withColumn("name", base_name(F.col("file"))).join(names, "name", "left")
+        salted_lookup(out.withColumn("name", base_name(F.col("file"))), names, ["name"], how="left")
         .withColumn("found", F.coalesce("_exact", "_named", F.lit(False))).drop("_exact", "_named", "path", "name")
     )
 

@@ -22,9 +22,10 @@ def explode_lines(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def all_lines(files: DataFrame, content: str = "content") -> DataFrame:
-    """Every physical line, blank ones included."""
+    """Every physical line, blank ones included; a line break at the end starts no line."""
     keep = [c for c in files.columns if c != content]
-    return (files.select(*keep, F.posexplode(F.split(content, tx.LINE_BREAK)).alias("line_no", "line"))
+    text = F.regexp_replace(content, rf"(?:{tx.LINE_BREAK})\z", "")
+    return (files.where(F.col(content) != "").select(*keep, F.posexplode(F.split(text, tx.LINE_BREAK)).alias("line_no", "line"))
             .withColumn("line_no", F.col("line_no") + 1))
 
 

@@ -22,6 +22,7 @@ LITERAL_RULES = ("SEC027", "SEC027B", "SEC038", "SEC039", "SEC037", "SEC042")
 
 _RULE = ("struct<ord:int,rule_id:string,severity:string,message:string,cwe:string,owasp:string,pattern:string,"
          "erase:string,skip:string,in_literals:boolean,needs:array<array<string>>>")
+_ENTRY = "struct<pattern:string,value:string,needs:array<array<string>>>"
 
 
 def _entry(r: Rule) -> dict:
@@ -63,6 +64,19 @@ def _hits(rules: Column, line: Column, low: Column, language: Column) -> Column:
     return F.filter(rules, hit)
 
 
+def matching_entries(entries: list[tuple[str, str, str]], language: Column, line: Column) -> Column:
+    """Values of the (language, pattern, value) entries that hit a line, in order."""
+    pack: dict[str, list[dict]] = {}
+    for name, pattern, value in entries:
+        pack.setdefault(name, []).append({"pattern": "(?i)" + pattern, "value": value, "needs": required_groups(pattern)})
+    own = F.coalesce(
+        F.element_at(F.from_json(F.lit(json.dumps(pack)), f"map<string,array<{_ENTRY}>>"), language),
+        F.array().cast(f"array<{_ENTRY}>"))
+    hits = F.flatten(F.transform(F.array(F.lower(line)), lambda low: F.filter(
+        own, lambda e: _possible(e["needs"], low) & F.regexp_like(line, e["pattern"]))))
+    return F.transform(hits, lambda e: e["value"])
+
+
 def match_rules(lines: DataFrame, rules: list[Rule] | None = None, confidence: str = "LOW",
                 engine_ord: int = 1) -> DataFrame:
     """Findings of (file, language, line_no, line) rows; one per line and rule entry."""

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from codescan.functions import text as tx
 from codescan.operators import facts as fa
-from codescan.operators.dependencies import salted_lookup
+from codescan.operators.skew import salted_lookup
 from codescan.rules.metadata import cwe_of, owasp_of
 from codescan.rules.taint_tables import (
     FLOW_SINKS, JS_REQUEST_PARAMS, PROPERTY_SINKS, REQUEST_NAMES, SQL_WORDS,
 )
-from codescan.session import cut_lineage
+from codescan.session import cut_lineage, work_folder
 
 WEB = "web"
 NODE = ["file", "scope", "name", "label"]
@@ -102,34 +102,35 @@ def parameter_seeds(facts: CodeFacts, languages=("python", "javascript")) -> Dat
 def propagate(seeds: DataFrame, edges: DataFrame, known: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
     """All nodes reachable from the seeds.
 
-    Each round joins only the newest nodes with the edges; the result is checkpointed so
-    the plan stays short and a lost executor costs one round.  Cycles end because known
-    nodes are removed before the next round.
+    Each round joins only the newest nodes with the edges and adds what is new as one
+    more part of a table in the shared folder: the plan stays short, and a lost executor
+    costs one round.  Cycles end because known nodes are removed before the next round.
     """
-    reached = [] if known is None else [known]
-    fresh = seeds if known is None else seeds.join(known, NODE, "left_anti")
-    fresh = cut_lineage(fresh.distinct())
-    for _ in range(max_rounds):
+    spark = seeds.sparkSession
+    table = work_folder(spark, "reached")
+    schema = seeds.select(*NODE).schema
+
+    def read(path: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(path).select(*NODE)
+
+    def so_far() -> DataFrame:
+        return read(table) if known is None else read(table).unionByName(known.select(*NODE))
+
+    step = seeds.select(*NODE).distinct()
+    if known is not None:
+        step = step.join(known, NODE, "left_anti")
+    for i in range(max_rounds):
+        part = f"{table}/round={i}"
+        step.write.parquet(part)
+        fresh = read(part)
         if fresh.isEmpty():
             break
-        reached.append(fresh)
-        so_far = reached[0]
-        for part in reached[1:]:
-            so_far = so_far.unionByName(part)
-        if len(reached) > 8:  # keep the union short
-            reached = [cut_lineage(so_far)]
-            so_far = reached[0]
         step = (
             fresh.join(edges, ["file", "scope", "name"])
             .select("file", F.col("to_scope").alias("scope"), F.col("to_name").alias("name"), "label").distinct()
+            .join(so_far(), NODE, "left_anti")
         )
-        fresh = cut_lineage(step.join(so_far, NODE, "left_anti"))
-    if not reached:
-        return fresh
-    out = reached[0]
-    for part in reached[1:]:
-        out = out.unionByName(part)
-    return out
+    return so_far()
 
 
 def sink_table(spark) -> DataFrame:
@@ -153,8 +154,8 @@ def sink_arguments(facts: CodeFacts) -> DataFrame:
     counted = F.when(F.col("policy") == "first", F.slice("args", 1, 1)).when(
         F.col("policy") == "rest", F.slice("args", F.lit(2), F.greatest(F.size("args"), F.lit(1)))).otherwise(F.col("args"))
     clean = lambda a: fa.without_sanitised(a, F.col("language"))
-    keep = ["file", "language", "line_no", "raw", "func", "func_name", "class_name", "rule_id", "severity", "message",
-            "sink_ord"]
+    keep = ["file", "language", "line_no", "raw", "func", "func_name", "parent", "class_name", "rule_id", "severity",
+            "message", "sink_ord"]
     calls = hits.select(*keep, F.array_join(F.transform(counted, clean), " , ").alias("_text"))
     # Writes to dangerous properties are sinks too.
     rule = F.create_map(*[F.lit(v) for kv in PROPERTY_SINKS.items() for v in kv])
@@ -243,9 +244,12 @@ def call_result_seeds(facts: CodeFacts, returning: DataFrame) -> DataFrame:
 def function_summaries(facts: CodeFacts, tainted: DataFrame, sinks: DataFrame) -> DataFrame:
     """Which sinks each parameter reaches: (language, file, func, func_name, class_name, line_no, idx, rule...)."""
     hits = reached_sinks(sinks, tainted.where(F.col("label") != WEB), facts.guarded)
+    owner = F.regexp_extract("label", r"^(.*)#\d+$", 1)
     return (
-        hits.select("file", "label", "rule_id", "severity", "message", "sink_ord").distinct()
-        .withColumn("func", F.regexp_extract("label", r"^(.*)#\d+$", 1))
+        # Sinks of the function itself or of one nested in it.
+        hits.where((F.col("func") == owner) | F.coalesce(F.col("parent") == owner, F.lit(False)))
+        .select("file", "label", "rule_id", "severity", "message", "sink_ord").distinct()
+        .withColumn("func", owner)
         .withColumn("idx", F.regexp_extract("label", r"#(\d+)$", 1).cast("int"))
         .join(facts.params.select("language", "file", "func", "func_name", "class_name", "line_no").distinct(), ["file", "func"])
         .where(F.col("func_name") != "").drop("label")
@@ -263,11 +267,9 @@ def summary_keys(summaries: DataFrame) -> DataFrame:
         F.when(F.col("class_name") != "", F.concat("class_name", F.lit("."), F.col("func_name")))))).otherwise(
         F.array(F.concat("file", F.lit(":"), F.col("func_name"))))
     each = summaries.withColumn("key", F.explode(keys))
-    owner = each.groupBy("key").agg(F.min(F.struct("file", "line_no")).alias("_o"))
-    return (
-        each.join(owner, "key")
-        .where((F.col("file") == F.col("_o.file")) & (F.col("line_no") == F.col("_o.line_no"))).drop("_o")
-    )
+    first = each.groupBy("key").agg(F.min(F.struct("file", "line_no")).alias("_o")).select("key", "_o.*")
+    # All three columns in the key: a name that many files define is spread over tasks.
+    return each.join(first, ["key", "file", "line_no"], "left_semi")
 
 
 def interprocedural(facts: CodeFacts, tainted: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -291,14 +293,13 @@ def interprocedural(facts: CodeFacts, tainted: DataFrame, summaries: DataFrame)
         "key", "idx", "rule_id", "severity", "message", "sink_ord", F.col("func_name").alias("summary_name"),
         F.col("file").alias("def_file"), F.col("line_no").alias("def_line"))
     prefix = F.when(F.col("language") == "python", F.lit("")).otherwise(F.concat("file", F.lit(":")))
-    known = s.select("key").distinct().withColumn("_known", F.lit(True))
+    known = s.select(F.col("key").alias("_full")).distinct().withColumn("_known", F.lit(True))
     keyed = (
-        args.withColumn("_full", F.concat(prefix, F.col("callee")))
-        .join(known, F.col("_full") == known["key"], "left").drop("key")
+        salted_lookup(args.withColumn("_full", F.concat(prefix, F.col("callee"))), known, ["_full"], how="left")
         .withColumn("key", F.when(F.col("_known"), F.col("_full")).otherwise(F.concat(prefix, F.col("last"))))
         .drop("_known", "_full")
     )
-    hits = keyed.join(s, ["key", "idx"]).where(F.col("summary_name") != F.col("caller"))
+    hits = salted_lookup(keyed, s, ["key", "idx"]).where(F.col("summary_name") != F.col("caller"))
     return _findings(hits, 6, F.concat(
         F.col("message"), F.lit(" - tainted arg passed to '"), F.col("summary_name"), F.lit("' (defined in "),
         F.substring_index("def_file", "/", -1), F.lit(", line "), F.col("def_line").cast("string"), F.lit(")")))

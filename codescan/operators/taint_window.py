@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codescan.functions import text as tx
+from codescan.operators.match import matching_entries
 from codescan.rules.metadata import cwe_of, owasp_of
 from codescan.session import cut_lineage
 from codescan.rules.taint_tables import WINDOW_SINKS, WINDOW_SOURCES
@@ -33,13 +34,6 @@ def assigned_name(language: Column, line: Column) -> Column:
         first(rf"^({NAME})\s*=(?:[^=>]|$)"))
 
 
-def _matches(language: Column, line: Column, table: dict[str, str]) -> Column:
-    case = F.lit(False)
-    for name, pattern in table.items():
-        case = F.when(language == name, line.rlike("(?i)" + pattern)).otherwise(case)
-    return case
-
-
 # PHP is left to the scope pass, which knows its sanitisers.
 DEFAULT_LANGUAGES = ("python", "javascript", "java", "go")
 
@@ -47,15 +41,17 @@ DEFAULT_LANGUAGES = ("python", "javascript", "java", "go")
 def line_facts(lines: DataFrame, languages: tuple[str, ...] = DEFAULT_LANGUAGES) -> DataFrame:
     """Per line: assigned name, names mentioned, source flag, joining operator, sinks hit."""
     language, line = F.col("language"), F.col("line")
-    sinks = F.array_compact(F.array(*[
-        F.when((language == lang) & line.rlike("(?i)" + pattern), F.lit(f"{rule}|{sev}|{message}"))
-        for lang, rule, sev, pattern, message in WINDOW_SINKS if lang in languages]))
+    sinks = matching_entries(
+        [(lang, pattern, f"{rule}|{sev}|{message}") for lang, rule, sev, pattern, message in WINDOW_SINKS
+         if lang in languages], language, line)
+    is_source = F.size(matching_entries(
+        [(lang, pattern, lang) for lang, pattern in WINDOW_SOURCES.items()], language, line)) > 0
     return (
         lines.where(language.isin(*languages))
         .select(
             "file", "language", "line_no", "line", assigned_name(language, line).alias("lhs"),
             F.array_distinct(F.regexp_extract_all(line, F.lit(NAME), F.lit(0))).alias("names"),
-            _matches(language, line, WINDOW_SOURCES).alias("is_source"),
+            is_source.alias("is_source"),
             line.rlike(r"[.+&]|concat|\|\|").alias("joins"), sinks.alias("sinks"))
         .where(F.col("lhs").isNotNull() | (F.size("sinks") > 0))
     )

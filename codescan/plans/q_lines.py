@@ -42,7 +42,8 @@ def lines_sql(files_sql: str, blank: bool = False) -> str:
     keep = "" if blank else f"WHERE trim(line, {BLANKS}) <> ''"
     return f"""
 files AS ({files_sql}),
-pieces AS (SELECT file, language, string_split_regex(content, {q(tx.LINE_BREAK)}) AS p FROM files),
+pieces AS (SELECT file, language, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS p FROM (
+  SELECT file, language, string_split_regex(content, {q(tx.LINE_BREAK)}) AS p FROM files)),
 every AS (SELECT file, language, unnest(range(1, len(p) + 1)) AS line_no, unnest(p) AS line FROM pieces),
 lines AS (SELECT * FROM every {keep})"""
 

@@ -43,15 +43,28 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def clear_work(spark: SparkSession) -> None:
+    """Delete everything this session wrote to its shared folder; call it after the last result is stored."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared one, for a table or a stream's state."""
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder; executors may be lost at any time."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table to the shared folder and read it back.
+
+    Executors may be lost at any time: what follows starts from files, not from lineage.
+    Unlike a checkpointed RDD the table has a known size, so later joins can broadcast it
+    when it is small.
+    """
+    path = work_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_epoch(rows: DataFrame, path: str, epoch: int) -> None:
