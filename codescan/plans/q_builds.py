@@ -9,6 +9,7 @@ from codescan.operators import report as rp
 from codescan.plans import tables as tb
 from codescan.plans.q_lines import SECRET_CTE, secret_rules
 from codescan.plans.tables import derive, duck
+from codescan.schemas import FINDING
 from codescan.session import work_folder
 from codescan.streaming import builds as sb
 from codescan.streaming import scan as ss
@@ -201,7 +202,7 @@ def stream_dedupe(spark, sf):
     sink = work_folder(spark, "unique")
     sb.dedupe(event_stream(spark, sf), sink, work_folder(spark, "conflicts"), work_folder(spark, "state"), once=True
               ).awaitTermination()
-    return spark.read.parquet(sink).select("build_id")
+    return spark.read.schema("build_id string").parquet(sink)
 
 
 def stream_ingest(spark, sf):
@@ -210,8 +211,8 @@ def stream_ingest(spark, sf):
     reports = spark.sql(RAW_SQL, events=rows).drop("event_id")
     good, bad = work_folder(spark, "good"), work_folder(spark, "bad")
     sb.ingest(reports, owners(spark, sf), good, bad, work_folder(spark, "state"), once=True).awaitTermination()
-    return spark.read.parquet(good).select(F.lit("").alias("reason")).unionByName(
-        spark.read.parquet(bad).select("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    return spark.read.schema("build_id string").parquet(good).select(F.lit("").alias("reason")).unionByName(
+        spark.read.schema("reason string").parquet(bad)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 STREAM_INGEST = f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN 'secret' || (user_id * 7) NOT IN (SELECT webhook_secret FROM ({OWNERS}))
@@ -225,7 +226,7 @@ def stream_scan(spark, sf):
     sink = work_folder(spark, "found")
     ss.scan_stream(spark.sql(tb.FILES_SQL, documents=rows), sink, work_folder(spark, "state"), rules=secret_rules(),
                    once=True).awaitTermination()
-    return spark.read.parquet(sink).select("file", "line", "rule_id", "code_snippet")
+    return spark.read.schema(FINDING).parquet(sink).select("file", "line", "rule_id", "code_snippet")
 
 
 QUERIES = {

@@ -12,9 +12,14 @@ from codescan.operators import evaluate, findings as fd, report as rp
 
 # --- baseline -------------------------------------------------------------------
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """Known fingerprints; a missing or unreadable baseline is empty."""
+    """Known fingerprints; a missing or unreadable baseline is empty.
+
+    Takes one indented document as well as the JSON lines of ``write_baseline``: a reader
+    of the other kind finds no or only the first record.
+    """
     try:
-        rows = spark.read.schema(schemas.BASELINE).option("multiLine", True).json(path)
+        reader = spark.read.schema(schemas.BASELINE)
+        rows = reader.json(path).unionByName(reader.option("multiLine", True).json(path))
         return rows.select(F.explode("fingerprints").alias("fingerprint")).distinct()
     except AnalysisException:
         return spark.createDataFrame([], "fingerprint string")
