@@ -202,7 +202,7 @@ def stream_dedupe(spark, sf):
     sink = work_folder(spark, "unique")
     sb.dedupe(event_stream(spark, sf), sink, work_folder(spark, "conflicts"), work_folder(spark, "state"), once=True
               ).awaitTermination()
-    return spark.read.schema("build_id string").parquet(sink)
+    return spark.read.schema("build_id string").parquet(sink).select("build_id")
 
 
 def stream_ingest(spark, sf):
@@ -212,7 +212,7 @@ def stream_ingest(spark, sf):
     good, bad = work_folder(spark, "good"), work_folder(spark, "bad")
     sb.ingest(reports, owners(spark, sf), good, bad, work_folder(spark, "state"), once=True).awaitTermination()
     return spark.read.schema("build_id string").parquet(good).select(F.lit("").alias("reason")).unionByName(
-        spark.read.schema("reason string").parquet(bad)).groupBy("reason").agg(F.count("*").alias("n"))
+        spark.read.schema("reason string").parquet(bad).select("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 STREAM_INGEST = f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN 'secret' || (user_id * 7) NOT IN (SELECT webhook_secret FROM ({OWNERS}))
