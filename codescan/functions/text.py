@@ -15,6 +15,16 @@ BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2
 QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|' r"'[^'\\]*+(?:\\.[^'\\]*+)*+'"
 
 
+def unix_breaks(content: Column) -> Column:
+    """All line ends as ``\\n``; texts that have no other kind are passed through."""
+    other = r"[\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+    return F.when(content.rlike(other), F.regexp_replace(content, LINE_BREAK, "\n")).otherwise(content)
+
+
+def line_array(content: Column) -> Column:
+    return F.split(unix_breaks(content), "\n")
+
+
 def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(BLANKS))
 

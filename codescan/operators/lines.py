@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codescan.functions import text as tx
+from codescan.operators.skew import last_above
 from codescan.rules import languages as lang
 
 BRACKETS = r"[\[\](){}]"
@@ -15,7 +16,7 @@ def explode_lines(files: DataFrame, content: str = "content") -> DataFrame:
     """One row per non-blank line: the other columns of ``files`` plus line_no, line."""
     keep = [c for c in files.columns if c != content]
     return (
-        files.select(*keep, F.posexplode(F.split(content, tx.LINE_BREAK)).alias("line_no", "line"))
+        files.select(*keep, F.posexplode(tx.line_array(F.col(content))).alias("line_no", "line"))
         .withColumn("line_no", F.col("line_no") + 1)
         .where(tx.strip(F.col("line")) != "")
     )
@@ -24,8 +25,8 @@ def explode_lines(files: DataFrame, content: str = "content") -> DataFrame:
 def all_lines(files: DataFrame, content: str = "content") -> DataFrame:
     """Every physical line, blank ones included; a line break at the end starts no line."""
     keep = [c for c in files.columns if c != content]
-    text = F.regexp_replace(content, rf"(?:{tx.LINE_BREAK})\z", "")
-    return (files.where(F.col(content) != "").select(*keep, F.posexplode(F.split(text, tx.LINE_BREAK)).alias("line_no", "line"))
+    text = F.regexp_replace(tx.unix_breaks(F.col(content)), r"\n\z", "")
+    return (files.where(F.col(content) != "").select(*keep, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
             .withColumn("line_no", F.col("line_no") + 1))
 
 
@@ -49,28 +50,35 @@ def drop_nosec(lines: DataFrame) -> DataFrame:
     return lines.where(~is_nosec(F.col("language"), F.col("line")))
 
 
+def code_text(content: Column, language: Column) -> Column:
+    """A file's text with block comments and docstrings blanked; line numbers stay."""
+    content = tx.unix_breaks(content)
+    return (
+        F.when(language.isin(*lang.BLOCK_COMMENT) & content.contains("/*"), tx.blank_block_comments(content))
+        .when(language == "python", tx.blank_docstrings(content)).otherwise(content)
+    )
+
+
 def drop_block_comments(files: DataFrame) -> DataFrame:
     """Blank the lines of block comments inside each file's text (no shuffle)."""
+    content = tx.unix_breaks(F.col("content"))
     has = F.col("language").isin(*lang.BLOCK_COMMENT) & F.col("content").contains("/*")
-    return files.withColumn(
-        "content", F.when(has, tx.blank_block_comments(F.col("content"))).otherwise(F.col("content")))
+    return files.withColumn("content", F.when(has, tx.blank_block_comments(content)).otherwise(F.col("content")))
 
 
-def drop_block_comment_lines(lines: DataFrame, key: list[str] | None = None) -> DataFrame:
+def drop_block_comment_lines(lines: DataFrame, key: tuple[str, ...] = ("file",), block: int = 10_000) -> DataFrame:
     """The same filter for a table that holds lines rather than files.
 
-    The state before a line is the last opening or closing event above it, so one
-    running ``last`` per file replaces the state machine.
+    The state before a line is the last opening or closing event above it, so a running
+    ``last`` replaces the state machine.
     """
-    key = key or ["file"]
     opens, closes = F.col("line").contains("/*"), F.col("line").contains("*/")
-    above = Window.partitionBy(*key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     blocky = F.col("language").isin(*lang.BLOCK_COMMENT)
     event = F.when(closes, F.lit("close")).when(opens, F.lit("open"))
     return (
-        lines.withColumn("_state", F.last(event, ignorenulls=True).over(above))
+        last_above(lines.withColumn("_event", event), key, "line_no", "_event", "_state", block)
         .where(~(blocky & ((F.coalesce("_state", F.lit("close")) == "open") | opens)))
-        .drop("_state")
+        .drop("_state", "_event")
     )
 
 

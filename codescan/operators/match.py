@@ -64,14 +64,24 @@ def _hits(rules: Column, line: Column, low: Column, language: Column) -> Column:
     return F.filter(rules, hit)
 
 
-def matching_entries(entries: list[tuple[str, str, str]], language: Column, line: Column) -> Column:
-    """Values of the (language, pattern, value) entries that hit a line, in order."""
+def rule_hits(line: Column, language: Column, rules: list[Rule] | None = None) -> Column:
+    """The rules that hit a line, as an array of rule structs."""
+    pack = rule_pack(line_rules() if rules is None else rules, language)
+    return F.flatten(F.transform(F.array(F.lower(line)), lambda low: _hits(pack, line, low, language)))
+
+
+def _entry_pack(entries: list[tuple[str, str, str]], language: Column) -> Column:
     pack: dict[str, list[dict]] = {}
     for name, pattern, value in entries:
         pack.setdefault(name, []).append({"pattern": "(?i)" + pattern, "value": value, "needs": required_groups(pattern)})
-    own = F.coalesce(
+    return F.coalesce(
         F.element_at(F.from_json(F.lit(json.dumps(pack)), f"map<string,array<{_ENTRY}>>"), language),
         F.array().cast(f"array<{_ENTRY}>"))
+
+
+def matching_entries(entries: list[tuple[str, str, str]], language: Column, line: Column) -> Column:
+    """Values of the (language, pattern, value) entries that hit a line, in order."""
+    own = _entry_pack(entries, language)
     hits = F.flatten(F.transform(F.array(F.lower(line)), lambda low: F.filter(
         own, lambda e: _possible(e["needs"], low) & F.regexp_like(line, e["pattern"]))))
     return F.transform(hits, lambda e: e["value"])
@@ -80,9 +90,8 @@ def matching_entries(entries: list[tuple[str, str, str]], language: Column, line
 def match_rules(lines: DataFrame, rules: list[Rule] | None = None, confidence: str = "LOW",
                 engine_ord: int = 1) -> DataFrame:
     """Findings of (file, language, line_no, line) rows; one per line and rule entry."""
-    pack = rule_pack(line_rules() if rules is None else rules, F.col("language"))
-    line, language = F.col("line"), F.col("language")
-    found = F.flatten(F.transform(F.array(F.lower(line)), lambda low: _hits(pack, line, low, language)))
+    line = F.col("line")
+    found = rule_hits(line, F.col("language"), rules)
     return (
         # explode_outer: for explode Catalyst infers a filter that evaluates the hits twice.
         lines.select("file", "language", "line_no", "line", F.explode_outer(found).alias("hit"))
@@ -102,11 +111,15 @@ def drop_clean_files(files: DataFrame, rules: list[Rule]) -> DataFrame:
         pack, lambda r: _possible(r["needs"], low))))
 
 
+def may_hold(entries: list[tuple[str, str, str]], language: Column, content: Column) -> Column:
+    """Whether a text holds the substrings some entry of its language requires."""
+    own = _entry_pack(entries, language)
+    return F.exists(F.array(F.lower(content)), lambda low: F.exists(own, lambda e: _possible(e["needs"], low)))
+
+
 def scan_lines(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """The line-rule pass over whole files: hygiene, explode, match.  No shuffle at all."""
-    clean = ln.drop_block_comments(files).withColumn(
-        "content", F.when(F.col("language") == "python", tx.blank_docstrings(F.col("content")))
-        .otherwise(F.col("content")))
+    clean = files.withColumn("content", ln.code_text(F.col("content"), F.col("language")))
     return match_rules(ln.drop_nosec(ln.drop_comment_lines(ln.explode_lines(clean))), rules)
 
 

@@ -22,6 +22,11 @@ def by_language(findings: DataFrame) -> DataFrame:
     return findings.groupBy("language").agg(F.count("*").alias("n"))
 
 
+def summary_rows(findings: DataFrame) -> DataFrame:
+    """Console summary: findings and rules per severity and language."""
+    return findings.groupBy("severity", "language").agg(F.count("*").alias("n"), F.countDistinct("rule_id").alias("rules"))
+
+
 def severity_share(findings: DataFrame) -> DataFrame:
     """Chart shares of high, medium and low among all findings."""
     t = severity_totals(findings)

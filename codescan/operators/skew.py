@@ -1,8 +1,8 @@
-"""Joins that stay even when one key holds a large part of the rows."""
+"""Joins and running values that stay even when one key holds a large part of the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,3 +16,24 @@ def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], salts: int
     salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts))
     spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     return left.withColumn("_salt", salt.cast("long")).join(spread, [*keys, "_salt"], how).drop("_salt")
+
+
+def last_above(rows: DataFrame, key: tuple[str, ...], order: str, value: str, out: str, block: int) -> DataFrame:
+    """Adds the last non-null value above each row of its key.
+
+    Rows are windowed per block of ``order`` numbers.  What a block inherits comes from a
+    summary of one row per block, so the rows of one huge key are spread over its blocks.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col(order) / block))
+    within = Window.partitionBy(*key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        rows.groupBy(*key, "_block")
+        .agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))
+        .withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).drop("_last")
+    )
+    return (
+        rows.withColumn("_own", F.last(value, ignorenulls=True).over(within))
+        .join(carried, [*key, "_block"])
+        .withColumn(out, F.coalesce("_own", "_carry")).drop("_own", "_carry", "_block")
+    )

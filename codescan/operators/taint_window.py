@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codescan.functions import text as tx
-from codescan.operators.match import matching_entries
+from codescan.operators.match import matching_entries, may_hold
 from codescan.rules.metadata import cwe_of, owasp_of
 from codescan.session import cut_lineage
 from codescan.rules.taint_tables import WINDOW_SINKS, WINDOW_SOURCES
@@ -38,6 +38,14 @@ def assigned_name(language: Column, line: Column) -> Column:
 DEFAULT_LANGUAGES = ("python", "javascript", "java", "go")
 
 
+def candidate_files(files: DataFrame, languages: tuple[str, ...] = DEFAULT_LANGUAGES) -> DataFrame:
+    """Files whose text may hold a source and a sink; the others are not split into lines."""
+    language, content = F.col("language"), F.col("content")
+    sources = [(lang, pattern, "") for lang, pattern in WINDOW_SOURCES.items()]
+    sinks = [(lang, pattern, "") for lang, _, _, pattern, _ in WINDOW_SINKS]
+    return files.where(language.isin(*languages) & may_hold(sources, language, content) & may_hold(sinks, language, content))
+
+
 def line_facts(lines: DataFrame, languages: tuple[str, ...] = DEFAULT_LANGUAGES) -> DataFrame:
     """Per line: assigned name, names mentioned, source flag, joining operator, sinks hit."""
     language, line = F.col("language"), F.col("line")

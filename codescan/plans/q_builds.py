@@ -146,12 +146,12 @@ UNION ALL SELECT 'admin', branch, status, count(*) FROM ({BUILDS}) WHERE contain
 
 
 def owner_enrich(spark, sf):
-    rows = bd.owner_enrich(builds(spark, sf), owners(spark, sf).where("id % 3 <> 0"))
+    rows = bd.owner_enrich(builds(spark, sf), owners(spark, sf).where("role = 'member'"))
     return rows.groupBy("owner_username").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("ms"))
 
 
 ENRICH = f"""SELECT o.username AS owner_username, count(*) AS n, CAST(sum(duration_ms) AS BIGINT) AS ms FROM ({BUILDS}) b
-LEFT JOIN (SELECT * FROM ({OWNERS}) WHERE id % 3 <> 0) o ON b.owner_id = o.id GROUP BY 1"""
+LEFT JOIN (SELECT * FROM ({OWNERS}) WHERE role = 'member') o ON b.owner_id = o.id GROUP BY 1"""
 
 
 def page_builds(spark, sf):

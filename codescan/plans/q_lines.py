@@ -131,9 +131,7 @@ def secret_rules():
 
 # --- secret scan: the flagship --------------------------------------------------
 def secret_findings(spark, sf):
-    files = documents(spark, sf)
-    return fd.dedupe_findings(fd.union_engines(
-        match.scan_lines(files, secret_rules()), secrets.scan_entropy(ln.explode_lines(files))))
+    return fd.dedupe_findings(secrets.scan_text(documents(spark, sf), secret_rules()))
 
 
 def secret_scan(spark, sf):
@@ -241,7 +239,7 @@ def nosec_filter(spark, sf):
 
 
 def block_comment_state(spark, sf):
-    return ln.drop_block_comment_lines(code_lines(spark, sf)).select("file", "language", "line_no")
+    return ln.drop_block_comment_lines(code_lines(spark, sf), block=tb.LINE_STEP).select("file", "language", "line_no")
 
 
 BLOCK_STATE = f"""

@@ -38,13 +38,12 @@ def severity_totals(spark, sf):
     return rp.severity_totals(f).withColumn("language", F.lit("all")).unionByName(rp.severity_totals(f, "language"))
 
 
-# Baseline: fingerprints of the findings in files with an even number.
-BASE = f"SELECT DISTINCT {PRINT} AS fingerprint FROM ({FOUND}) WHERE CAST(regexp_extract(file, 'f([0-9]+)', 1) AS INT) % 2 = 0"
+# Baseline: fingerprints of the MEDIUM findings; a HIGH one may share its fingerprint.
+BASE = f"SELECT DISTINCT {PRINT} AS fingerprint FROM ({FOUND}) WHERE severity = 'MEDIUM'"
 
 
 def baseline(spark, sf):
-    even = F.regexp_extract("file", "f([0-9]+)", 1).cast("int") % 2 == 0
-    return fd.fingerprints(found(spark, sf).where(even))
+    return fd.fingerprints(found(spark, sf).where("severity = 'MEDIUM'"))
 
 
 def baseline_suppress(spark, sf):
@@ -62,10 +61,10 @@ def finding_search(spark, sf):
 
 
 def order_findings(spark, sf):
-    """The first 500 findings of the display order."""
-    return (
-        found(spark, sf).orderBy(tx.severity_rank(F.col("severity")), "file", "line", "rule_id", "ord", "code_snippet")
-        .limit(500).select("severity", "file", "line", "rule_id", "ord", "code_snippet"))
+    """The third page of the findings in display order."""
+    order = [tx.severity_rank(F.col("severity")), "file", "line", "rule_id", "ord", "code_snippet"]
+    return rp.page(found(spark, sf), order, number=3, limit=100).select(
+        "severity", "file", "line", "rule_id", "ord", "code_snippet")
 
 
 def triage_queue(spark, sf):
@@ -235,12 +234,12 @@ def cases(spark, sf):
 
 
 def tool_hits(spark, sf):
-    """Findings of a tool that reports every third document, under another root."""
+    """Findings of a tool that reports long documents, under another root."""
     return derive(spark, sf, "SELECT concat('/srv/corpus/', source, '/', CAST(doc_id AS STRING)) AS file, 1 AS line "
-                             "FROM {documents} WHERE n_chars % 3 = 0", "documents")
+                             "FROM {documents} WHERE n_chars > 1500", "documents")
 
 
-HITS = "SELECT source || '/' || doc_id AS tail, CAST(doc_id AS VARCHAR) AS name FROM documents WHERE n_chars % 3 = 0"
+HITS = "SELECT source || '/' || doc_id AS tail, CAST(doc_id AS VARCHAR) AS name FROM documents WHERE n_chars > 1500"
 
 
 def detected(spark, sf):
@@ -352,6 +351,8 @@ QUERIES = {
     "severity_totals": (severity_totals, f"SELECT 'all' AS language, {TOTALS} FROM ({FOUND}) UNION ALL "
                                          f"SELECT language, {TOTALS} FROM ({FOUND}) GROUP BY language"),
     "by_language": (lambda s, d: rp.by_language(found(s, d)), f"SELECT language, count(*) AS n FROM ({FOUND}) GROUP BY language"),
+    "summary_rows": (lambda s, d: rp.summary_rows(found(s, d)),
+                     f"SELECT severity, language, count(*) AS n, count(DISTINCT rule_id) AS rules FROM ({FOUND}) GROUP BY ALL"),
     "severity_share": (lambda s, d: rp.severity_share(found(s, d)),
                        "SELECT count(*) AS total, " + ", ".join(
                            f"round(count(*) FILTER (severity = '{x.upper()}') / count(*), 6) AS {x}_share"
@@ -371,7 +372,7 @@ QUERIES = {
     "finding_search": (finding_search, f"SELECT file, line, rule_id, severity, message FROM ({FOUND}) WHERE severity = 'HIGH' "
                                        "AND language = 'python' AND contains(lower(message), 'message 7')"),
     "order_findings": (order_findings, "SELECT severity, file, line, rule_id, ord, code_snippet FROM "
-                                       f"({FOUND}) ORDER BY {SEV}, file, line, rule_id, ord, code_snippet LIMIT 500"),
+                                       f"({FOUND}) ORDER BY {SEV}, file, line, rule_id, ord, code_snippet LIMIT 100 OFFSET 200"),
     "filter_options": (lambda s, d: fd.filter_options(found(s, d)),
                        f"SELECT 'language' AS kind, language AS value FROM ({FOUND}) UNION SELECT 'rule_id', rule_id FROM ({FOUND})"),
     "triage_queue": (triage_queue, TRIAGE),

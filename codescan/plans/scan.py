@@ -9,7 +9,7 @@ from codescan.operators import findings as fd
 from codescan.operators import lines as ln
 from codescan.operators import secrets, structural, taint, taint_window
 from codescan.operators.dependencies import scan_dependencies
-from codescan.operators.match import scan_lines, scan_multiline
+from codescan.operators.match import scan_multiline
 from codescan.schemas import FINDING_COLUMNS
 from codescan.sources.corpus import scannable
 from codescan.sources.manifests import read_dependencies
@@ -17,11 +17,11 @@ from codescan.sources.manifests import read_dependencies
 
 def scan_files(files: DataFrame, rules=None, struct_rules=None, window: int = 25) -> DataFrame:
     """Findings of (file, language, content) rows, first per (file, line, rule) in engine order."""
-    lines = ln.explode_lines(files)
     facts = taint.extract(files)
+    windows = ln.explode_lines(taint_window.candidate_files(files))
     found = fd.union_engines(
-        scan_lines(files, rules), secrets.scan_entropy(lines), scan_multiline(files), secrets.scan_assert(lines),
-        taint.scan_flow(facts), taint_window.taint_window(lines, window), structural.scan_structural(facts, struct_rules))
+        secrets.scan_text(files, rules), scan_multiline(files), taint.scan_flow(facts),
+        taint_window.taint_window(windows, window), structural.scan_structural(facts, struct_rules))
     return fd.drop_unconfirmed(fd.dedupe_findings(found))
 
 

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from codescan.operators import findings as fd
-from codescan.operators import lines as ln
-from codescan.operators import match, secrets
+from codescan.operators import secrets
 from codescan.schemas import FINDING_COLUMNS
 from codescan.session import write_epoch
 
@@ -19,8 +18,7 @@ def scan_stream(files: DataFrame, sink: str, checkpoint: str, baseline: DataFram
     The scan itself keeps no state; each batch is de-duplicated within its files.
     """
     def batch(rows: DataFrame, epoch: int) -> None:
-        found = fd.dedupe_findings(fd.union_engines(
-            match.scan_lines(rows, rules), secrets.scan_entropy(ln.explode_lines(rows)))).select(*FINDING_COLUMNS)
+        found = fd.dedupe_findings(secrets.scan_text(rows, rules)).select(*FINDING_COLUMNS)
         if baseline is not None:
             found = fd.suppress_baseline(found, baseline)
         write_epoch(found, sink, epoch)
