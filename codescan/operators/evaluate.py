@@ -97,6 +97,12 @@ def gate(tool_findings: DataFrame, block_critical: bool = False) -> DataFrame:
     )
 
 
+def scan_gate(findings: DataFrame) -> DataFrame:
+    """Whether a scan fails by itself: any CRITICAL or HIGH finding."""
+    return findings.agg(F.count_if(F.col("severity").isin("CRITICAL", "HIGH")).alias("blocking")).withColumn(
+        "failed", F.col("blocking") > 0)
+
+
 def corpus_profile(cases: DataFrame) -> DataFrame:
     return cases.agg(
         F.count("*").alias("cases"), F.count_if("vulnerable").alias("vulnerable"),

@@ -20,7 +20,7 @@ from codescan.rules.metadata import cwe_of, owasp_of
 from codescan.rules.taint_tables import (
     FLOW_SINKS, JS_REQUEST_PARAMS, PROPERTY_SINKS, REQUEST_NAMES, SQL_WORDS,
 )
-from codescan.session import cut_lineage, work_folder
+from codescan.session import cut_lineage, work_folder, write_counted
 
 WEB = "web"
 NODE = ["file", "scope", "name", "label"]
@@ -37,7 +37,7 @@ class CodeFacts:
 
 
 def extract(files: DataFrame) -> CodeFacts:
-    """Facts of (file, language, content) rows; the scoped statements are kept on disk once."""
+    """Facts of (file, language, content) rows, one row per file; kept in the shared folder."""
     scoped = cut_lineage(fa.with_scopes(fa.statements(files)))
     assigned = cut_lineage(fa.assignments(scoped))
     called = cut_lineage(fa.calls(scoped))
@@ -121,34 +121,33 @@ def propagate(seeds: DataFrame, edges: DataFrame, known: DataFrame | None = None
         step = step.join(known, NODE, "left_anti")
     for i in range(max_rounds):
         part = f"{table}/round={i}"
-        step.write.parquet(part)
-        fresh = read(part)
-        if fresh.isEmpty():
+        if write_counted(step, part) == 0:
             break
         step = (
-            fresh.join(edges, ["file", "scope", "name"])
+            read(part).join(edges, ["file", "scope", "name"])
             .select("file", F.col("to_scope").alias("scope"), F.col("to_name").alias("name"), "label").distinct()
             .join(so_far(), NODE, "left_anti")
         )
     return so_far()
 
 
-def sink_table(spark) -> DataFrame:
+def sink_table(spark, extra: tuple = ()) -> DataFrame:
+    """The fixed sinks and any further rows of the same shape."""
     rows = [(lang, callee, rule, sev, policy, receiver, message, i)
-            for i, (lang, rule, sev, policy, receiver, callees, message) in enumerate(FLOW_SINKS)
+            for i, (lang, rule, sev, policy, receiver, callees, message) in enumerate([*FLOW_SINKS, *extra])
             for callee in callees.split()]
     return spark.createDataFrame(
         rows, "language string, last string, rule_id string, severity string, policy string, receiver_like string, "
               "message string, sink_ord int")
 
 
-def sink_arguments(facts: CodeFacts) -> DataFrame:
+def sink_arguments(facts: CodeFacts, extra: tuple = ()) -> DataFrame:
     """Arguments of sink calls that count for the sink: (…, rule_id, uses, is_source)."""
     spark = facts.called.sparkSession
     key = F.when(F.col("language") == "php", F.lower("last")).otherwise(F.col("last"))
     hits = (
         facts.called.withColumn("last", key)
-        .join(F.broadcast(sink_table(spark)), ["language", "last"])  # bounded: a fixed table of a few hundred names
+        .join(F.broadcast(sink_table(spark, extra)), ["language", "last"])  # bounded: a fixed table of a few hundred names
         .where((F.col("receiver_like") == "") | F.expr("receiver rlike concat('^(?:', receiver_like, ')$')"))
     )
     counted = F.when(F.col("policy") == "first", F.slice("args", 1, 1)).when(

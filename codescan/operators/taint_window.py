@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codescan.functions import text as tx
 from codescan.operators.match import matching_entries, may_hold
 from codescan.rules.metadata import cwe_of, owasp_of
-from codescan.session import cut_lineage
+from codescan.session import cut_lineage, work_folder, write_counted
 from codescan.rules.taint_tables import WINDOW_SINKS, WINDOW_SOURCES
 
 NAME = r"[A-Za-z_]\w*"
@@ -46,22 +46,27 @@ def candidate_files(files: DataFrame, languages: tuple[str, ...] = DEFAULT_LANGU
     return files.where(language.isin(*languages) & may_hold(sources, language, content) & may_hold(sinks, language, content))
 
 
-def line_facts(lines: DataFrame, languages: tuple[str, ...] = DEFAULT_LANGUAGES) -> DataFrame:
-    """Per line: assigned name, names mentioned, source flag, joining operator, sinks hit."""
+def line_facts(lines: DataFrame, languages: tuple[str, ...] = DEFAULT_LANGUAGES, extra_sinks: tuple = ()) -> DataFrame:
+    """Per line: assigned name, names mentioned, source flag, joining operator, sinks hit.
+
+    ``extra_sinks`` are further rows of the sink table (language, rule, severity, expression, message).
+    """
     language, line = F.col("language"), F.col("line")
     sinks = matching_entries(
-        [(lang, pattern, f"{rule}|{sev}|{message}") for lang, rule, sev, pattern, message in WINDOW_SINKS
-         if lang in languages], language, line)
+        [(lang, pattern, f"{rule}|{sev}|{message}") for lang, rule, sev, pattern, message in
+         [*WINDOW_SINKS, *extra_sinks] if lang in languages], language, line)
     is_source = F.size(matching_entries(
         [(lang, pattern, lang) for lang, pattern in WINDOW_SOURCES.items()], language, line)) > 0
+    fact = F.struct(
+        assigned_name(language, line).alias("lhs"),
+        F.array_distinct(F.regexp_extract_all(line, F.lit(NAME), F.lit(0))).alias("names"),
+        is_source.alias("is_source"), line.rlike(r"[.+&]|concat|\|\|").alias("joins"), sinks.alias("sinks"))
     return (
+        # The one-element array keeps the filter above the expressions, which run once.
         lines.where(language.isin(*languages))
-        .select(
-            "file", "language", "line_no", "line", assigned_name(language, line).alias("lhs"),
-            F.array_distinct(F.regexp_extract_all(line, F.lit(NAME), F.lit(0))).alias("names"),
-            is_source.alias("is_source"),
-            line.rlike(r"[.+&]|concat|\|\|").alias("joins"), sinks.alias("sinks"))
-        .where(F.col("lhs").isNotNull() | (F.size("sinks") > 0))
+        .select("file", "language", "line_no", "line", F.explode(F.array(fact)).alias("f"))
+        .where(F.col("f.lhs").isNotNull() | (F.size("f.sinks") > 0))
+        .select("file", "language", "line_no", "line", "f.*")
     )
 
 
@@ -79,17 +84,21 @@ def tainted_names(facts: DataFrame, rounds: int = 3) -> DataFrame:
         .join(tainted.select("file").distinct(), "file", "left_semi")
         .select("file", "lhs", "line_no", F.explode_outer("names").alias("name")).where(F.col("name").isNotNull())
     )
-    tainted = cut_lineage(tainted.distinct())
-    for _ in range(rounds):
+    spark = facts.sparkSession
+    table = work_folder(spark, "tainted")
+    schema = tainted.schema
+    fresh = tainted.distinct()
+    for i in range(rounds + 1):
+        if write_counted(fresh, f"{table}/round={i}") == 0:
+            break
+        tainted = spark.read.schema(schema).parquet(table).select(*schema.names)
         known = tainted.select(*keys).distinct()
-        fresh = cut_lineage(
+        fresh = (
             steps.join(known, keys, "left_semi")
             .select("file", F.col("lhs").alias("name"), "line_no").distinct()
-            .join(known, keys, "left_anti"))
-        if fresh.isEmpty():
-            break
-        tainted = tainted.unionByName(fresh)
-    return tainted
+            .join(known, keys, "left_anti")
+        )
+    return spark.read.schema(schema).parquet(table).select(*schema.names)
 
 
 def nearest_sources(tainted: DataFrame, uses: DataFrame, window: int = 25) -> DataFrame:
@@ -113,9 +122,10 @@ def nearest_sources(tainted: DataFrame, uses: DataFrame, window: int = 25) -> Da
     )
 
 
-def taint_window(lines: DataFrame, window: int = 25, languages: tuple[str, ...] = DEFAULT_LANGUAGES) -> DataFrame:
+def taint_window(lines: DataFrame, window: int = 25, languages: tuple[str, ...] = DEFAULT_LANGUAGES,
+                 extra_sinks: tuple = ()) -> DataFrame:
     """Findings of (file, language, line_no, line) rows; one per (line, rule)."""
-    facts = cut_lineage(line_facts(lines, languages))  # read once per round
+    facts = cut_lineage(line_facts(lines, languages, extra_sinks))  # read once per round
     tainted = tainted_names(facts)
     uses = (
         facts.where(F.size("sinks") > 0)

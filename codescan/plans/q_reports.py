@@ -403,6 +403,8 @@ QUERIES = {
                    "SELECT tool, " + ", ".join(f"count(*) FILTER (upper(severity) = '{x}') AS {x.lower()}"
                                                for x in ("HIGH", "MEDIUM", "LOW")) + f" FROM ({TOOLS}) GROUP BY tool"),
     "tool_compare": (tool_compare, COMPARE),
+    "scan_gate": (lambda s, d: ev.scan_gate(found(s, d)),
+                  f"SELECT count(*) AS blocking, count(*) > 0 AS failed FROM ({FOUND}) WHERE severity IN ('CRITICAL', 'HIGH')"),
     "gate": (lambda s, d: ev.gate(tools(s, d), block_critical=True),
              "SELECT high, critical, dependencies, high > 0 OR dependencies > 0 OR critical > 0 AS failed FROM (SELECT "
              "count(*) FILTER (tool IN ('bandit', 'codescan') AND upper(severity) = 'HIGH') AS high, "

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -67,6 +67,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_counted(df: DataFrame, path: str) -> int:
+    """Write a table and return its number of rows, counted on the way."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return seen.get["n"]
+
+
 def write_epoch(rows: DataFrame, path: str, epoch: int) -> None:
     """Write a stream's batch as its own partition; a batch that runs again replaces it."""
     rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option(

@@ -26,7 +26,7 @@ def read_corpus(spark: SparkSession, path: str, glob: str | None = None) -> Data
         reader = reader.option("pathGlobFilter", glob)
     name = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
     return reader.load(path).select(
-        name.alias("file"), F.expr("string(content)").alias("content"))
+        name.alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def base_name(path: Column) -> Column:
@@ -83,6 +83,9 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row per archive member; a member that leaves the archive is marked unsafe."""
     for batch in batches:
         for path, blob in zip(batch["path"], batch["content"]):
+            if not zipfile.is_zipfile(io.BytesIO(blob)):
+                yield pd.DataFrame({"archive": [path], "file": [""], "content": [""], "unsafe": [True]})
+                continue
             with zipfile.ZipFile(io.BytesIO(blob)) as z:
                 for info in z.infolist():
                     if info.is_dir():
@@ -96,7 +99,7 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def expand_archives(archives: DataFrame) -> DataFrame:
     """(archive, file, content) of zip archives given as (path, content binary).
 
-    An archive with an absolute or ``..`` entry is rejected as a whole.
+    An archive with an absolute or ``..`` entry, or one that is no zip, is rejected as a whole.
     """
     rows = archives.select("path", "content").mapInPandas(
         _entries, "archive string, file string, content string, unsafe boolean")

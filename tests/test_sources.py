@@ -84,6 +84,7 @@ def test_archives(spark, tmp_path):
         with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
             for m in members:
                 z.writestr(m, f"code {m}")
+    (tmp_path / "no.zip").write_text("no archive")
     zips = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
     got = corpus.expand_archives(zips)
     assert rows(got, "file", "content") == {("a.py", "code a.py"), ("d/b.py", "code d/b.py")}
