@@ -51,9 +51,13 @@ def scope_of(name: Column, func: Column, class_name: Column) -> Column:
     return F.when(field, F.concat(F.lit("class "), class_name)).otherwise(func)
 
 
-def flow_edges(facts: CodeFacts) -> DataFrame:
-    """(file, scope, name, to_scope, to_name): taint of the first reaches the second."""
-    a = facts.assigned
+def flow_edges(facts: CodeFacts, seeds: DataFrame) -> DataFrame:
+    """(file, scope, name, to_scope, to_name): taint of the first reaches the second.
+
+    Edges stay inside a file, so only files that hold a seed contribute.
+    """
+    files = seeds.select("file").distinct()
+    a, c = (rows.join(files, "file", "left_semi") for rows in (facts.assigned, facts.called))
     steps = (
         a.select("file", "func", "class_name", "target", F.explode_outer("uses").alias("name"))
         .where(F.col("name").isNotNull() & (F.col("name") != F.col("target")))
@@ -64,7 +68,7 @@ def flow_edges(facts: CodeFacts) -> DataFrame:
     # Nested functions see the names of the function around them.
     seen = (
         a.select("file", "parent", "func", F.explode_outer("uses").alias("name"))
-        .unionByName(facts.called.select(
+        .unionByName(c.select(
             "file", "parent", "func", F.explode_outer(F.flatten(F.transform("args", fa.names_in))).alias("name")))
         .where(F.col("parent").isNotNull() & (F.col("parent") != "") & F.col("name").isNotNull())
         .select("file", F.col("parent").alias("scope"), "name", F.col("func").alias("to_scope"),
@@ -92,9 +96,14 @@ def source_seeds(facts: CodeFacts) -> DataFrame:
     return assigned.unionByName(params).distinct().withColumn("label", F.lit(WEB))
 
 
-def parameter_seeds(facts: CodeFacts, languages=("python", "javascript")) -> DataFrame:
-    """Every parameter as a seed of its own label ``func#index``."""
-    return facts.params.where(F.col("language").isin(*languages)).select(
+def parameter_seeds(facts: CodeFacts, sinks: DataFrame, languages=("python", "javascript")) -> DataFrame:
+    """Parameters of functions with a sink inside, each a seed of its own label ``func#index``.
+
+    Other functions cannot have a summary, so most parameters of a corpus never enter.
+    """
+    owners = sinks.select("file", "func").unionByName(
+        sinks.where(F.col("parent") != "").select("file", F.col("parent").alias("func"))).distinct()
+    return facts.params.where(F.col("language").isin(*languages)).join(owners, ["file", "func"], "left_semi").select(
         "file", F.col("func").alias("scope"), "name",
         F.concat("func", F.lit("#"), F.col("idx").cast("string")).alias("label")).distinct()
 
@@ -327,13 +336,18 @@ def sql_parameter_concat(facts: CodeFacts) -> DataFrame:
         F.lit("SQL injection - parameter(s) "), F.col("joined"), F.lit(" concatenated into SQL string passed to execute()")))
 
 
+def spread_taint(facts: CodeFacts, sinks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes reached from sources and parameters, the same plus results of tainted functions)."""
+    seeds = cut_lineage(source_seeds(facts).unionByName(parameter_seeds(facts, sinks)))
+    first = propagate(seeds, cut_lineage(flow_edges(facts, seeds)))
+    results = cut_lineage(call_result_seeds(facts, tainted_functions(facts, first)))
+    return first, propagate(results, cut_lineage(flow_edges(facts, results)), known=first)
+
+
 def scan_flow(facts: CodeFacts) -> DataFrame:
     """Findings of the scope pass: direct, through functions, and SQL built from parameters."""
-    edges = cut_lineage(flow_edges(facts))
     sinks = cut_lineage(sink_arguments(facts))
-    first = propagate(source_seeds(facts).unionByName(parameter_seeds(facts)), edges)
-    returning = tainted_functions(facts, first)
-    tainted = propagate(call_result_seeds(facts, returning), edges, known=first)
+    _, tainted = spread_taint(facts, sinks)
     web = tainted.where(F.col("label") == WEB).select("file", "scope", "name")
     # Module-level Python code is left to the line-window pass.
     in_scope = (F.col("language") != "python") | (F.col("func") != "")

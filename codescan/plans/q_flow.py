@@ -212,8 +212,9 @@ GUARD = f"SELECT 'p' || p_partkey || '.src' AS file, 'path' AS name FROM part WH
 
 def _summaries(spark, sf):
     facts = tn.extract(code_files(spark, sf))
-    first = tn.propagate(tn.source_seeds(facts).unionByName(tn.parameter_seeds(facts)), cut_lineage(tn.flow_edges(facts)))
-    return facts, first, tn.function_summaries(facts, first, tn.sink_arguments(facts))
+    sinks = cut_lineage(tn.sink_arguments(facts))
+    first, _ = tn.spread_taint(facts, sinks)
+    return facts, first, tn.function_summaries(facts, first, sinks)
 
 
 def function_summaries(spark, sf):

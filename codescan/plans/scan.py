@@ -11,6 +11,7 @@ from codescan.operators import secrets, structural, taint, taint_window
 from codescan.operators.dependencies import scan_dependencies
 from codescan.operators.match import scan_multiline
 from codescan.schemas import FINDING_COLUMNS
+from codescan.session import cut_lineage
 from codescan.sources.corpus import scannable
 from codescan.sources.manifests import read_dependencies
 
@@ -39,7 +40,8 @@ def scan(corpus: DataFrame, advisories: DataFrame | None = None, added: DataFram
         found = found.unionByName(deps.select(*FINDING_COLUMNS))
     if added is not None:
         found = found.unionByName(secrets.scan_history(added).select(*FINDING_COLUMNS))
-    found = fd.min_confidence(found, least)
+    # Kept once: what follows reads findings, not the corpus.
+    found = cut_lineage(fd.min_confidence(found, least))
     if baseline is None:
         return found, found.sparkSession.range(1).select(F.lit(0).cast("long").alias("suppressed"))
     return fd.suppress_baseline(found, baseline), fd.count_suppressed(found, baseline)
