@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codescan.rules.languages import CONFIDENCE_ORDER, SEVERITY_ORDER
+
 # Line ends recognised by Python's str.splitlines.
 LINE_BREAK = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 # Characters removed by Python's str.strip.
@@ -64,18 +66,21 @@ def inside_literal(line: Column, position: Column) -> Column:
     return F.regexp_replace(before, QUOTED, "").rlike("[\"'#]") | at.isin('"', "'")
 
 
-def last_segment(name: Column, separator: str = ".") -> Column:
-    return F.substring_index(name, separator, -1)
+def _rank(value: Column, order: dict[str, int], default: int) -> Column:
+    out = F.lit(default)
+    for name, rank in order.items():
+        out = F.when(value == name, rank).otherwise(out)
+    return out
 
 
 def severity_rank(severity: Column) -> Column:
     """HIGH 0, MEDIUM 1, LOW 2, anything else 9."""
-    return (F.when(severity == "HIGH", 0).when(severity == "MEDIUM", 1).when(severity == "LOW", 2).otherwise(9))
+    return _rank(severity, SEVERITY_ORDER, 9)
 
 
 def confidence_rank(confidence: Column) -> Column:
     """LOW 0, MEDIUM 1, HIGH 2, unknown 0."""
-    return F.when(confidence == "HIGH", 2).when(confidence == "MEDIUM", 1).otherwise(0)
+    return _rank(confidence, CONFIDENCE_ORDER, 0)
 
 
 def cvss_severity(score_text: Column, compat: bool = False) -> Column:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codescan.functions import text as tx
+from codescan.schemas import PATCHES
 
 FILE_LINE = r"^diff --git a/(.+) b/\1(?:\n|$)"
 HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 
 
+def read_patches(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
+    """(sha, commit_ts, patch) rows, as JSON lines or parquet."""
+    return spark.read.schema(PATCHES).format(form).load(path)
+
+
 def recent_commits(patches: DataFrame, max_commits: int = 100, since: str | None = None) -> DataFrame:
     rows = patches.where(F.col("commit_ts") >= F.lit(since).cast("timestamp")) if since else patches
     return rows.orderBy(F.desc("commit_ts"), "sha").limit(max_commits)

@@ -14,7 +14,7 @@ from codescan.operators import evaluate as ev
 from codescan.operators import findings as fd
 from codescan.operators import report as rp
 from codescan.operators.skew import salted_lookup
-from codescan.sources import corpus, manifests, patches, reports
+from codescan.sources import advisories, corpus, manifests, patches, reports
 from tests.conftest import rows
 
 
@@ -36,17 +36,29 @@ def test_manifests(spark):
 
 
 def test_advisories(spark):
-    advisories = spark.createDataFrame(
+    table = spark.createDataFrame(
         [("npm", "a", v, i, f"{v}-{i}", "s", [("X", s)]) for v in ("1", "2") for i, s in enumerate(["9.0", "x", "4.0", "1.0", "8.0"])],
         "ecosystem string, name string, version string, seq int, id string, summary string, severity array<struct<type:string,score:string>>")
     deps = spark.createDataFrame([("f", 1, "npm", "a", "1"), ("g", 1, "npm", "a", ""), ("h", 1, "npm", "b", "1")],
                                  "file string, line int, ecosystem string, name string, version string")
-    got = dp.scan_dependencies(deps, advisories).collect()
+    got = dp.scan_dependencies(deps, table).collect()
     assert sorted((r.file, r.severity) for r in got) == [
         ("f", "HIGH"), ("f", "HIGH"), ("f", "MEDIUM"), ("g", "HIGH"), ("g", "HIGH"), ("g", "HIGH")]
     assert all(r.message.startswith("[SCA] npm package 'a'") for r in got)
 
 
+def test_advisory_and_patch_files(spark, tmp_path):
+    osv = {"id": "X-1", "summary": "s", "severity": [{"type": "CVSS_V3", "score": "8.1"}],
+           "affected": [{"package": {"ecosystem": "npm", "name": "a"}, "versions": ["1", "2"]}]}
+    (tmp_path / "osv.json").write_text(json.dumps(osv) + "\n")
+    rows_ = advisories.read_osv_dump(spark, str(tmp_path / "osv.json"))
+    assert rows(rows_, "ecosystem", "name", "version", "id") == {("npm", "a", "1", "X-1"), ("npm", "a", "2", "X-1")}
+    rows_.write.parquet(str(tmp_path / "table"))
+    assert advisories.read_advisories(spark, str(tmp_path / "table"), "parquet").count() == 2
+    (tmp_path / "p.json").write_text(json.dumps({"sha": "s", "commit_ts": "2024-01-01T00:00:00Z", "patch": "x"}))
+    assert patches.read_patches(spark, str(tmp_path / "p.json")).first().commit_ts.year == 2024
+
+
 def test_cvss(spark):
     df = spark.createDataFrame([("CVSS:3.1/AV:N/S:7.0",), ("CVSS:3.1/AV:N",), ("6.9",), ("3.9",), ("none",)], "s string")
     got = df.select(tx.cvss_severity(F.col("s")).alias("a"), tx.cvss_severity(F.col("s"), compat=True).alias("b")).collect()
