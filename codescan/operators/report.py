@@ -126,7 +126,7 @@ def sarif_document(findings: DataFrame) -> DataFrame:
     return frame.unionByName(separated(rules)).unionByName(separated(results.dropDuplicates(["key", "value"])))
 
 
-def lineage_delta(reports: DataFrame, bucket: str = "year") -> DataFrame:
+def lineage_delta(reports: DataFrame, bucket: str = "day") -> DataFrame:
     """Change in HIGH findings against the previous scan of the same root report.
 
     The lag runs per (root, time bucket); only the first scan of a bucket looks at the

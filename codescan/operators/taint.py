@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codescan.functions import text as tx
@@ -192,6 +192,24 @@ def reached_sinks(sinks: DataFrame, tainted: DataFrame, guarded: DataFrame) -> D
     return uses.join(tainted, ["file", "scope", "name"])
 
 
+def prior_assignment(facts: CodeFacts, uses: DataFrame) -> DataFrame:
+    """(file, func, name, line_no) uses with the kind of the last assignment above them.
+
+    The kind is ``sanitised`` when a sanitiser produced the value, ``source`` for untrusted
+    input, ``other`` otherwise, NULL without an assignment.  It tells a reader whether a
+    reported flow was cleaned on the way; findings themselves do not depend on it.
+    """
+    kind = (F.when(F.col("is_source"), "source")
+            .when((F.size("uses") == 0) & (F.col("clean") != F.col("rhs")) & (F.col("clean") != ""), "sanitised")
+            .otherwise("other"))
+    writes = facts.assigned.select("file", "func", F.col("target").alias("name"), "line_no", kind.alias("_kind"))
+    events = writes.unionByName(
+        uses.select("file", "func", "name", "line_no").distinct().withColumn("_use", F.lit(True)), allowMissingColumns=True)
+    above = Window.partitionBy("file", "func", "name").orderBy("line_no").rangeBetween(Window.unboundedPreceding, -1)
+    return (
+        events.withColumn("kind", F.last("_kind", ignorenulls=True).over(above)).where("_use").drop("_kind", "_use"))
+
+
 _SUFFIX = {"python": " (AST taint analysis)", "javascript": " (JS taint)"}
 
 

@@ -255,6 +255,17 @@ STATS = f"""SELECT sum(len(regexp_extract_all(content, 'def |function |=> [{{]|v
 FROM ({duck(CODE_FILES_SQL, 'part')})"""
 
 
+def prior_assignment(spark, sf):
+    """Sink arguments whose value a sanitiser produced."""
+    facts = tn.extract(code_files(spark, sf))
+    uses = tn.sink_arguments(facts).select("file", "func", "line_no", F.explode("uses").alias("name"))
+    return tn.prior_assignment(facts, uses).where("kind = 'sanitised'").select("file", F.col("line_no").alias("line"), "name")
+
+
+PRIOR = f"""SELECT 'p' || p_partkey || '.src' AS file, x.line, x.name FROM part JOIN (VALUES (3, 4, 'num'), (24, 3, 'id'),
+  (32, 2, '$name'), (32, 4, '$n'), (34, 4, 'n'), (36, 3, 'n')) x(i, line, name) ON p_partkey % {len(SAMPLES)} = x.i"""
+
+
 def sql_param_concat(spark, sf):
     return tn.sql_parameter_concat(tn.extract(code_files(spark, sf))).select("file", "line", "rule_id")
 
@@ -333,6 +344,7 @@ QUERIES = {
     "function_summary_labels": (function_summaries, SUMMARIES),
     "tainted_return": (tainted_return, RETURNS),
     "interprocedural_join": (interprocedural_join, INTER),
+    "prior_assignment": (prior_assignment, PRIOR),
     "sql_param_concat": (sql_param_concat, SQL_PARAM),
     "summary_stats": (summary_stats, STATS),
     "multiline_match": (multiline_match, MULTILINE),

@@ -69,7 +69,13 @@ def is_third_party(path: Column) -> Column:
 
 
 def scannable(files: DataFrame, exclude=lang.EXCLUDED_DIRS) -> DataFrame:
-    """Files to scan; path tests come first, so excluded contents are never decoded."""
+    """Files to scan; path tests come first, so excluded contents are never decoded.
+
+    A file is named once: in a corpus of several repositories the ``repo`` column leads
+    its path.
+    """
+    if "repo" in files.columns:
+        files = files.withColumn("file", F.concat_ws("/", "repo", "file")).drop("repo")
     kept = files.where(~in_excluded_dir(F.col("file"), exclude) & ~is_third_party(F.col("file")))
     return with_language(kept)
 

@@ -159,6 +159,11 @@ def test_language_detection(spark, tmp_path):
     assert corpus.read_corpus(spark, str(tmp_path / "a.PY")).count() == 1
 
 
+def test_repositories_are_kept_apart(spark):
+    df = spark.createDataFrame([("a", "x.py", "1"), ("b", "x.py", "2")], "repo string, file string, content string")
+    assert rows(corpus.scannable(df), "file", "content") == {("a/x.py", "1"), ("b/x.py", "2")}
+
+
 def test_excluded_and_third_party(spark):
     df = spark.createDataFrame([("a/node_modules/x.js",), ("a/x.egg-info/y.py",), ("lib/python/z.py",), ("app/lib.py",),
                                 ("a/jquery.min.js",), ("lib/jquery-ui.js",), ("src/jquery-ui.js",), ("ok.py",)], "file string")
