@@ -432,6 +432,28 @@ SELECT file, line_no, 'SEC003', 'LOW', language, 'Assert stripped with python -O
 SELECT {COLS} FROM (SELECT *, row_number() OVER (PARTITION BY file, line, rule_id ORDER BY engine_ord, ord, message) AS rn FROM found)
 WHERE rn = 1"""
 
+def scan_totals(spark, sf):
+    """The flagship: all line rules, secret literals and asserts over code lines and documents, per rule."""
+    lines = code_lines(spark, sf)
+    code = fd.dedupe_findings(fd.union_engines(
+        match.match_rules(ln.drop_nosec(ln.drop_comment_lines(lines))), secrets.scan_entropy(lines), secrets.scan_assert(lines)))
+    texts = fd.dedupe_findings(secrets.scan_text(documents(spark, sf)))
+    return (
+        code.unionByName(texts).groupBy("language", "rule_id", "severity")
+        .agg(F.count("*").alias("findings"), F.countDistinct("file").alias("files"))
+    )
+
+
+_DOC_SCAN = f"""WITH {lines_sql(DOC_FILES)},
+clean AS (SELECT * FROM lines WHERE NOT {comment_sql()} AND NOT {nosec_sql()}),
+found AS ({rules_sql('clean')} UNION ALL {entropy_sql('lines')} UNION ALL
+SELECT file, line_no, 'SEC003', 'LOW', language, '', '', '', '', '', 4, 0 FROM lines
+WHERE language = 'python' AND regexp_matches(line, '^\\s*assert\\b'))
+SELECT {COLS} FROM (SELECT *, row_number() OVER (PARTITION BY file, line, rule_id ORDER BY engine_ord, ord, message) AS rn FROM found)
+WHERE rn = 1"""
+SCAN_TOTALS = f"""SELECT language, rule_id, severity, count(*) AS findings, count(DISTINCT file) AS files
+FROM (({DEDUPE}) UNION ALL ({_DOC_SCAN})) GROUP BY ALL"""
+
 URLS_SQL = """
 SELECT page_id, CASE page_id % 6
   WHEN 0 THEN concat('https://github.com/o', CAST(page_id AS STRING), '/r.git') WHEN 1 THEN concat(' https://GitLab.com/a/b/tree/', CAST(page_id AS STRING))
@@ -457,6 +479,7 @@ FROM (SELECT page_id, host, owner, regexp_replace(repo, '[.]git$', '') AS repo,
             FROM ({duck(URLS_SQL, 'pages')})))"""
 
 QUERIES = {
+    "scan_totals": (scan_totals, SCAN_TOTALS),
     "secret_scan": (secret_scan, f"WITH {SECRET_CTE} SELECT language, rule_id, severity, count(*) AS findings, "
                                  "count(DISTINCT file) AS files FROM secret_found GROUP BY ALL"),
     "language_detect": (language_detect, LANGUAGE_DETECT),
