@@ -9,13 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescan.llm import simhash
+from codescan.llm import simhash, substring
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_substring(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the 50-word windows that an earlier one has."""
+    kept = substring.remove_repeats(_table(spark, sf, "documents"), window=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and group of every document; three-word shingles, links at two bits or fewer."""
     found = simhash.near_duplicates(_table(spark, sf, "documents"), shingle=3, distance=2)
@@ -23,5 +29,6 @@ def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring": (op1_substring, None),
     "op5_simhash": (op5_simhash, None),
 }

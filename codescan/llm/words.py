@@ -71,8 +71,8 @@ class Words:
         """(bytes, starts, ends): the kept words joined by one blank, each text followed by one."""
         start, end = (self.start, self.end) if keep is None else (self.start[keep], self.end[keep])
         mask = np.zeros(len(self.data) + 2, dtype=np.int8)
-        np.add.at(mask, start, 1)
-        np.add.at(mask, end, -1)
+        mask[start] += 1
+        mask[end] -= 1
         inside = np.cumsum(mask[:-2]).astype(bool)
         size = end - start + 1
         at = np.cumsum(size) - size
