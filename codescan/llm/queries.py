@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescan.llm import simhash, substring
+from codescan.llm import decontaminate, simhash, substring
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -28,7 +28,37 @@ def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of every document inside ten-word windows of benchmark items, and the items."""
+    found = decontaminate.hit_report(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), size=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_ALNUM_WORDS = ("coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+                "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])")
+
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_ALNUM_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_ALNUM_WORDS} AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2),
+             lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram
+      FROM (SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0)),
+p AS (SELECT rid, n, unnest(range(1, len(w) - n + 2)) AS i,
+             unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram
+      FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n),
+m AS (SELECT rid, i, n, item_id FROM p JOIN g USING (n, gram)),
+hit AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS k FROM m) GROUP BY rid),
+it AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s
+       FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
+"""
+
 QUERIES = {
     "op1_substring": (op1_substring, None),
     "op5_simhash": (op5_simhash, None),
+    "op6_decontaminate": (op6_decontaminate, OP6_SQL),
 }
