@@ -102,13 +102,12 @@ def _sets(windows: DataFrame, limit: int) -> Iterator[HashSet]:
 def _scan(rows: DataFrame, found: HashSet, text_col: str, seen: str) -> DataFrame:
     """Adds to the column ``seen`` of each row what this block of windows hits."""
     at_text, at_seen = rows.columns.index(text_col), rows.columns.index(seen)
-    shared = rows.sparkSession.sparkContext.broadcast(found)
     kind = pa.struct([("at", pa.list_(pa.int32())), ("upto", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text_col):
             known = block.column(at_seen).to_pylist()
-            for doc, at, upto, items in shared.value.hits(block.column(at_text)):
+            for doc, at, upto, items in found.hits(block.column(at_text)):
                 mine = known[doc] = known[doc] or {"at": [], "upto": [], "items": []}
                 if mine["upto"] and mine["at"][-1] <= at <= mine["upto"][-1] <= upto:
                     mine["upto"][-1] = upto  # goes on with the last run

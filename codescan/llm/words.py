@@ -1,6 +1,6 @@
 """Words of whole texts as numpy arrays, for functions that run on Arrow batches.
 
-A batch is cut into blocks of a few MB of text, so a task holds some ten times a block
+A batch is cut into blocks of a MB of text, so a task holds some hundred times a block
 beside the batch, however large the table is.  A null text is an empty one.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 U64 = np.uint64
 
 
