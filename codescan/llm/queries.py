@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescan.llm import decontaminate, simhash, substring
+from codescan.llm import decontaminate, licenses, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op1_substring(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity score of every document; labels of held-out rows are not learnt from."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and group of every document; three-word shingles, links at two bits or fewer."""
     found = simhash.near_duplicates(_table(spark, sf, "documents"), shingle=3, distance=2)
@@ -36,6 +44,14 @@ def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """Licence phrases, labels and permission of every document."""
+    found = licenses.scan(_table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+                        F.array_min("places").alias("first_word"), F.array_max("places").alias("last_word"),
+                        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 _ALNUM_WORDS = ("coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
                 "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])")
 
@@ -59,6 +75,8 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
 
 QUERIES = {
     "op1_substring": (op1_substring, None),
+    "op3_toxicity": (op3_toxicity, None),
     "op5_simhash": (op5_simhash, None),
     "op6_decontaminate": (op6_decontaminate, OP6_SQL),
+    "op10_licenses": (op10_licenses, None),
 }
