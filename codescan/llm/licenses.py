@@ -175,9 +175,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     """(doc_id, n_words, places, base_labels, labels, score) for each row.
 
     ``places`` are the word numbers where base phrases begin, ``labels`` the base labels and those
-    of notices and identifier tags.  ``score`` says how freely the text may be used: every tag and
-    every label found binds, so the least permission counts; a licence in a tag counts by its
-    expression.  No licence, a null or an empty text: 0.
+    of notices and identifier tags.  ``score`` says how freely the text may be used: all that is
+    found binds, so the least permission counts.  A tag counts by its expression and stands for
+    the notices beside it.  No licence, a null or an empty text: 0.
     """
     base, notices = BASE_PHRASES if base is None else base, NOTICE_PHRASES if notices is None else notices
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescan.llm import decontaminate, licenses, simhash, substring, toxicity
+from codescan.llm import decontaminate, licenses, simhash, substring, toxicity, urls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -44,6 +44,48 @@ def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    return urls.filter_urls(_table(spark, sf, "pages"), _table(spark, sf, "labels"))
+
+
+_SECOND_LEVEL = ", ".join(f"'{x}'" for x in urls.SECOND_LEVEL)
+
+
+def _strength_sql(level: str) -> str:
+    return f"""(SELECT CASE WHEN count(*) = 0 THEN 1.0 ELSE least(greatest(
+    avg(mean * (1 - mean)) / greatest(avg(power(k / n - mean, 2)) - avg(mean * (1 - mean) / n), 1e-6) - 1, 1.0), 1000.0) END
+    FROM {level} WHERE n > 0)"""
+
+
+OP9_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path FROM u),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+counted AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, regexp_replace(host, ':[0-9]*$', '') AS bare
+            FROM p LEFT JOIN lab ON doc_id = page_id GROUP BY host),
+named AS (SELECT host, n, k, string_split(bare, '.') AS w, array_to_string(string_split(bare, '.')[-2:], '.') AS two FROM counted),
+hosts AS (SELECT host, n, k, CASE WHEN two IN ({_SECOND_LEVEL}) THEN two ELSE w[-1] END AS suffix,
+                 CASE WHEN two IN ({_SECOND_LEVEL}) THEN array_to_string(w[-3:], '.') ELSE two END AS domain FROM named),
+doms AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
+sufs AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM hosts) AS mean FROM hosts GROUP BY suffix),
+suf AS (SELECT suffix, (k + s * mean) / (n + s) AS rate FROM sufs, (SELECT {_strength_sql('sufs')} AS s)),
+domm AS (SELECT doms.*, rate AS mean FROM doms JOIN suf USING (suffix)),
+dom AS (SELECT domain, (k + s * mean) / (n + s) AS rate FROM domm, (SELECT {_strength_sql('domm')} AS s)),
+hostm AS (SELECT hosts.*, rate AS mean FROM hosts JOIN dom USING (domain)),
+judged AS (SELECT host, (k + s * mean) / (n + s) AS rate, n + s AS total FROM hostm, (SELECT {_strength_sql('hostm')} AS s)),
+ruled AS (SELECT page_id, host, path, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (total + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled JOIN judged USING (host)
+"""
+
+
 def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
     """Licence phrases, labels and permission of every document."""
     found = licenses.scan(_table(spark, sf, "documents"))
@@ -78,5 +120,6 @@ QUERIES = {
     "op3_toxicity": (op3_toxicity, None),
     "op5_simhash": (op5_simhash, None),
     "op6_decontaminate": (op6_decontaminate, OP6_SQL),
+    "op9_urls": (op9_urls, OP9_SQL),
     "op10_licenses": (op10_licenses, None),
 }
