@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescan.llm import decontaminate, licenses, simhash, substring, toxicity, urls
+from codescan.llm import decontaminate, licenses, line_templates, simhash, substring, toxicity, urls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -44,6 +44,42 @@ def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the lines of templates that recur in ten documents or more."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    kept = line_templates.drop_repeated_lines(docs, counts=("n_lines", "n_dropped"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(text, chr(10)) AS w FROM documents),
+raw AS (SELECT rid, doc_id, unnest(w) AS line, unnest(range(len(w))) AS line_no FROM d),
+plain AS (SELECT rid, doc_id, line_no, line,
+                 trim(translate(line, chr(9) || chr(13) || chr(12) || chr(11), '    ')) AS p FROM raw),
+masked AS (SELECT rid, doc_id, line_no, line, regexp_replace(p, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM plain),
+t AS (SELECT *, len(m) - len(replace(m, ' ', '')) + 1 AS n, array_to_string(string_split(m, ' ')[1:3], ' ') AS lead FROM masked),
+deep AS (SELECT * FROM t WHERE n >= 3 AND doc_id IS NOT NULL),
+kinds AS (SELECT n, lead, m, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM deep GROUP BY n, lead, m),
+leaves AS (SELECT n, lead FROM deep GROUP BY n, lead HAVING count(DISTINCT doc_id) >= 10),
+tok AS (SELECT n, lead, m, docs, first, unnest(string_split(m, ' ')) AS token, unnest(range(n)) AS place FROM kinds SEMI JOIN leaves USING (n, lead)),
+con AS (SELECT n, lead, place, token FROM tok WHERE token <> '<*>' GROUP BY ALL HAVING sum(docs) >= 10),
+shaped AS (SELECT tok.n, tok.lead, m, docs, first, count(con.token) AS constants,
+                  list(CASE WHEN con.token IS NULL THEN NULL ELSE tok.token END ORDER BY tok.place) AS template
+           FROM tok LEFT JOIN con ON con.n = tok.n AND con.lead = tok.lead AND con.place = tok.place AND con.token = tok.token
+           GROUP BY tok.n, tok.lead, m, docs, first),
+good AS (SELECT * FROM shaped WHERE constants >= n * 0.6),
+recur AS (SELECT n, lead, template, min(first) AS f FROM good GROUP BY n, lead, template HAVING sum(docs) >= 10),
+marked AS (SELECT m, min(f) AS f FROM (SELECT m, f FROM good JOIN recur USING (n, lead, template)
+                                       UNION ALL SELECT m, first FROM kinds WHERE docs >= 10) GROUP BY m),
+kept AS (SELECT rid, count(*) FILTER (n >= 3 AND f < doc_id) AS n_dropped,
+                string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT coalesce(n >= 3 AND f < doc_id, false)) AS kept
+         FROM t LEFT JOIN marked USING (m) GROUP BY rid)
+SELECT doc_id, coalesce(len(w), 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
+       CASE WHEN w IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
+
 def op9_urls(spark: SparkSession, sf: str) -> DataFrame:
     """Rule and verdict of every page's url."""
     return urls.filter_urls(_table(spark, sf, "pages"), _table(spark, sf, "labels"))
@@ -120,6 +156,7 @@ QUERIES = {
     "op3_toxicity": (op3_toxicity, None),
     "op5_simhash": (op5_simhash, None),
     "op6_decontaminate": (op6_decontaminate, OP6_SQL),
+    "op8_lines": (op8_lines, OP8_SQL),
     "op9_urls": (op9_urls, OP9_SQL),
     "op10_licenses": (op10_licenses, None),
 }
