@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescan.llm import decontaminate, licenses, line_templates, simhash, substring, toxicity, urls
+from codescan.llm import decontaminate, licenses, line_templates, packing, quality, simhash, substring, toxicity, urls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op1_substring(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Importance weight of every document, and which half is sampled."""
+    return quality.resample(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Toxicity score of every document; labels of held-out rows are not learnt from."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
@@ -30,6 +35,11 @@ def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
                          (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Bucket, batch and slot of every sequence of the documents."""
+    return packing.pack(_table(spark, sf, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and group of every document; three-word shingles, links at two bits or fewer."""
     found = simhash.near_duplicates(_table(spark, sf, "documents"), shingle=3, distance=2)
@@ -153,7 +163,9 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
 
 QUERIES = {
     "op1_substring": (op1_substring, None),
+    "op2_quality": (op2_quality, None),
     "op3_toxicity": (op3_toxicity, None),
+    "op4_packing": (op4_packing, None),
     "op5_simhash": (op5_simhash, None),
     "op6_decontaminate": (op6_decontaminate, OP6_SQL),
     "op8_lines": (op8_lines, OP8_SQL),
