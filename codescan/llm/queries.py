@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescan.llm import decontaminate, licenses, line_templates, packing, quality, simhash, substring, toxicity, urls
+from codescan.llm import decontaminate, digests, licenses, line_templates, packing, quality, simhash, substring, toxicity, urls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return digests.edit_with_next(_table(spark, sf, "documents"))
+
+
 def op8_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Every document without the lines of templates that recur in ten documents or more."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
@@ -168,6 +173,7 @@ QUERIES = {
     "op4_packing": (op4_packing, None),
     "op5_simhash": (op5_simhash, None),
     "op6_decontaminate": (op6_decontaminate, OP6_SQL),
+    "op7_digests": (op7_digests, None),
     "op8_lines": (op8_lines, OP8_SQL),
     "op9_urls": (op9_urls, OP9_SQL),
     "op10_licenses": (op10_licenses, None),
