@@ -32,9 +32,17 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _masked(line: Column) -> Column:
-    """A line without outer blanks, tokens with a digit replaced."""
-    plain = F.trim(F.translate(line, _BLANKS, "    "))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(plain)
+    """A line without outer blanks, tokens with a digit replaced.
+
+    Most lines have neither other blanks nor digits; plain searches find that out at less cost
+    than a translation or a pattern.
+    """
+    for blank in _BLANKS:
+        line = F.replace(line, F.lit(blank), F.lit(" "))
+    plain, digit = F.trim(line), F.lit(False)
+    for d in "0123456789":
+        digit = digit | line.contains(d)
+    return F.when(digit, F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(plain)
 
 
 def _tokens(line: Column) -> Column:
@@ -49,9 +57,10 @@ def parse_lines(base: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, key, line_no, leaf, h1, h2): the lines that are deep enough for the tree, by hashes."""
     lines = base.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.select("doc_id", "key", "line_no", _masked(F.col("line")).alias("line"))
-    lines = lines.where(_tokens(F.col("line")) >= depth)
-    return lines.select("doc_id", "key", "line_no", _leaf(F.col("line"), depth).alias("leaf"),
-                        F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    lines = lines.select("doc_id", "key", "line_no", _tokens(F.col("line")).alias("n"), _leaf(F.col("line"), depth).alias("leaf"),
+                         F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    # Written before it is filtered: a filter would be pushed down and mask every line once more.
+    return cut_lineage(lines).where(F.col("n") >= depth).drop("n")
 
 
 def line_templates(base: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS,
@@ -95,7 +104,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more columns: lines of the text and lines dropped.
     """
     base = _base(docs, id_col, text_col)
-    lines = cut_lineage(parse_lines(base, depth))
+    lines = parse_lines(base, depth)
     marked = cut_lineage(line_templates(base, lines, min_docs, min_constant))
     hits = lines.join(marked, ["h1", "h2"])
     if keep_first:
