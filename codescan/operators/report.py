@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codescan.functions import text as tx
 from codescan.rules.languages import SARIF_LEVEL
 from codescan.rules.metadata import HELP_BY_CWE
+from codescan.session import cut_lineage
 
 
 def severity_totals(findings: DataFrame, *by: str) -> DataFrame:
@@ -99,7 +100,7 @@ def sarif_document(findings: DataFrame) -> DataFrame:
     Written with ``orderBy('section', 'key')`` the part files concatenate to one valid
     document, so no task ever holds all results.
     """
-    spark = findings.sparkSession
+    spark, findings = findings.sparkSession, cut_lineage(findings)
     head = ('{"$schema":"https://schemastore.azurewebsites.net/schemas/json/sarif-2.1.0-rtm.5.json","version":"2.1.0",'
             '"runs":[{"tool":{"driver":{"name":"codescan","version":"1.0.0","rules":[')
     rules = sarif_rules(findings).select(
@@ -114,16 +115,16 @@ def sarif_document(findings: DataFrame) -> DataFrame:
         F.col("json").alias("value"))
 
     def separated(rows: DataFrame) -> DataFrame:
-        # A comma leads every element but the first; the first key is one aggregated value.
+        # A comma leads every element but the first.  The first element and those equal to it become one row.
         least = rows.agg(F.min(F.struct("key", "value")).alias("least"))
-        first = least.select("least.key").scalar(), least.select("least.value").scalar()
-        return rows.withColumn("value", F.when(
-            (F.col("key") == first[0]) & (F.col("value") == first[1]), F.col("value"))
-            .otherwise(F.concat(F.lit(","), F.col("value"))))
+        first = (F.col("key") == least.select("least.key").scalar()) & (F.col("value") == least.select("least.value").scalar())
+        head = rows.where(first).groupBy("section", "key", "value").count().select(
+            "section", "key", F.expr("concat(value, repeat(concat(',', value), int(count) - 1))").alias("value"))
+        return head.unionByName(rows.where(~first).withColumn("value", F.concat(F.lit(","), F.col("value"))))
 
     frame = spark.createDataFrame(
         [(0, "", head), (2, "", ']}},"results":['), (4, "", "]}]}")], "section int, key string, value string")
-    return frame.unionByName(separated(rules)).unionByName(separated(results.dropDuplicates(["key", "value"])))
+    return frame.unionByName(separated(rules)).unionByName(separated(results))
 
 
 def lineage_delta(reports: DataFrame, bucket: str = "day") -> DataFrame:

@@ -9,10 +9,10 @@ from codescan.functions import text as tx
 from codescan.functions.entropy import contains_secret_prefix, secret_likeness, shannon_entropy, string_literals
 from codescan.operators import lines as ln
 from codescan.operators.match import rule_hits
+from codescan.rules.metadata import title_of
 
-ENTROPY_MESSAGE = (
-    "High-entropy string literal (entropy=%.2f bits/char) - possible hardcoded API key, token, or credential")
-ASSERT_MESSAGE = "Assert stripped with python -O - do not use for security checks"
+ENTROPY_MESSAGE = f"{title_of('CWE-798')}: literal with entropy=%.2f bits per character"
+ASSERT_MESSAGE = title_of("CWE-617")
 
 
 def secret_literals(lines: DataFrame, text: str = "line") -> DataFrame:

@@ -8,6 +8,7 @@ every function parameter are computed together.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +19,7 @@ from codescan.operators import facts as fa
 from codescan.operators.skew import salted_lookup
 from codescan.rules.metadata import cwe_of, owasp_of
 from codescan.rules.taint_tables import (
-    FLOW_SINKS, JS_REQUEST_PARAMS, PROPERTY_SINKS, REQUEST_NAMES, SQL_WORDS,
+    FLOW_SINKS, JS_REQUEST_PARAMS, PROPERTY_SINKS, REQUEST_NAMES, SQL_WORDS, sink_message,
 )
 from codescan.session import cut_lineage, work_folder, write_counted
 
@@ -108,7 +109,7 @@ def parameter_seeds(facts: CodeFacts, sinks: DataFrame, languages=("python", "ja
         F.concat("func", F.lit("#"), F.col("idx").cast("string")).alias("label")).distinct()
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, known: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """All nodes reachable from the seeds.
 
     Each round joins only the newest nodes with the edges and adds what is new as one
@@ -128,7 +129,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, known: DataFrame | None = None
     step = seeds.select(*NODE).distinct()
     if known is not None:
         step = step.join(known, NODE, "left_anti")
-    for i in range(max_rounds):
+    for i in itertools.count():
         part = f"{table}/round={i}"
         if write_counted(step, part) == 0:
             break
@@ -144,7 +145,7 @@ def sink_table(spark, extra: tuple = ()) -> DataFrame:
     """The fixed sinks and any further rows of the same shape."""
     rows = [(lang, callee, rule, sev, policy, receiver, message, i)
             for i, (lang, rule, sev, policy, receiver, callees, message) in enumerate([*FLOW_SINKS, *extra])
-            for callee in callees.split()]
+            for callee in callees]
     return spark.createDataFrame(
         rows, "language string, last string, rule_id string, severity string, policy string, receiver_like string, "
               "message string, sink_ord int")
@@ -171,8 +172,8 @@ def sink_arguments(facts: CodeFacts, extra: tuple = ()) -> DataFrame:
         facts.assigned.where((F.col("language") == "javascript") & F.col("property").isin(*PROPERTY_SINKS))
         .withColumn("rule_id", F.element_at(rule, F.col("property"))).withColumn("severity", F.lit("HIGH"))
         .withColumn("message", F.concat(
-            F.when(F.col("rule_id") == "SEC006T", "XSS - tainted value assigned to .")
-            .otherwise("Open redirect or injection - tainted value assigned to ."), F.col("property")))
+            F.element_at(F.create_map(*[F.lit(v) for r in sorted(set(PROPERTY_SINKS.values())) for v in (r, sink_message(r))]),
+                         F.col("rule_id")), F.lit(" (property "), F.col("property"), F.lit(")")))
         .withColumn("sink_ord", F.lit(1000)).select(*keep, F.col("clean").alias("_text"))
     )
     both = calls.unionByName(writes)
@@ -355,11 +356,18 @@ def sql_parameter_concat(facts: CodeFacts) -> DataFrame:
 
 
 def spread_taint(facts: CodeFacts, sinks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes reached from sources and parameters, the same plus results of tainted functions)."""
+    """(nodes reached from sources and parameters, the same plus results of tainted functions).
+
+    A function may return what another returned: results are added until no call yields a new one.
+    """
     seeds = cut_lineage(source_seeds(facts).unionByName(parameter_seeds(facts, sinks)))
-    first = propagate(seeds, cut_lineage(flow_edges(facts, seeds)))
-    results = cut_lineage(call_result_seeds(facts, tainted_functions(facts, first)))
-    return first, propagate(results, cut_lineage(flow_edges(facts, results)), known=first)
+    first = tainted = propagate(seeds, cut_lineage(flow_edges(facts, seeds)))
+    while True:
+        results = call_result_seeds(facts, tainted_functions(facts, tainted)).distinct()
+        results = cut_lineage(results.join(tainted, NODE, "left_anti"))
+        if results.isEmpty():
+            return first, tainted
+        tainted = cut_lineage(propagate(results, cut_lineage(flow_edges(facts, results)), known=tainted))
 
 
 def scan_flow(facts: CodeFacts) -> DataFrame:

@@ -34,8 +34,7 @@ def assigned_name(language: Column, line: Column) -> Column:
         first(rf"^({NAME})\s*=(?:[^=>]|$)"))
 
 
-# PHP is left to the scope pass, which knows its sanitisers.
-DEFAULT_LANGUAGES = ("python", "javascript", "java", "go")
+DEFAULT_LANGUAGES = ("python", "javascript", "php", "java", "go")
 
 
 def candidate_files(files: DataFrame, languages: tuple[str, ...] = DEFAULT_LANGUAGES) -> DataFrame:

@@ -199,10 +199,15 @@ ROLLING = WINDOWS.replace("range(0, 7)", "range(0, 30)")
 
 
 def stream_dedupe(spark, sf):
-    sink = work_folder(spark, "unique")
-    sb.dedupe(event_stream(spark, sf), sink, work_folder(spark, "conflicts"), work_folder(spark, "state"), once=True
-              ).awaitTermination()
-    return spark.read.schema("build_id string").parquet(sink).select("build_id")
+    """Builds that are kept, and every repeat."""
+    sink, repeats = work_folder(spark, "unique"), work_folder(spark, "conflicts")
+    sb.dedupe(event_stream(spark, sf), sink, repeats, work_folder(spark, "state"), once=True).awaitTermination()
+    read = lambda path, kind: spark.read.schema("build_id string").parquet(path).select("build_id", F.lit(kind).alias("kind"))
+    return read(sink, "kept").unionByName(read(repeats, "repeat"))
+
+
+STREAM_DEDUPE = f"""SELECT build_id, CASE WHEN row_number() OVER (PARTITION BY build_id ORDER BY received_at) = 1 THEN 'kept' ELSE 'repeat' END AS kind
+FROM ({BUILDS})"""
 
 
 def stream_ingest(spark, sf):
@@ -244,7 +249,7 @@ QUERIES = {
     "page_counts": (page_counts, f"SELECT count(*) AS total, CAST(ceil(count(*) / 25) AS BIGINT) AS pages FROM ({BUILDS}) WHERE status = 'failure'"),
     "rolling_success_rate": (rolling_success_rate, ROLLING),
     "stream_build_window": (stream_build_window, WINDOWS),
-    "stream_dedupe": (stream_dedupe, f"SELECT DISTINCT build_id FROM ({BUILDS})"),
+    "stream_dedupe": (stream_dedupe, STREAM_DEDUPE),
     "stream_ingest": (stream_ingest, STREAM_INGEST),
     "stream_scan": (stream_scan, f"WITH {SECRET_CTE} SELECT file, line, rule_id, code_snippet FROM secret_found"),
 }

@@ -69,7 +69,7 @@ FROM ({ADVISORIES})) WHERE rn <= 3"""
 
 # --- manifests written from part ------------------------------------------------
 MANIFEST_SQL = """
-SELECT concat('r', CAST(p_partkey AS STRING), '/', CASE p_partkey % 5 WHEN 0 THEN 'requirements-dev.txt' WHEN 1 THEN 'package.json'
+SELECT concat('r', CAST(p_partkey AS STRING), CASE p_partkey % 7 WHEN 3 THEN '/node_modules/x/' WHEN 4 THEN '/distx/' ELSE '/' END, CASE p_partkey % 5 WHEN 0 THEN 'requirements-dev.txt' WHEN 1 THEN 'package.json'
               WHEN 2 THEN 'go.mod' WHEN 3 THEN 'pom.xml' ELSE 'notes.txt' END) AS file,
        CASE p_partkey % 5
          WHEN 0 THEN concat('# pins', chr(10), 'pkg-', CAST(p_size AS STRING), '[extra]==1.', CAST(p_partkey AS STRING), '; python_version > "3"',
@@ -90,7 +90,8 @@ def manifest_dependencies(spark, sf):
     return manifests.read_dependencies(derive(spark, sf, MANIFEST_SQL, "part"))
 
 
-MANIFESTS = f"""WITH m AS ({duck(MANIFEST_SQL, 'part')})
+# What lies below an excluded folder is no dependency of the repository.
+MANIFESTS = f"""WITH m AS (SELECT * FROM ({duck(MANIFEST_SQL, 'part')}) WHERE p_partkey % 7 <> 3)
 SELECT file, 2 AS line, 'PyPI' AS ecosystem, 'pkg-' || p_size AS name, '1.' || p_partkey AS version FROM m WHERE p_partkey % 5 = 0
 UNION ALL SELECT file, 5, 'PyPI', 'loose', '' FROM m WHERE p_partkey % 5 = 0
 UNION ALL SELECT file, 6, 'PyPI', 'Other.Pkg', '2.0' FROM m WHERE p_partkey % 5 = 0

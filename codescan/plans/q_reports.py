@@ -131,15 +131,24 @@ SELECT rule_id AS rule, CASE severity WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THE
 
 
 def sarif_document(spark, sf):
-    """Shape of the document lines: per section how many, and how many start with a comma."""
-    doc = rp.sarif_document(found(spark, sf))
-    return doc.groupBy("section").agg(F.count("*").alias("n"), F.count_if(F.col("value").startswith(",")).alias("commas"))
-
-
-SARIF_DOC = f"""WITH f AS (SELECT DISTINCT rule_id, CASE severity WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END AS level, message, file, line, confidence, language, cwe, owasp FROM ({FOUND})),
-parts AS (SELECT 0 AS section, 1 AS n UNION ALL SELECT 1, count(DISTINCT rule_id) FROM f UNION ALL SELECT 2, 1
-  UNION ALL SELECT 3, count(*) FROM f UNION ALL SELECT 4, 1)
-SELECT section, n, CASE WHEN section IN (1, 3) THEN n - 1 WHEN section = 2 THEN 0 ELSE 0 END AS commas FROM parts"""
+    """The elements of the log, read back from its text: one row per section, rule, level and file."""
+    doc = rp.sarif_document(found(spark, sf)).where("section in (1, 3)")
+    kind = ("array<struct<id:string,ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:"
+            "struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>,properties:struct<confidence:string>>>")
+    led = F.startswith("value", F.lit(",")).cast("int")
+    each = doc.select("section", led.alias("led"), F.explode(F.from_json(
+        F.concat(F.lit("["), F.ltrim("value", F.lit(",")), F.lit("]")), kind)).alias("e"))
+    place = F.get(F.col("e.locations"), F.lit(0))["physicalLocation"]
+    return each.groupBy("section", F.coalesce("e.id", "e.ruleId").alias("rule_id"), F.col("e.level").alias("level"),
+                        place["artifactLocation"]["uri"].alias("file")).agg(
+        F.count("*").alias("n"), F.sum(place["region"]["startLine"]).alias("lines"),
+        F.sum(F.length("e.message.text")).alias("chars"), F.sum(F.length("e.properties.confidence")).alias("confidence"))
+
+
+SARIF_DOC = f"""SELECT 1 AS section, rule_id, NULL AS level, NULL AS file, 1 AS n, NULL AS lines, NULL AS chars, NULL AS confidence
+FROM ({FOUND}) GROUP BY rule_id
+UNION ALL SELECT 3, rule_id, CASE severity WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' ELSE 'note' END, file, count(*),
+  sum(line), sum(length(message)), sum(length(confidence)) FROM ({FOUND}) GROUP BY ALL"""
 
 
 def rule_drilldown(spark, sf):

@@ -36,7 +36,8 @@ def scan(corpus: DataFrame, advisories: DataFrame | None = None, added: DataFram
     files = scannable(corpus, exclude) if exclude is not None else scannable(corpus)
     found = scan_files(files, **options).select(*FINDING_COLUMNS)
     if advisories is not None:
-        deps = scan_dependencies(read_dependencies(corpus), advisories)
+        manifests = read_dependencies(corpus) if exclude is None else read_dependencies(corpus, exclude)
+        deps = scan_dependencies(manifests, advisories)
         found = found.unionByName(deps.select(*FINDING_COLUMNS))
     if added is not None:
         found = found.unionByName(secrets.scan_history(added).select(*FINDING_COLUMNS))

@@ -68,14 +68,16 @@ def is_third_party(path: Column) -> Column:
     return name.isin(*lang.THIRD_PARTY_FILES) | name.rlike(r"\.min\.(js|css)$") | (in_dir & known)
 
 
-def scannable(files: DataFrame, exclude=lang.EXCLUDED_DIRS) -> DataFrame:
-    """Files to scan; path tests come first, so excluded contents are never decoded.
+def named_by_repo(files: DataFrame) -> DataFrame:
+    """A file is named once: in a corpus of several repositories the ``repo`` column leads its path."""
+    if "repo" not in files.columns:
+        return files
+    return files.withColumn("file", F.concat_ws("/", "repo", "file")).drop("repo")
 
-    A file is named once: in a corpus of several repositories the ``repo`` column leads
-    its path.
-    """
-    if "repo" in files.columns:
-        files = files.withColumn("file", F.concat_ws("/", "repo", "file")).drop("repo")
+
+def scannable(files: DataFrame, exclude=lang.EXCLUDED_DIRS) -> DataFrame:
+    """Files to scan; path tests come first, so excluded contents are never decoded."""
+    files = named_by_repo(files)
     kept = files.where(~in_excluded_dir(F.col("file"), exclude) & ~is_third_party(F.col("file")))
     return with_language(kept)
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from codescan.functions import text as tx
 from codescan.operators.lines import all_lines
-from codescan.sources.corpus import base_name, in_excluded_dir
+from codescan.rules.languages import EXCLUDED_DIRS
+from codescan.session import cut_lineage
+from codescan.sources.corpus import base_name, in_excluded_dir, named_by_repo
 
 OUT = ["file", "line", "ecosystem", "name", "version"]
 
@@ -69,10 +71,14 @@ def parse_pom(files: DataFrame) -> DataFrame:
     )
 
 
-def read_dependencies(files: DataFrame, exclude=()) -> DataFrame:
-    """All dependencies named in the manifests of a (file, content) table."""
-    kept = files.where(~in_excluded_dir(F.col("file"), exclude)) if exclude else files
-    kept = kept.withColumn("kind", manifest_kind(F.col("file")))
+def read_dependencies(files: DataFrame, exclude=EXCLUDED_DIRS) -> DataFrame:
+    """All dependencies named in the manifests of a (file, content) table, outside excluded folders.
+
+    The corpus is read once: its manifests, a small part, are kept in the shared folder and parsed there.
+    """
+    kept = named_by_repo(files)
+    kept = kept.where(~in_excluded_dir(F.col("file"), exclude)) if exclude else kept
+    kept = cut_lineage(kept.select("file", "content", manifest_kind(F.col("file")).alias("kind")).where(F.col("kind").isNotNull()))
     parsers = {"requirements": parse_requirements, "package_json": parse_package_json, "go_mod": parse_go_mod,
                "pom": parse_pom}
     out = None

@@ -41,29 +41,26 @@ def ingest(reports: DataFrame, owners: DataFrame, accepted: str, rejected: str,
     return _run(reports.writeStream.foreachBatch(batch), checkpoint, once)
 
 
-def dedupe(builds: DataFrame, sink: str, conflicts: str, checkpoint: str, delay: str = "1 day",
-           once: bool = False) -> StreamingQuery:
-    """The first report per build id goes to ``sink``.
+def dedupe(builds: DataFrame, sink: str, conflicts: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """The first report per build id goes to ``sink``, every repeat to ``conflicts``, however late either comes.
 
-    Repeats within the delay are dropped by the stream's state; later ones are found by
-    a join with what the sink holds and go to ``conflicts``, so ids stay unique for good.
+    A batch is compared with what the sink holds, so ids stay unique for good and no state expires.
     """
     spark = builds.sparkSession
 
     def batch(rows: DataFrame, epoch: int) -> None:
         rows = rows.persist()
         known = _stored(spark, sink)
-        if known is not None:
-            known = known.where(F.col("epoch") != epoch)
-            write_epoch(bd.conflicting_builds(rows, known), conflicts, epoch)
-            fresh = bd.new_builds(rows, known)
-        else:
+        if known is None:
             fresh = bd.first_builds(rows)
+        else:
+            fresh = bd.new_builds(rows, known.where(F.col("epoch") != epoch))
+        # What is left of the batch when its new builds are taken out once; spread over whole rows, not ids.
+        write_epoch(rows.select(fresh.columns).exceptAll(fresh), conflicts, epoch)
         write_epoch(fresh, sink, epoch)
         rows.unpersist()
 
-    unique = builds.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["build_id"])
-    return _run(unique.writeStream.foreachBatch(batch), checkpoint, once)
+    return _run(builds.writeStream.foreachBatch(batch), checkpoint, once)
 
 
 def success_rate(builds: DataFrame, window: str = "30 days", slide: str = "1 day", delay: str = "1 day") -> DataFrame:

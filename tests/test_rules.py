@@ -19,7 +19,7 @@ def test_catalogue_size():
     rules = line_rules()
     assert len({r.rule_id for r in rules}) == 171
     assert len({r.language for r in rules}) == 10
-    assert len(rules) >= 335 and len(multiline_rules()) == 8
+    assert len(rules) == 335 and len(multiline_rules()) == 8
     structural = structural_rules()
     assert len(structural) == 110
     assert sum(r.language == "python" for r in structural) == 70
