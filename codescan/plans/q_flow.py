@@ -334,7 +334,53 @@ SELECT language, rule_id, severity, confidence, count(*) AS n FROM first
 WHERE NOT (rule_id = 'SEC011' AND language = 'php' AND file NOT IN (SELECT file FROM first WHERE language = 'php' AND rule_id LIKE '%TS'))
 GROUP BY ALL"""
 
+# --- code as deep as the part says ----------------------------------------------
+# Python: 1 to 40 functions or tries inside each other; 1 to 20 brackets around a cleaned value; calls that
+# hand a value on through 0 to 5 functions.  JavaScript: 1 to 3000 statements on one line.
+DEEP_SQL = """
+SELECT concat('d', CAST(p_partkey AS STRING), '.py') AS file, 'python' AS language, concat(
+         array_join(transform(sequence(1, deep), i -> concat(repeat('    ', CAST(i - 1 AS INT)), CASE WHEN i % 2 = 1 THEN concat('def f', CAST(i AS STRING), '(a, b):')
+                                                     ELSE 'try:' END)), chr(10)), chr(10),
+         repeat('    ', CAST(deep AS INT)), 'v = request.args.get("q")', chr(10),
+         repeat('    ', CAST(deep AS INT)), 'cursor.execute("SELECT a FROM t WHERE b = " + v)', chr(10),
+         repeat('    ', CAST(deep AS INT)), 'pickle.loads(v)', chr(10),
+         repeat('    ', CAST(deep AS INT)), 'n = int(', repeat('g(', CAST(wide AS INT)), 'v', repeat(')', CAST(wide AS INT)), ')', chr(10),
+         repeat('    ', CAST(deep AS INT)), 'cursor.execute("SELECT a FROM t WHERE c = " + n)', chr(10)) AS content
+FROM (SELECT p_partkey, p_partkey % 40 + 1 AS deep, p_partkey % 20 + 1 AS wide FROM {part})
+UNION ALL
+SELECT concat('r', CAST(p_partkey AS STRING), '.py'), 'python', concat(
+         'def get', CAST(p_partkey AS STRING), 'x0():', chr(10), '    v = request.args.get("q")', chr(10), '    return v', chr(10),
+         coalesce(array_join(transform(CASE WHEN hops > 0 THEN sequence(1, hops) END, i -> concat(
+           'def get', CAST(p_partkey AS STRING), 'x', CAST(i AS STRING), '():', chr(10), '    w = get', CAST(p_partkey AS STRING), 'x', CAST(i - 1 AS STRING), '()', chr(10),
+           '    return w', chr(10))), ''), ''),
+         'def run():', chr(10), '    z = get', CAST(p_partkey AS STRING), 'x', CAST(hops AS STRING), '()', chr(10),
+         '    cursor.execute("SELECT a FROM t WHERE b = " + z)', chr(10))
+FROM (SELECT p_partkey, p_partkey % 6 AS hops FROM {part})
+UNION ALL
+SELECT concat('w', CAST(p_partkey AS STRING), '.js'), 'javascript', concat(
+         'function f(req, db) ', chr(123), chr(10), repeat('g(1);', CAST(1 + (p_partkey * 7) % 3000 AS INT)), 'const v = req.query.q;db.query("SELECT " + v);', chr(10), chr(125), chr(10),
+         '/', '/ x', chr(10), 'function h(db) ', chr(123), chr(10), '  db.query("SELECT 1");', chr(10), chr(125), chr(10))
+FROM {part} WHERE p_partkey % 20 = 1
+"""
+
+
+def deep_code(spark, sf):
+    """Flows and context conditions, however deep the code nests; the SQL computes what must be found."""
+    facts = tn.extract(derive(spark, sf, DEEP_SQL, "part"))
+    shapes = st.scan_structural(facts).where(F.col("rule_id") == "SEC_PI001")
+    return tn.scan_flow(facts).select("file", "line", "rule_id").unionByName(shapes.select("file", "line", "rule_id"))
+
+
+# SEC_PI001 is an unguarded load: only a file without a try around it has one.
+DEEP = """
+SELECT 'd' || p_partkey || '.py' AS file, p_partkey % 40 + 3 AS line, 'SEC004T' AS rule_id FROM part
+UNION ALL SELECT 'd' || p_partkey || '.py', 4, 'SEC_PI001' FROM part WHERE p_partkey % 40 = 0
+UNION ALL SELECT 'r' || p_partkey || '.py', 3 + 3 * (p_partkey % 6) + 3, 'SEC004T' FROM part
+UNION ALL SELECT 'w' || p_partkey || '.js', 2, 'SEC004T' FROM part WHERE p_partkey % 20 = 1
+"""
+
 QUERIES = {
+    "deep_code": (deep_code, DEEP),
     "taint_window_join": (taint_window_join, WINDOW_SQL),
     "taint_fixed_point": (taint_fixed_point, FIXED_POINT),
     "scope_taint": (scope_taint, FLOW_SQL),
