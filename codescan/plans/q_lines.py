@@ -90,7 +90,7 @@ def entropy_sql(source: str) -> str:
     prefixes = " OR ".join(f"starts_with(v, {q(p)})" for p in lang.SECRET_PREFIXES)
     return f"""
 SELECT file, line_no AS line, 'SEC001E' AS rule_id, 'HIGH' AS severity, language,
-       printf('High-entropy string literal (entropy=%.2f bits/char) - possible hardcoded API key, token, or credential', ent)
+       printf({q(secrets.ENTROPY_MESSAGE)}, ent)
          AS message,
        substr(trim(line, {BLANKS}), 1, 120) AS code_snippet, 'MEDIUM' AS confidence, 'CWE-798' AS cwe,
        'A07:2021' AS owasp, 2 AS engine_ord, pos AS ord
@@ -307,12 +307,17 @@ LOGICAL_LINES = f"WITH {logical_sql(DOC_FILES)} SELECT file, language, line_no,
 
 
 # --- rules ----------------------------------------------------------------------
+def rule_lines(lines):
+    """Lines that the rules see: no comments, no block comments, no exempt lines."""
+    return ln.drop_nosec(ln.drop_comment_lines(ln.drop_block_comment_lines(lines, block=tb.LINE_STEP)))
+
+
 def regex_rule_match(spark, sf):
-    lines = ln.drop_nosec(ln.drop_comment_lines(code_lines(spark, sf)))
-    return slim(match.match_rules(lines))
+    return slim(match.match_rules(rule_lines(code_lines(spark, sf))))
 
 
-RULE_LINES = f"lines AS ({CODE_LINES}), clean AS (SELECT * FROM lines WHERE NOT {comment_sql()} AND NOT {nosec_sql()})"
+RULE_LINES = f"""lines AS ({CODE_LINES}), outside AS ({BLOCK_STATE}),
+clean AS (SELECT * FROM lines SEMI JOIN outside USING (file, line_no) WHERE NOT {comment_sql()} AND NOT {nosec_sql()})"""
 REGEX_MATCH = f"WITH {RULE_LINES}, found AS ({rules_sql('clean')}) SELECT {COLS} FROM found"
 
 
@@ -352,14 +357,21 @@ def rule_catalogue(spark, sf):
     rules = line_rules()
     dim = spark.createDataFrame([(r.ord, r.rule_id, r.language, r.severity) for r in rules],
                                 "ord int, rule_id string, language string, severity string")
-    hits = match.match_rules(ln.drop_nosec(ln.drop_comment_lines(code_lines(spark, sf)))).groupBy("ord").agg(
-        F.count("*").alias("hits"))
+    pages = ln.explode_lines(derive(spark, sf, tb.WEB_SQL, "pages"))
+    found = match.match_rules(rule_lines(code_lines(spark, sf))).select("ord").unionByName(
+        match.scan_lines(documents(spark, sf)).select("ord")).unionByName(
+        match.match_rules(ln.drop_nosec(ln.drop_comment_lines(pages))).select("ord"))
+    hits = found.groupBy("ord").agg(F.count("*").alias("hits"))
     return dim.join(hits, "ord", "left").select(
         "ord", "rule_id", "language", "severity", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 _DIM = ", ".join(f"({r.ord}, {q(r.rule_id)}, {q(r.language)}, {q(r.severity)})" for r in line_rules())
-RULE_CATALOGUE = f"""WITH {RULE_LINES}, found AS ({rules_sql('clean')}),
+RULE_CATALOGUE = f"""WITH {RULE_LINES.replace('lines AS', 'code AS', 1).replace('FROM lines', 'FROM code').replace('clean AS', 'plain AS')},
+{lines_sql(DOC_FILES + ' UNION ALL ' + WEB_FILES)},
+clean AS (SELECT file, language, line_no, line FROM plain UNION ALL
+          SELECT file, language, line_no, line FROM lines WHERE NOT {comment_sql()} AND NOT {nosec_sql()}),
+found AS ({rules_sql('clean')}),
 hits AS (SELECT ord, count(*) AS hits FROM found GROUP BY ord)
 SELECT d.ord, d.rule_id, d.language, d.severity, coalesce(h.hits, 0) AS hits
 FROM (VALUES {_DIM}) d(ord, rule_id, language, severity) LEFT JOIN hits h ON d.ord = h.ord"""
@@ -421,13 +433,12 @@ WHERE language = 'python' AND starts_with(line, 'assert ')"""
 
 def dedupe_findings(spark, sf):
     lines = code_lines(spark, sf)
-    code = ln.drop_nosec(ln.drop_comment_lines(lines))
     return slim(fd.dedupe_findings(fd.union_engines(
-        match.match_rules(code), secrets.scan_entropy(lines), secrets.scan_assert(lines))))
+        match.match_rules(rule_lines(lines)), secrets.scan_entropy(lines), secrets.scan_assert(lines))))
 
 
 DEDUPE = f"""WITH {RULE_LINES}, found AS ({rules_sql('clean')} UNION ALL {entropy_sql('lines')} UNION ALL
-SELECT file, line_no, 'SEC003', 'LOW', language, 'Assert stripped with python -O - do not use for security checks', line,
+SELECT file, line_no, 'SEC003', 'LOW', language, {q(secrets.ASSERT_MESSAGE)}, line,
        'LOW', 'CWE-617', 'A05:2021', 4, 0 FROM lines WHERE language = 'python' AND starts_with(line, 'assert '))
 SELECT {COLS} FROM (SELECT *, row_number() OVER (PARTITION BY file, line, rule_id ORDER BY engine_ord, ord, message) AS rn FROM found)
 WHERE rn = 1"""
@@ -436,7 +447,7 @@ def scan_totals(spark, sf):
     """The flagship: all line rules, secret literals and asserts over code lines and documents, per rule."""
     lines = code_lines(spark, sf)
     code = fd.dedupe_findings(fd.union_engines(
-        match.match_rules(ln.drop_nosec(ln.drop_comment_lines(lines))), secrets.scan_entropy(lines), secrets.scan_assert(lines)))
+        match.match_rules(rule_lines(lines)), secrets.scan_entropy(lines), secrets.scan_assert(lines)))
     texts = fd.dedupe_findings(secrets.scan_text(documents(spark, sf)))
     return (
         code.unionByName(texts).groupBy("language", "rule_id", "severity")
