@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codescan.functions.text import cvss_severity
@@ -25,16 +25,50 @@ def first_advisories(advisories: DataFrame, keys: list[str], cap: int = CAP) ->
     )
 
 
-def scan_dependencies(deps: DataFrame, advisories: DataFrame, compat: bool = False, salts: int = 16) -> DataFrame:
+def version_key(version: Column) -> Column:
+    """A text that sorts as versions do: numbers by value, 1.0 like 1, 1.0-rc1 before 1.0.
+
+    Build metadata after ``+`` and a leading ``v`` do not count.
+    """
+    plain = F.regexp_replace(F.lower(F.trim(version)), r"^v(?=\d)|\+.*$", "")
+    release = F.regexp_replace(F.regexp_extract(plain, r"^\d+(?:\.\d+)*", 0), r"(?:\.0+)+$", "")
+    rest = F.regexp_replace(F.regexp_replace(plain, r"^\d+(?:\.\d+)*", ""), r"^[.\-_]", "")
+    pad = lambda text, cut: F.array_join(F.transform(
+        F.split(text, cut), lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 18, "0")).otherwise(p)), ".")
+    # '+' sorts before ',' and ',' before '.': first what precedes a release, then the release, then its successors.
+    return F.concat(pad(release, r"\."), F.when(rest != "", F.concat(F.lit("+"), pad(rest, r"[.\-_]|(?<=\D)(?=\d)"))).otherwise(","))
+
+
+def resolve_ranges(deps: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Advisory rows for the versions that occur in ``deps`` and lie in a range; ``fixed`` is outside its range."""
+    used = deps.where(F.col("version") != "").select("ecosystem", "name", "version").distinct()
+    key = version_key(F.col("version"))
+    rows = used.join(ranges, ["ecosystem", "name"]).where(
+        ((F.col("introduced") == "0") | (key >= version_key(F.col("introduced"))))
+        & (F.col("fixed").isNull() | (key < version_key(F.col("fixed"))))
+        & (F.col("last_affected").isNull() | (key <= version_key(F.col("last_affected")))))
+    return rows.drop("introduced", "fixed", "last_affected")
+
+
+def scan_dependencies(deps: DataFrame, advisories: DataFrame, compat: bool = False, salts: int = 16,
+                      ranges: DataFrame | None = None) -> DataFrame:
     """SCA001 findings; at most three advisories per dependency.
 
-    A dependency without a version matches advisories of any version.
+    A dependency without a version matches advisories of any version.  ``ranges`` are advisories that
+    name version ranges; one that also lists a version counts once for it.
     """
+    if ranges is not None:
+        open_ended = ranges.drop("introduced", "fixed", "last_affected").withColumn("version", F.lit(""))
+        advisories = advisories.unionByName(resolve_ranges(deps, ranges)).unionByName(open_ended).dropDuplicates(
+            ["ecosystem", "name", "version", "id"])
     pinned, open_ = deps.where(F.col("version") != ""), deps.where(F.col("version") == "")
     by_version = salted_lookup(
         pinned, first_advisories(advisories, ["ecosystem", "name", "version"]), ["ecosystem", "name", "version"], salts)
+    any_version = advisories.drop("version")
+    if ranges is not None:
+        any_version = any_version.dropDuplicates(["ecosystem", "name", "id"])
     by_name = salted_lookup(
-        open_, first_advisories(advisories.drop("version"), ["ecosystem", "name"]), ["ecosystem", "name"], salts)
+        open_, first_advisories(any_version, ["ecosystem", "name"]), ["ecosystem", "name"], salts)
     rows = by_version.unionByName(by_name).select("*", F.explode("advisories").alias("a"))
     scored = F.filter(F.transform("a.severity", lambda s: cvss_severity(s["score"], compat)), lambda s: s.isNotNull())
     label = F.when(F.col("version") != "", F.concat(F.lit(" "), F.col("version"))).otherwise("")

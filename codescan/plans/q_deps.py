@@ -9,7 +9,9 @@ from codescan.operators import secrets
 from codescan.plans.q_lines import LITERAL_RE2, entropy_sql, q
 from codescan.plans.tables import derive, duck
 from codescan.rules.languages import SECRET_PREFIXES
+from codescan.session import work_folder
 from codescan.sources import manifests, patches
+from codescan.sources.advisories import read_osv_dump, read_osv_ranges
 
 # --- lineitem × part: dependencies and advisories --------------------------------
 # A package is a part number modulo 400; every fifth line leaves the version open.
@@ -67,6 +69,36 @@ def cap_advisories(spark, sf):
 CAP = f"""SELECT name, rn AS rank, id FROM (SELECT *, row_number() OVER (PARTITION BY ecosystem, name ORDER BY seq, id) AS rn
 FROM ({ADVISORIES})) WHERE rn <= 3"""
 
+# --- advisories as a dump of records, with listed versions and with ranges ---------
+OSV_SQL = """
+SELECT concat('OSV-', lpad(CAST(p_partkey AS STRING), 9, '0')) AS id, concat(p_name, ' flaw') AS summary,
+       array(named_struct('type', 'CVSS_V3', 'score', '9.8')) AS severity,
+       array(named_struct('package', named_struct('ecosystem', 'PyPI', 'name', concat('pkg', CAST(p_partkey % 500 AS STRING))),
+         'versions', CASE WHEN p_partkey % 3 <> 1 THEN array('1.2') END,
+         'ranges', CASE WHEN p_partkey % 3 <> 0 THEN array(named_struct('type', 'ECOSYSTEM', 'events', array(
+             named_struct('introduced', CASE p_size % 3 WHEN 0 THEN '0' ELSE concat('1.', CAST(p_size % 3 AS STRING), '.0') END, 'fixed', CAST(NULL AS STRING)),
+             named_struct('introduced', CAST(NULL AS STRING), 'fixed', concat('v1.', CAST(p_size % 3 + 1 + p_size % 2 AS STRING)))))) END)) AS affected
+FROM {part}
+"""
+
+
+def advisory_ranges(spark, sf):
+    """Advisories written as a dump and read back; a version counts if it is listed or lies in a range."""
+    path = work_folder(spark, "osv")
+    derive(spark, sf, OSV_SQL, "part").write.json(path)
+    found = dp.scan_dependencies(deps(spark, sf), read_osv_dump(spark, path), ranges=read_osv_ranges(spark, path))
+    return found.select("file", "line", "severity", "code_snippet", F.regexp_extract("message", "vulnerability (\\S+):", 1).alias("id"))
+
+
+RANGES = f"""
+WITH a AS (SELECT 'OSV-' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id, 'pkg' || p_partkey % 500 AS name,
+                  p_partkey % 3 <> 1 AS listed, p_partkey % 3 <> 0 AS ranged, p_size % 3 AS lo, p_size % 3 + 1 + p_size % 2 AS hi FROM part),
+d AS (SELECT *, CASE WHEN version <> '' THEN CAST(substr(version, 3) AS INT) END AS v FROM ({DEPS})),
+hits AS (SELECT d.*, a.id, row_number() OVER (PARTITION BY d.file, d.line, d.name, d.version, d.rid ORDER BY a.id) AS rn
+         FROM (SELECT *, row_number() OVER () AS rid FROM d) d JOIN a USING (name)
+         WHERE v IS NULL OR (listed AND v = 2) OR (ranged AND v >= lo AND v < hi))
+SELECT file, line, 'HIGH' AS severity, name || CASE WHEN version <> '' THEN ' ' || version ELSE '' END AS code_snippet, id FROM hits WHERE rn <= 3"""
+
 # --- manifests written from part ------------------------------------------------
 MANIFEST_SQL = """
 SELECT concat('r', CAST(p_partkey AS STRING), CASE p_partkey % 7 WHEN 3 THEN '/node_modules/x/' WHEN 4 THEN '/distx/' ELSE '/' END, CASE p_partkey % 5 WHEN 0 THEN 'requirements-dev.txt' WHEN 1 THEN 'package.json'
@@ -157,6 +189,7 @@ FROM ok o LEFT JOIN lit l ON o.file = l.file AND o.line_no = l.line WHERE l.v IS
 
 QUERIES = {
     "dependency_advisories_top3": (dependency_advisories, DEPENDENCY),
+    "advisory_ranges": (advisory_ranges, RANGES),
     "cap_advisories": (cap_advisories, CAP),
     "manifest_dependencies": (manifest_dependencies, MANIFESTS),
     "manifest_kind": (manifest_kind, KINDS),

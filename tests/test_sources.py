@@ -219,3 +219,13 @@ def test_ages_and_paths(spark):
     got = df.select(tx.age_text(F.to_timestamp("t"), F.lit("2024-01-03").cast("timestamp")), tx.relative_path(F.col("p"), "/r"),
                     tx.duration_text(F.col("ms"))).collect()
     assert [tuple(r) for r in got] == [("2d ago", "a/b.py", "900ms"), ("1m ago", "/x", "1m 1s"), ("", "/r", "2m")]
+
+
+def test_versions_sort_as_versions(spark):
+    from codescan.operators.dependencies import version_key
+
+    order = ["0.9", "1.0-alpha", "1.0-rc1", "1.0-rc2", "1.0-rc10", "1", "1.0.1", "1.2", "1.10", "v2.0", "10"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(order)], "i int, v string").repartition(3)
+    assert [r.v for r in df.orderBy(version_key(F.col("v"))).collect()] == order
+    same = spark.createDataFrame([("1.0", "v1"), ("1.0.0", "1"), ("2+build", "2.0")], "a string, b string")
+    assert same.where(version_key(F.col("a")) == version_key(F.col("b"))).count() == 3
