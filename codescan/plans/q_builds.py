@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codescan.operators import builds as bd
+from codescan.operators import findings as fd
 from codescan.operators import report as rp
+from codescan.operators import secrets
 from codescan.plans import tables as tb
-from codescan.plans.q_lines import SECRET_CTE, secret_rules
+from codescan.plans.q_lines import DOC_SCAN, documents
 from codescan.plans.tables import derive, duck
 from codescan.schemas import FINDING
 from codescan.session import work_folder
+from codescan.sources import reports as rep
 from codescan.streaming import builds as sb
 from codescan.streaming import scan as ss
 
@@ -176,18 +179,20 @@ def event_stream(spark, sf):
 
 
 def stream_build_window(spark, sf):
+    """Windows of 30 days, each written once it is closed."""
     sink = work_folder(spark, "rate")
-    sb.write_success_rate(event_stream(spark, sf), sink, work_folder(spark, "state"), mode="complete", once=True,
-                          window="7 days").awaitTermination()
+    sb.write_success_rate(event_stream(spark, sf), sink, work_folder(spark, "state"), once=True).awaitTermination()
     return spark.read.parquet(sink).select(
         F.date_format("start", "yyyy-MM-dd").alias("start"), "builds", "successes", "success_rate")
 
 
-WINDOWS = f"""
+ROLLING = f"""
 SELECT strftime(start, '%Y-%m-%d') AS start, count(*) AS builds, count(*) FILTER (status = 'success') AS successes,
   CAST(floor(count(*) FILTER (status = 'success') * 100.0 / count(*) + 0.5) AS BIGINT) AS success_rate
-FROM (SELECT status, unnest(list_transform(range(0, 7), lambda i: date_trunc('day', received_at) - to_days(CAST(i AS INT)))) AS start FROM ({BUILDS}))
+FROM (SELECT status, unnest(list_transform(range(0, 30), lambda i: date_trunc('day', received_at) - to_days(CAST(i AS INT)))) AS start FROM ({BUILDS}))
 GROUP BY 1"""
+# A window is closed when the last report is a day beyond its end.
+WINDOWS = f"""SELECT * FROM ({ROLLING}) WHERE CAST(start AS TIMESTAMP) + INTERVAL 31 DAY <= (SELECT max(received_at) FROM ({BUILDS}))"""
 
 
 def rolling_success_rate(spark, sf):
@@ -195,9 +200,6 @@ def rolling_success_rate(spark, sf):
         F.date_format("start", "yyyy-MM-dd").alias("start"), "builds", "successes", "success_rate")
 
 
-ROLLING = WINDOWS.replace("range(0, 7)", "range(0, 30)")
-
-
 def stream_dedupe(spark, sf):
     """Builds that are kept, and every repeat."""
     sink, repeats = work_folder(spark, "unique"), work_folder(spark, "conflicts")
@@ -225,14 +227,19 @@ STREAM_INGEST = f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN 'secret'
 
 
 def stream_scan(spark, sf):
-    """Documents as a stream of files; the findings equal those of the batch scan."""
+    """Documents as a stream of files, all rules, findings of a baseline left out; the same as the batch scan."""
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    sink = work_folder(spark, "found")
-    ss.scan_stream(spark.sql(tb.FILES_SQL, documents=rows), sink, work_folder(spark, "state"), rules=secret_rules(),
-                   once=True).awaitTermination()
-    return spark.read.schema(FINDING).parquet(sink).select("file", "line", "rule_id", "code_snippet")
+    sink, stored = work_folder(spark, "found"), work_folder(spark, "baseline")
+    known = fd.dedupe_findings(secrets.scan_text(documents(spark, sf))).where(F.col("line") % 3 == 0)
+    rep.write_baseline(known, stored)
+    ss.scan_stream(spark.sql(tb.FILES_SQL, documents=rows), sink, work_folder(spark, "state"),
+                   rep.read_baseline(spark, stored), once=True).awaitTermination()
+    return spark.read.schema(FINDING).parquet(sink).select("file", "line", "rule_id", "severity")
+
 
+STREAM_SCAN = f"""WITH found AS ({DOC_SCAN}), known AS (SELECT DISTINCT rule_id || ':' || file || ':' || substr(code_snippet, 1, 80) AS fp FROM found WHERE line % 3 = 0)
+SELECT file, line, rule_id, severity FROM found WHERE rule_id || ':' || file || ':' || substr(code_snippet, 1, 80) NOT IN (SELECT fp FROM known)"""
 
 QUERIES = {
     "build_validate": (build_validate, VALIDATE),
@@ -251,5 +258,5 @@ QUERIES = {
     "stream_build_window": (stream_build_window, WINDOWS),
     "stream_dedupe": (stream_dedupe, STREAM_DEDUPE),
     "stream_ingest": (stream_ingest, STREAM_INGEST),
-    "stream_scan": (stream_scan, f"WITH {SECRET_CTE} SELECT file, line, rule_id, code_snippet FROM secret_found"),
+    "stream_scan": (stream_scan, STREAM_SCAN),
 }

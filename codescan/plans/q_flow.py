@@ -193,14 +193,17 @@ def inside_semi_join(spark, sf):
     return (
         count(hits, "matched").join(count(st.match_inside(hits), "inside"), "rule_id", "left")
         .join(count(st.match_not_inside(hits), "not_inside"), "rule_id", "left")
-        .where(F.col("rule_id").isin("SEC_PI001", "SEC_PI008", "SEC_PI013", "SEC_PI015"))
         .select("rule_id", "matched", F.coalesce("inside", F.lit(0)).alias("inside"), F.coalesce("not_inside", F.lit(0)).alias("not_inside"))
     )
 
 
+# (rule, sample) of every call shape in the samples; in sample 16 a try is around SEC_PI001.
+SHAPES = (("SEC002S", 7), ("SEC005S", 39), ("SEC068S", 19), ("SEC069S", 16), ("SEC069S", 17), ("SEC080S", 21), ("SEC082S", 18),
+          ("SEC_EX006", 28), ("SEC_FI002", 15), ("SEC_PI001", 16), ("SEC_PI001", 17), ("SEC_PI004", 7), ("SEC_PI008", 18),
+          ("SEC_PI014", 21), ("SEC_PI015", 39), ("SEC_PT001", 27))
 _PER = f"(SELECT count(*) FROM part WHERE p_partkey % {len(SAMPLES)} = "
-INSIDE = f"""SELECT 'SEC_PI001' AS rule_id, {_PER}16) + {_PER}17) AS matched, {_PER}16) + {_PER}17) AS inside, {_PER}17) AS not_inside
-UNION ALL SELECT 'SEC_PI008', {_PER}18), {_PER}18), {_PER}18) UNION ALL SELECT 'SEC_PI015', {_PER}39), {_PER}39), {_PER}39)"""
+INSIDE = f"""SELECT rule_id, count(*) AS matched, count(*) AS inside, count(*) FILTER (rule_id <> 'SEC_PI001' OR i <> 16) AS not_inside
+FROM part JOIN (VALUES {', '.join(f"('{r}', {i})" for r, i in SHAPES)}) x(rule_id, i) ON p_partkey % {len(SAMPLES)} = x.i GROUP BY rule_id"""
 
 
 def guard_anti_join(spark, sf):
@@ -213,39 +216,41 @@ GUARD = f"SELECT 'p' || p_partkey || '.src' AS file, 'path' AS name FROM part WH
 def _summaries(spark, sf):
     facts = tn.extract(code_files(spark, sf))
     sinks = cut_lineage(tn.sink_arguments(facts))
-    first, _ = tn.spread_taint(facts, sinks)
-    return facts, first, tn.function_summaries(facts, first, sinks)
+    _, reached = tn.spread_taint(facts, sinks)
+    return facts, reached, tn.function_summaries(facts, reached, sinks)
 
 
 def function_summaries(spark, sf):
-    """Parameters that reach a sink, for functions named after their part."""
+    """Parameters that reach a sink."""
     _, _, summaries = _summaries(spark, sf)
-    return summaries.where(F.col("func_name").rlike(r"^(store|helper|find)\d+$")).select("file", "func_name", "idx", "rule_id")
+    return summaries.select("file", "func_name", "idx", "rule_id")
 
 
-SUMMARIES = f"""SELECT 'p' || p_partkey || '.src' AS file, x.f || p_partkey AS func_name, 0 AS idx, 'SEC004T' AS rule_id
-FROM part JOIN (VALUES (11, 'helper'), (12, 'store'), (29, 'find')) x(i, f) ON p_partkey % {len(SAMPLES)} = x.i"""
+SUMMARIES = f"""SELECT 'p' || p_partkey || '.src' AS file, CASE WHEN x.own THEN x.f || p_partkey ELSE x.f END AS func_name, x.idx, x.rule_id
+FROM part JOIN (VALUES (7, 'show', false, 0, 'SEC002T'), (11, 'helper', true, 0, 'SEC004T'), (12, 'store', true, 0, 'SEC004T'),
+  (21, 'run', false, 0, 'SEC002T'), (29, 'find', true, 0, 'SEC004T'), (37, 'find', false, 1, 'SEC004T')) x(i, f, own, idx, rule_id)
+  ON p_partkey % {len(SAMPLES)} = x.i"""
 
 
 def tainted_return(spark, sf):
-    facts, first, _ = _summaries(spark, sf)
-    return tn.tainted_functions(facts, first).where(F.col("func_name").startswith("fetch")).select("file", "func_name")
+    facts, reached, _ = _summaries(spark, sf)
+    return tn.tainted_functions(facts, reached).select("file", "func_name")
 
 
 RETURNS = f"SELECT 'p' || p_partkey || '.src' AS file, 'fetch' || p_partkey AS func_name FROM part WHERE p_partkey % {len(SAMPLES)} = 14"
 
 
 def interprocedural_join(spark, sf):
-    facts, first, summaries = _summaries(spark, sf)
-    return tn.interprocedural(facts, first, summaries).select("file", "line", "rule_id")
+    facts, reached, summaries = _summaries(spark, sf)
+    return tn.interprocedural(facts, reached, summaries).select("file", "line", "rule_id")
 
 
 INTER = f"""SELECT * FROM ({FLOW_SQL}) WHERE CAST(regexp_extract(file, '([0-9]+)', 1) AS INT) % {len(SAMPLES)} IN (11, 13, 29)"""
 
 
 def summary_stats(spark, sf):
-    facts, first, summaries = _summaries(spark, sf)
-    return tn.summary_stats(facts, first, summaries)
+    facts, reached, summaries = _summaries(spark, sf)
+    return tn.summary_stats(facts, reached, summaries)
 
 
 # Functions are counted in the text; the other two follow from the samples.
@@ -256,14 +261,26 @@ FROM ({duck(CODE_FILES_SQL, 'part')})"""
 
 
 def prior_assignment(spark, sf):
-    """Sink arguments whose value a sanitiser produced."""
+    """Names in sink arguments by what the assignment before it was: a source, a sanitiser, other, or none."""
     facts = tn.extract(code_files(spark, sf))
     uses = tn.sink_arguments(facts).select("file", "func", "line_no", F.explode("uses").alias("name"))
-    return tn.prior_assignment(facts, uses).where("kind = 'sanitised'").select("file", F.col("line_no").alias("line"), "name")
-
-
-PRIOR = f"""SELECT 'p' || p_partkey || '.src' AS file, x.line, x.name FROM part JOIN (VALUES (3, 4, 'num'), (24, 3, 'id'),
-  (32, 2, '$name'), (32, 4, '$n'), (34, 4, 'n'), (36, 3, 'n')) x(i, line, name) ON p_partkey % {len(SAMPLES)} = x.i"""
+    return tn.prior_assignment(facts, uses).select("file", F.col("line_no").alias("line"), "name", "kind").distinct()
+
+
+# (sample, line, names) by kind.
+ASSIGNED = {
+    "source": ((0, 3, "term"), (7, 3, "box.value"), (9, 4, "conf"), (10, 3, "name"), (22, 3, "id"), (23, 3, "name"), (25, 3, "p"),
+               (26, 3, "host"), (27, 3, "f"), (30, 4, "id"), (35, 3, "id")),
+    "sanitised": ((3, 4, "num"), (24, 3, "id"), (32, 2, "$name"), (32, 4, "$n"), (34, 4, "n"), (36, 3, "n")),
+    "other": ((1, 5, "sql"), (2, 5, "one"), (4, 5, "sql"), (5, 5, "parts"), (6, 4, "val"), (14, 6, "v"), (15, 6, "path"), (31, 3, "$html"),
+              (33, 4, "sql"), (37, 3, "sql")),
+    None: ((3, 4, "str"), (7, 3, "box"), (8, 6, "self self.term"), (11, 2, "text"), (12, 2, "text"), (21, 2, "True shell cmd"), (25, 3, "p.get"),
+           (26, 3, "out err"), (26, 4, "out"), (27, 3, "done"), (28, 2, "req req.query req.query.next"), (29, 2, "id")),
+}
+_ASSIGNED = ", ".join(f"({i}, {line}, {q(n)}, {q(kind) if kind else 'NULL'})" for kind, rows in ASSIGNED.items()
+                      for i, line, names in rows for n in names.split())
+PRIOR = f"""SELECT 'p' || p_partkey || '.src' AS file, x.line, x.name, x.kind FROM part JOIN (VALUES {_ASSIGNED}) x(i, line, name, kind)
+ON p_partkey % {len(SAMPLES)} = x.i"""
 
 
 def sql_param_concat(spark, sf):

@@ -455,7 +455,7 @@ def scan_totals(spark, sf):
     )
 
 
-_DOC_SCAN = f"""WITH {lines_sql(DOC_FILES)},
+DOC_SCAN = f"""WITH {lines_sql(DOC_FILES)},
 clean AS (SELECT * FROM lines WHERE NOT {comment_sql()} AND NOT {nosec_sql()}),
 found AS ({rules_sql('clean')} UNION ALL {entropy_sql('lines')} UNION ALL
 SELECT file, line_no, 'SEC003', 'LOW', language, '', '', '', '', '', 4, 0 FROM lines
@@ -463,7 +463,7 @@ WHERE language = 'python' AND regexp_matches(line, '^\\s*assert\\b'))
 SELECT {COLS} FROM (SELECT *, row_number() OVER (PARTITION BY file, line, rule_id ORDER BY engine_ord, ord, message) AS rn FROM found)
 WHERE rn = 1"""
 SCAN_TOTALS = f"""SELECT language, rule_id, severity, count(*) AS findings, count(DISTINCT file) AS files
-FROM (({DEDUPE}) UNION ALL ({_DOC_SCAN})) GROUP BY ALL"""
+FROM (({DEDUPE}) UNION ALL ({DOC_SCAN})) GROUP BY ALL"""
 
 URLS_SQL = """
 SELECT page_id, CASE page_id % 6
