@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codescan.llm.words import blocks, text_bytes
@@ -83,6 +83,16 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
+def _cuts_up_to(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are not above the value, by binary search; none for null."""
+    if not cuts:
+        return F.lit(0)
+    table = F.array(*map(F.lit, cuts)).cast("array<bigint>")
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= len(cuts)) & (F.get(table, at + step - 1) <= value), at + step).otherwise(at))
+
+
 def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """(part, tail, doc_id, key, text), dealt by part and sorted in it: each document is followed by the next one.
 
@@ -90,17 +100,16 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     part also stand at the end of the part before (``tail`` 1), those of the first at the end of the last.
     Texts are shuffled once; parts are ranges of doc_id with about equally many rows.
     """
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or 4 * tasks  # several parts a task, so that tasks are alike
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
-    cuts = sorted(set(docs.select(F.col(id_col).cast("double").alias("v")).approxQuantile(
-        "v", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]).cast("array<bigint>"), lambda c: c <= F.col("doc_id")))
-    rows = rows.withColumn("part", part if cuts else F.lit(0))
+    cuts = sorted({int(c) for c in docs.select(F.col(id_col).cast("double").alias("v")).approxQuantile(
+        "v", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+    rows = rows.withColumn("part", _cuts_up_to(F.col("doc_id"), cuts))
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                       F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
-    ids = ids.withColumn("part", part if cuts else F.lit(0))
+    ids = ids.withColumn("part", _cuts_up_to(F.col("doc_id"), cuts))
     # A row for each part, so one task may hold them all.
     order = Window.partitionBy(F.lit(0)).orderBy("part")
     firsts = ids.groupBy("part").agg(F.min(F.struct("doc_id", "key")).alias("first"))
@@ -112,7 +121,7 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.array(F.struct(F.col("part"), F.lit(0).alias("tail")), F.struct(F.col("before").alias("part"), F.lit(1).alias("tail"))))
     heads = heads.select(F.explode(places).alias("p"), "doc_id", "key", "text")
     rows = heads.select("p.part", "p.tail", "doc_id", "key", "text")
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "tail", "doc_id", "key")
+    return rows.repartition(tasks, "part").sortWithinPartitions("part", "tail", "doc_id", "key")
 
 
 def edit_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
