@@ -107,11 +107,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     base = _base(docs, id_col, text_col)
     all_paths = cut_lineage(paths(base, window, anchor))
-    repeated = all_paths.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where(
-        "lo < hi").select("anchor")
+    # What a join looks up is written first: joined in the stage that aggregates it, a popular key could not be split.
+    repeated = cut_lineage(all_paths.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where(
+        "lo < hi").select("anchor"))
     found = cut_lineage(all_paths.join(repeated, "anchor", "left_semi"))
-    kinds = found.groupBy("anchor", "p1", "p2", "n").agg(F.min(F.struct("doc_id", "key", "a")).alias("source"))
-    branching = kinds.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("branches"))
+    kinds = cut_lineage(found.groupBy("anchor", "p1", "p2", "n").agg(F.min(F.struct("doc_id", "key", "a")).alias("source")))
+    branching = cut_lineage(kinds.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("branches")))
     kinds = cut_lineage(kinds.join(branching, "anchor").select(
         "p1", "p2", "n", "branches", "source.doc_id", "source.key", "source.a"))
     reads = kinds.where("branches").groupBy("doc_id", "key").agg(
@@ -119,13 +120,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reads = base.join(reads.hint("shuffle_hash"), ["doc_id", "key"]).select(
         "doc_id", "text", "p.a", "p.n", "p.p1", "p.p2")
     edges = cut_lineage(_edges(reads, window))
-    first = edges.groupBy("e1", "e2").agg(F.min("doc_id").alias("lo"))
+    first = cut_lineage(edges.groupBy("e1", "e2").agg(F.min("doc_id").alias("lo")))
     split = edges.join(first, ["e1", "e2"]).groupBy("p1", "p2").agg(
         F.collect_list(F.struct("off", F.lit(1).alias("size"), "lo")).alias("known"))
     whole = kinds.where("not branches").select(
         "p1", "p2", F.array(F.struct(F.lit(0).alias("off"), F.col("n").alias("size"), F.col("doc_id").alias("lo"))).alias("known"))
     # Paths whose edges are all in their own first document decide nothing for it.
-    claims = found.join(whole.union(split), ["p1", "p2"]).select(
+    claims = found.join(cut_lineage(whole.union(split)), ["p1", "p2"]).select(
         "doc_id", "key", F.expr("filter(transform(known, k -> struct(a + k.off AS start, k.size AS size, k.lo AS lo)), "
                                 "k -> k.lo < doc_id)").alias("runs")).where("size(runs) > 0")
     return claims.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("runs")).alias("r")).select(
