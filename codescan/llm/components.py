@@ -11,14 +11,14 @@ from codescan.session import cut_lineage
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the node's least neighbour."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     moved = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the least of these; links run from large to small."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut_lineage(links.groupBy("a").agg(F.min("b").alias("m")))
     moved = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Runs until nothing moves.  Each round is a table in the shared folder: plans stay short
     and a lost executor costs one round.  A hub with very many links is combined on the map
-    side for its minimum, and its join can be split.
+    side for its minimum, and as the minima are a table of their own, its join can be split.
     """
     links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     links = cut_lineage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -39,4 +39,4 @@ def components(links: DataFrame) -> DataFrame:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
                 links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = now
-        links = cut_lineage(_small_star(_large_star(links)))
+        links = cut_lineage(_small_star(cut_lineage(_large_star(links))))

@@ -221,9 +221,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
     nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = cut_lineage(components(node_links(nodes.select("fp"), distance)))
-    linked = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    linked = cut_lineage(nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")))
+    least = cut_lineage(linked.groupBy("root").agg(F.min("first").alias("component_id")))
     classes = cut_lineage(linked.join(least, "root").select("fp", "component_id"))
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 

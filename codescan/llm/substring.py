@@ -19,7 +19,6 @@ documents begin or where more than two documents overlap.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
