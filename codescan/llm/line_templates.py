@@ -71,7 +71,9 @@ def line_templates(base: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS,
     kinds = cut_lineage(pairs.groupBy("leaf", "h1", "h2").agg(
         F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "at")).alias("source")))
     same = kinds.where(F.col("docs") >= min_docs)
-    leaves = pairs.select("leaf", "doc_id").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
+    # Lookups are written before they are joined, so that a popular key can be split.
+    leaves = cut_lineage(pairs.select("leaf", "doc_id").distinct().groupBy("leaf").count().where(
+        F.col("count") >= min_docs).select("leaf"))
     other = kinds.join(leaves, "leaf", "left_semi").select("leaf", "h1", "h2", "docs", "source.doc_id", "source.at.key", "source.at.line_no")
     # The text of the different lines of a recurring leaf, read where each is first.
     reads = other.groupBy("doc_id", "key").agg(F.collect_list(F.struct("leaf", "h1", "h2", "docs", "line_no")).alias("wanted"))
@@ -79,15 +81,15 @@ def line_templates(base: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS,
         "doc_id", F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
     texts = texts.select("w.leaf", "w.h1", "w.h2", "w.docs", "doc_id", _masked(F.expr("all[w.line_no]")).alias("line"))
     tokens = cut_lineage(texts.select("leaf", "h1", "h2", "docs", "doc_id", F.posexplode(F.split("line", " ")).alias("place", "token")))
-    constants = tokens.where(F.col("token") != VARIABLE).groupBy("leaf", "place", "token").agg(
-        F.sum("docs").alias("support")).where(F.col("support") >= min_docs).drop("support")
+    constants = cut_lineage(tokens.where(F.col("token") != VARIABLE).groupBy("leaf", "place", "token").agg(
+        F.sum("docs").alias("support")).where(F.col("support") >= min_docs).drop("support"))
     found = tokens.join(constants.withColumn("constant", F.lit(True)), ["leaf", "place", "token"], "left")
     shaped = found.groupBy("leaf", "h1", "h2", "docs", "doc_id").agg(
         F.count("constant").alias("constants"), F.count(F.lit(1)).alias("size"),
         F.xxhash64(F.sort_array(F.collect_list(F.struct("place", F.when(F.col("constant"), F.col("token")).alias("token"))))).alias("template"))
     shaped = cut_lineage(shaped.where(F.col("constants") >= F.col("size") * min_constant))
-    recurring = shaped.groupBy("leaf", "template").agg(F.sum("docs").alias("docs"), F.min("doc_id").alias("first")).where(
-        F.col("docs") >= min_docs)
+    recurring = cut_lineage(shaped.groupBy("leaf", "template").agg(
+        F.sum("docs").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs))
     # A line that recurs as it is is a template of its own, even where others share a wider one.
     marked = shaped.join(recurring.select("leaf", "template", "first"), ["leaf", "template"]).select("h1", "h2", "first")
     marked = marked.union(same.select("h1", "h2", F.col("source.doc_id").alias("first")))
