@@ -1,8 +1,8 @@
 """Quality by importance resampling.
 
-Texts are bags of words and word pairs, hashed to buckets.  One generative model is counted over
-the target texts, one over all raw texts; a text's log weight is the log of the ratio of its
-probabilities under them.  Adding Gumbel noise and keeping the largest sums samples without
+Texts are bags of words and word pairs, with their capitals and punctuation, hashed to buckets.
+One generative model is counted over the target texts, one over all raw texts; a text's log
+weight is the log of the ratio of its probabilities under them.  Adding Gumbel noise and keeping the largest sums samples without
 replacement in proportion to the weights.
 """
 
@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codescan.llm.words import ALNUM, U64, Words, blocks, mix
+from codescan.llm.words import U64, Words, blocks, mix
 from codescan.session import cut_lineage
 
 BUCKETS = 1 << 14
 TARGET_ROWS = 20_000  # target texts: the labelled rows of good quality, this many by hash at most
 FRACTION = 0.5        # share of the rows that is kept
+PRIOR = 1000.0        # features of raw text that smooth the target model
 SEED = 17
 
 
@@ -41,7 +42,7 @@ def bucket_counts(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id"
         target, raw = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
         for block in blocks(batches):
             wanted = block.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            doc, code = _features(Words(block.column(0), ALNUM, lower=True), buckets)
+            doc, code = _features(Words(block.column(0)), buckets)
             raw += np.bincount(code, minlength=buckets)
             target += np.bincount(code[wanted[doc]], minlength=buckets)
         at = np.flatnonzero(raw)
@@ -59,8 +60,13 @@ def bucket_counts(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id"
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Log of the buckets' probabilities under the target over those under the raw model, one added to each count."""
-    return np.log((target + 1) / (target.sum() + len(target))) - np.log((raw + 1) / (raw.sum() + len(raw)))
+    """Log of the buckets' probabilities under the target over those under the raw model.
+
+    ``PRIOR`` features of raw text count as target text too: what the target has not seen is
+    unlikely under it, and without any target text all ratios are 1.
+    """
+    share = (raw + 1) / (raw.sum() + len(raw))
+    return np.log((target + PRIOR * share) / (target.sum() + PRIOR)) - np.log(share)
 
 
 def log_weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
@@ -72,7 +78,7 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            doc, code = _features(Words(block.column(1), ALNUM, lower=True), len(ratio))
+            doc, code = _features(Words(block.column(1)), len(ratio))
             weight = np.bincount(doc, ratio[code], minlength=block.num_rows)
             noise = mix(block.column(2).to_numpy().view(U64) + U64(seed))
             uniform = ((noise >> U64(11)).astype(np.float64) + 0.5) / float(1 << 53)
