@@ -83,7 +83,8 @@ def test_sample_prefers_the_target(mixed):
     assert len(got) == len(rows)
     kept = [r for r in got if r.kept]
     assert len(rows) // 2 <= len(kept) <= len(rows) // 2 + 1  # a repeated row may tie
-    assert sum(r.doc_id is not None and r.doc_id % 4 == 0 and r.doc_id < 400 for r in kept) <= 4
+    # A plain sample would hold some 50 of the 100 junk texts.
+    assert sum(r.doc_id is not None and r.doc_id % 4 == 0 and r.doc_id < 400 for r in kept) <= 10
     assert {r.log_weight for r in got if r.doc_id in (400, 401)} == {0.0}
     assert min(r.gumbel_key for r in kept) >= max(r.gumbel_key for r in got if not r.kept)
 
