@@ -53,12 +53,20 @@ def _leaf(line: Column, depth: int) -> Column:
     return F.xxhash64(_tokens(line), F.substring_index(line, " ", depth))
 
 
-def parse_lines(base: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, key, line_no, leaf, h1, h2): the lines that are deep enough for the tree, by hashes."""
+def _variables(line: Column) -> Column:
+    return (F.length(line) - F.length(F.replace(line, F.lit(VARIABLE), F.lit("")))) / len(VARIABLE)
+
+
+def parse_lines(base: DataFrame, depth: int = DEPTH, min_constant: float = MIN_CONSTANT) -> DataFrame:
+    """(doc_id, key, line_no, leaf, h1, h2, fixed): the lines that are deep enough for the tree, by hashes.
+
+    ``fixed`` lines have few enough tokens with digits to be a template as they are.
+    """
     lines = base.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.select("doc_id", "key", "line_no", _masked(F.col("line")).alias("line"))
     lines = lines.select("doc_id", "key", "line_no", _tokens(F.col("line")).alias("n"), _leaf(F.col("line"), depth).alias("leaf"),
-                         F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+                         F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
+                         (_tokens(F.col("line")) - _variables(F.col("line")) >= _tokens(F.col("line")) * min_constant).alias("fixed"))
     # Written before it is filtered: a filter would be pushed down and mask every line once more.
     return cut_lineage(lines).where(F.col("n") >= depth).drop("n")
 
@@ -66,11 +74,11 @@ def parse_lines(base: DataFrame, depth: int = DEPTH) -> DataFrame:
 def line_templates(base: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS,
                    min_constant: float = MIN_CONSTANT) -> DataFrame:
     """(h1, h2, first): lines whose template recurs, with the first document that has the template."""
-    pairs = cut_lineage(lines.groupBy("leaf", "h1", "h2", "doc_id").agg(F.min(F.struct("key", "line_no")).alias("at")))
+    pairs = cut_lineage(lines.groupBy("leaf", "h1", "h2", "fixed", "doc_id").agg(F.min(F.struct("key", "line_no")).alias("at")))
     # One row for each different line: how many documents have it, and where it is first.
-    kinds = cut_lineage(pairs.groupBy("leaf", "h1", "h2").agg(
+    kinds = cut_lineage(pairs.groupBy("leaf", "h1", "h2", "fixed").agg(
         F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "at")).alias("source")))
-    same = kinds.where(F.col("docs") >= min_docs)
+    same = kinds.where(F.col("fixed") & (F.col("docs") >= min_docs))
     # Lookups are written before they are joined, so that a popular key can be split.
     leaves = cut_lineage(pairs.select("leaf", "doc_id").distinct().groupBy("leaf").count().where(
         F.col("count") >= min_docs).select("leaf"))
@@ -106,7 +114,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more columns: lines of the text and lines dropped.
     """
     base = _base(docs, id_col, text_col)
-    lines = parse_lines(base, depth)
+    lines = parse_lines(base, depth, min_constant)
     marked = cut_lineage(line_templates(base, lines, min_docs, min_constant))
     hits = lines.join(marked, ["h1", "h2"])
     if keep_first:

@@ -85,7 +85,8 @@ shaped AS (SELECT tok.n, tok.lead, m, docs, first, count(con.token) AS constants
 good AS (SELECT * FROM shaped WHERE constants >= n * 0.6),
 recur AS (SELECT n, lead, template, min(first) AS f FROM good GROUP BY n, lead, template HAVING sum(docs) >= 10),
 marked AS (SELECT m, min(f) AS f FROM (SELECT m, f FROM good JOIN recur USING (n, lead, template)
-                                       UNION ALL SELECT m, first FROM kinds WHERE docs >= 10) GROUP BY m),
+                                       UNION ALL SELECT m, first FROM kinds WHERE docs >= 10
+                                         AND n - (len(m) - len(replace(m, '<*>', ''))) / 3 >= n * 0.6) GROUP BY m),
 kept AS (SELECT rid, count(*) FILTER (n >= 3 AND f < doc_id) AS n_dropped,
                 string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT coalesce(n >= 3 AND f < doc_id, false)) AS kept
          FROM t LEFT JOIN marked USING (m) GROUP BY rid)

@@ -21,6 +21,13 @@ def test_templates_with_variable_fields(spark):
     assert not gone[0].startswith("Posted")
 
 
+def test_lines_of_variables_alone_are_no_template(spark):
+    rows = [(i, f"{i}a {i}b {i}c {i}d\n7 7 7 7\nx{i} y z u v w") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lt.drop_repeated_lines(docs).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == f"{i}a {i}b {i}c {i}d\n7 7 7 7" for i in range(1, 12))
+
+
 def test_odd_rows(spark, docs, empty):
     kept = lt.drop_repeated_lines(docs, min_docs=2, counts=("n_lines", "n_dropped"))
     assert kept.columns == [*docs.columns, "n_lines", "n_dropped"]
