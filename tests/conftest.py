@@ -1,6 +1,6 @@
 import pytest
 
-from codescan.session import local_session
+from codescan.session import clear_work, local_session
 
 
 @pytest.fixture(scope="session")
@@ -8,6 +8,7 @@ def spark():
     session = local_session(4, shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_work(session)
     session.stop()
 
 
