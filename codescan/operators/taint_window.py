@@ -90,10 +90,11 @@ def tainted_names(facts: DataFrame, rounds: int = 3) -> DataFrame:
     for i in range(rounds + 1):
         if write_counted(fresh, f"{table}/round={i}") == 0:
             break
-        tainted = spark.read.schema(schema).parquet(table).select(*schema.names)
-        known = tainted.select(*keys).distinct()
+        known = spark.read.schema(schema).parquet(table).select(*keys).distinct()
+        # Mentions of older names were followed in their own round.
+        newest = spark.read.schema(schema).parquet(f"{table}/round={i}").select(*keys).distinct()
         fresh = (
-            steps.join(known, keys, "left_semi")
+            steps.join(newest, keys, "left_semi")
             .select("file", F.col("lhs").alias("name"), "line_no").distinct()
             .join(known, keys, "left_anti")
         )
@@ -122,10 +123,13 @@ def nearest_sources(tainted: DataFrame, uses: DataFrame, window: int = 25) -> Da
 
 
 def taint_window(lines: DataFrame, window: int = 25, languages: tuple[str, ...] = DEFAULT_LANGUAGES,
-                 extra_sinks: tuple = ()) -> DataFrame:
-    """Findings of (file, language, line_no, line) rows; one per (line, rule)."""
+                 extra_sinks: tuple = (), rounds: int = 3) -> DataFrame:
+    """Findings of (file, language, line_no, line) rows; one per (line, rule).
+
+    A value is followed through ``rounds`` assignments beyond its source.
+    """
     facts = cut_lineage(line_facts(lines, languages, extra_sinks))  # read once per round
-    tainted = tainted_names(facts)
+    tainted = tainted_names(facts, rounds)
     uses = (
         facts.where(F.size("sinks") > 0)
         .join(tainted.select("file").distinct(), "file", "left_semi")
