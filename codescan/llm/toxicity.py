@@ -50,9 +50,23 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(text, term) of all words and of the beginnings of longer words; sorted by text, each term once."""
-    return _terms_in_context(words)[:2]
+def _terms(words: Words, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, term) of all words and of the beginnings of longer words; sorted by text, each term once.
+
+    With ``wanted``, sorted codes, only these terms are looked for.
+    """
+    return _terms_in_context(words, wanted)[:2]
+
+
+def _found(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which codes are among the wanted ones; their low bits rule out most at once."""
+    low = np.zeros(1 << 16, dtype=bool)
+    low[(wanted & U64(0xFFFF)).astype(np.int64)] = True
+    maybe = np.flatnonzero(low[(codes & U64(0xFFFF)).astype(np.int64)])
+    if not len(maybe):
+        return maybe
+    at = np.minimum(np.searchsorted(wanted, codes[maybe]), len(wanted) - 1)
+    return maybe[wanted[at] == codes[maybe]]
 
 
 def _beginning(words: Words, n: int) -> np.ndarray:
@@ -62,7 +76,7 @@ def _beginning(words: Words, n: int) -> np.ndarray:
     return mix(packed + (U64(n) << U64(56)))
 
 
-def _terms_in_context(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _terms_in_context(words: Words, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Texts and terms as above, the hash of the word before the term's first place, and of the term's beginning."""
     doc, length, whole = words.doc(), words.end - words.start, words.hashes()
     before, stem = np.r_[U64(0), whole[:-1]][:len(whole)], _beginning(words, PREFIXES[0])
@@ -72,6 +86,9 @@ def _terms_in_context(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         code.append((stem if n == PREFIXES[0] else _beginning(words, n))[long])
         row.append(np.flatnonzero(long))
     code, row = np.concatenate(code), np.concatenate(row)
+    if wanted is not None:
+        place = _found(code, wanted)
+        code, row = code[place], row[place]
     order = np.lexsort((code, doc[row]))
     code, row = code[order], row[order]
     new = np.ones(len(code), dtype=bool)
@@ -137,7 +154,7 @@ class Model:
         return _sigmoid(np.log(self.prior / (1 - self.prior)) + bits @ hit + (masks == 0) * none)
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        docs, codes = _terms(Words(texts, ALNUM, lower=True))
+        docs, codes = _terms(Words(texts, ALNUM, lower=True), np.union1d(self.terms, self.features))
         total = self.bias + _bits(self.votes(texts, docs, codes)) @ self.vote_weights
         if len(self.features) and len(codes):
             at = np.minimum(np.searchsorted(self.features, codes), len(self.features) - 1)
@@ -275,7 +292,7 @@ def _corpus_votes(docs: DataFrame, text_col: str, model: Model) -> pa.Table:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             texts = block.column(0)
-            mask, n = np.unique(model.votes(texts, *_terms(Words(texts, ALNUM, lower=True))), return_counts=True)
+            mask, n = np.unique(model.votes(texts, *_terms(Words(texts, ALNUM, lower=True), model.terms)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(mask), pa.array(n)], ["mask", "n"])
 
     rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "mask long, n long")
