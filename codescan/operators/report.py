@@ -59,6 +59,20 @@ def rule_drilldown(findings: DataFrame, rule_id: str) -> DataFrame:
     )
 
 
+def rule_head(findings: DataFrame, rule_id: str) -> DataFrame:
+    """The head of a drill-down: worst severity, findings, files, and the guidance; no row for an unknown rule."""
+    worst = F.min_by("severity", F.when(F.col("severity") == "CRITICAL", 0).when(F.col("severity") == "HIGH", 1)
+                     .when(F.col("severity") == "MEDIUM", 2).otherwise(3))
+    return rule_drilldown(findings, rule_id).groupBy("rule_id").agg(
+        worst.alias("severity"), F.count("*").alias("findings"), F.countDistinct("file").alias("files"),
+        F.min("title").alias("title"), F.min("fix").alias("fix"))
+
+
+def finding_lines(findings: DataFrame) -> DataFrame:
+    """The lines with findings of every file, one row each, so a file with very many stays spread."""
+    return findings.select("file", "line").distinct()
+
+
 def files_with_findings(findings: DataFrame) -> DataFrame:
     """Distinct lines per file, counted rather than collected."""
     return findings.groupBy("file").agg(F.countDistinct("line").alias("n_lines"))

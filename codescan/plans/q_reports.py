@@ -370,6 +370,11 @@ QUERIES = {
                   f"SELECT rule_id, count(*) AS n FROM ({FOUND}) GROUP BY 1 ORDER BY n DESC, rule_id LIMIT 4"),
     "top_files": (lambda s, d: rp.top_files(found(s, d)),
                   f"SELECT file, count(*) AS n FROM ({FOUND}) GROUP BY 1 ORDER BY n DESC, file LIMIT 10"),
+    "finding_lines": (lambda s, d: rp.finding_lines(found(s, d)), f"SELECT DISTINCT file, line FROM ({FOUND})"),
+    "rule_head": (lambda s, d: rp.rule_head(found(s, d), "SEC004"), f"""
+SELECT 'SEC004' AS rule_id, arg_min(severity, CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END) AS severity,
+  count(*) AS findings, count(DISTINCT file) AS files, {q(HELP_BY_CWE['CWE-89'][0])} AS title, {q(HELP_BY_CWE['CWE-89'][1])} AS fix
+FROM ({FOUND}) WHERE rule_id = 'SEC004' HAVING count(*) > 0"""),
     "files_with_findings": (files_with_findings,
                             f"SELECT file, count(DISTINCT line) AS n_lines FROM ({FOUND}) GROUP BY file"),
     "baseline_write": (lambda s, d: fd.fingerprints(found(s, d)), f"SELECT DISTINCT {PRINT} AS fingerprint FROM ({FOUND})"),
