@@ -85,7 +85,8 @@ def line_templates(base: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS,
     other = kinds.join(leaves, "leaf", "left_semi").select("leaf", "h1", "h2", "docs", "source.doc_id", "source.at.key", "source.at.line_no")
     # The text of the different lines of a recurring leaf, read where each is first.
     reads = other.groupBy("doc_id", "key").agg(F.collect_list(F.struct("leaf", "h1", "h2", "docs", "line_no")).alias("wanted"))
-    texts = base.join(reads.hint("shuffle_hash"), ["doc_id", "key"]).select(
+    # Repeated rows are one text: read k times, a line would count k times.
+    texts = base.dropDuplicates(["doc_id", "key"]).join(reads.hint("shuffle_hash"), ["doc_id", "key"]).select(
         "doc_id", F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
     texts = texts.select("w.leaf", "w.h1", "w.h2", "w.docs", "doc_id", _masked(F.expr("all[w.line_no]")).alias("line"))
     tokens = cut_lineage(texts.select("leaf", "h1", "h2", "docs", "doc_id", F.posexplode(F.split("line", " ")).alias("place", "token")))

@@ -116,7 +116,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "p1", "p2", "n", "branches", "source.doc_id", "source.key", "source.a"))
     reads = kinds.where("branches").groupBy("doc_id", "key").agg(
         F.collect_list(F.struct("a", "n", "p1", "p2")).alias("p"))
-    reads = base.join(reads.hint("shuffle_hash"), ["doc_id", "key"]).select(
+    # Repeated rows are one text here: its edges are known once, and its runs are kept once.
+    reads = base.dropDuplicates(["doc_id", "key"]).join(reads.hint("shuffle_hash"), ["doc_id", "key"]).select(
         "doc_id", "text", "p.a", "p.n", "p.p1", "p.p2")
     edges = cut_lineage(_edges(reads, window))
     first = cut_lineage(edges.groupBy("e1", "e2").agg(F.min("doc_id").alias("lo")))
@@ -128,7 +129,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     claims = found.join(cut_lineage(whole.union(split)), ["p1", "p2"]).select(
         "doc_id", "key", F.expr("filter(transform(known, k -> struct(a + k.off AS start, k.size AS size, k.lo AS lo)), "
                                 "k -> k.lo < doc_id)").alias("runs")).where("size(runs) > 0")
-    return claims.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("runs")).alias("r")).select(
+    return claims.groupBy("doc_id", "key").agg(F.flatten(F.collect_set("runs")).alias("r")).select(
         "doc_id", "key", F.col("r.start").alias("starts"), F.col("r.size").alias("sizes"))
 
 

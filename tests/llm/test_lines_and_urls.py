@@ -1,5 +1,7 @@
 """Line templates and URL filters: cases that the tables do not hold."""
 
+from collections import Counter, defaultdict
+
 import pytest
 
 from codescan.llm import line_templates as lt
@@ -48,6 +50,47 @@ def test_many_lines_and_long_ones(spark):
     assert got[0].count(line) == 4 and all(got[i] == f"own {i}" for i in range(1, 12))
 
 
+def plain_lines(rows, min_docs, depth=3, share=0.6):
+    """Texts without the lines of recurring templates, on distinct documents as in OP8_SQL."""
+    def mask(line):
+        return " ".join("<*>" if any(c in "0123456789" for c in t) else t for t in line.strip().split(" "))
+
+    holders, leaves, support, groups, first = defaultdict(set), defaultdict(set), Counter(), defaultdict(list), {}
+    for doc_id, text in rows:
+        for m in map(mask, text.split("\n")):
+            if len(m.split(" ")) >= depth:
+                holders[m].add(doc_id)
+                leaves[len(m.split(" ")), *m.split(" ")[:depth]].add(doc_id)
+    leaf = {m: (len(m.split(" ")), *m.split(" ")[:depth]) for m in holders}
+    for m, ids in holders.items():
+        for place, token in enumerate(m.split(" ")):
+            support[leaf[m], place, token] += len(ids)
+    for m in holders:
+        tokens = m.split(" ")
+        shape = tuple(t if t != "<*>" and support[leaf[m], i, t] >= min_docs else None for i, t in enumerate(tokens))
+        fixed = len(tokens) - tokens.count("<*>") >= share * len(tokens)
+        if fixed and len(holders[m]) >= min_docs:
+            first[m] = min(holders[m])
+        if len(leaves[leaf[m]]) >= min_docs and sum(t is not None for t in shape) >= share * len(tokens):
+            groups[leaf[m], shape].append(m)
+    for members in groups.values():
+        if sum(len(holders[m]) for m in members) >= min_docs:
+            for m in members:
+                first[m] = min([first.get(m, 1 << 60), *(min(holders[x]) for x in members)])
+    return sorted((i, "\n".join(x for x in t.split("\n") if first.get(mask(x), 1 << 60) >= i)) for i, t in rows)
+
+
+def test_repeated_rows_count_once(spark):
+    """A row repeated many times is one document: its words are no constants, its template stays the others'."""
+    rows = [(i, f"sold to the buyer {n} for cash at noon\nown {n}") for i, n in enumerate("abcdef")]
+    rows += [(20 + i, f"go to the {a} {b} {c} now") for i, (a, b, c) in enumerate(zip("abcd", "efgh", "ijkl"))]
+    rows += [rows[0]] * 12 + [rows[6]] * 12
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.text) for r in lt.drop_repeated_lines(docs, min_docs=4).collect())
+    assert got == plain_lines(rows, 4)
+    assert all((i, f"own {n}") in got for i, n in enumerate("abcdef") if i)
+
+
 @pytest.mark.parametrize("url,host,path,rule", [
     ("http://A.Example.NET/en/x?q#f", "a.example.net", "/en/x", "example.net/en/"),
     ("http://example.net/en", "example.net", "/en", "net/"),

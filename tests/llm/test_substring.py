@@ -48,6 +48,18 @@ def test_paths_branch_inside_repeats(spark):
     assert result(substring.remove_repeats(df, window=12, anchor=4)) == plain(rows, 12)
 
 
+def test_repeated_rows_are_read_once(spark):
+    """A row repeated k times has its runs once, not k * k times."""
+    rng = random.Random(4)
+    shared = [f"w{rng.randrange(50)}" for _ in range(40)]
+    rows = [(i, " ".join([f"a{i}", *shared[i:], f"b{i}", *shared[:20 + i]])) for i in range(5)]
+    rows += [rows[3]] * 15
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = substring.repeated_spans(df, window=12, anchor=4).collect()
+    assert spans and all(len(set(zip(r.starts, r.sizes))) == len(r.starts) for r in spans)
+    assert result(substring.remove_repeats(df, window=12, anchor=4)) == plain(rows, 12)
+
+
 def test_empty(empty):
     assert substring.remove_repeats(empty).collect() == []
 
