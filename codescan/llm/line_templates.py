@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from codescan.session import cut_lineage
 
-DEPTH = 3            # leading tokens of the tree; shorter lines are not parsed and stay
+DEPTH = 3            # leading tokens of the tree; shorter lines are parsed with every_line alone
 MIN_DOCS = 10        # documents a template or a constant occurs in
 MIN_CONSTANT = 0.6   # share of a template's tokens that are constant
 VARIABLE = "<*>"
@@ -31,15 +31,20 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(text_col).alias("text"))
 
 
+def _plain(line: Column) -> Column:
+    """A line without outer blanks, other blanks as spaces."""
+    for blank in _BLANKS:
+        line = F.replace(line, F.lit(blank), F.lit(" "))
+    return F.trim(line)
+
+
 def _masked(line: Column) -> Column:
     """A line without outer blanks, tokens with a digit replaced.
 
     Most lines have neither other blanks nor digits; plain searches find that out at less cost
     than a translation or a pattern.
     """
-    for blank in _BLANKS:
-        line = F.replace(line, F.lit(blank), F.lit(" "))
-    plain, digit = F.trim(line), F.lit(False)
+    plain, digit = _plain(line), F.lit(False)
     for d in "0123456789":
         digit = digit | line.contains(d)
     return F.when(digit, F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(plain)
@@ -57,18 +62,30 @@ def _variables(line: Column) -> Column:
     return (F.length(line) - F.length(F.replace(line, F.lit(VARIABLE), F.lit("")))) / len(VARIABLE)
 
 
-def parse_lines(base: DataFrame, depth: int = DEPTH, min_constant: float = MIN_CONSTANT) -> DataFrame:
+def parse_lines(base: DataFrame, depth: int = DEPTH, min_constant: float = MIN_CONSTANT,
+                every_line: bool = False) -> DataFrame:
     """(doc_id, key, line_no, leaf, h1, h2, fixed): the lines that are deep enough for the tree, by hashes.
 
-    ``fixed`` lines have few enough tokens with digits to be a template as they are.
+    ``fixed`` lines have few enough tokens with digits to be a template as they are.  With
+    ``every_line`` all lines but blank ones are parsed, by as many leading tokens as they have, and a line
+    that is not fixed is there once more, unmasked and without a leaf: a template of its own words.
     """
     lines = base.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "key", "line_no", _masked(F.col("line")).alias("line"))
+    plain = [_plain(F.col("line")).alias("plain")] if every_line else []
+    lines = lines.select("doc_id", "key", "line_no", _masked(F.col("line")).alias("line"), *plain)
+    own = [(F.col("line") != "").alias("filled"), F.xxhash64(F.lit(2), "plain").alias("v1"),
+           F.xxhash64(F.lit(3), "plain").alias("v2")] if every_line else []
     lines = lines.select("doc_id", "key", "line_no", _tokens(F.col("line")).alias("n"), _leaf(F.col("line"), depth).alias("leaf"),
                          F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
-                         (_tokens(F.col("line")) - _variables(F.col("line")) >= _tokens(F.col("line")) * min_constant).alias("fixed"))
+                         (_tokens(F.col("line")) - _variables(F.col("line")) >= _tokens(F.col("line")) * min_constant).alias("fixed"), *own)
     # Written before it is filtered: a filter would be pushed down and mask every line once more.
-    return cut_lineage(lines).where(F.col("n") >= depth).drop("n")
+    lines = cut_lineage(lines)
+    if not every_line:
+        return lines.where(F.col("n") >= depth).drop("n")
+    lines = lines.where("filled")
+    verbatim = lines.where("not fixed").select("doc_id", "key", "line_no", F.lit(None).cast("long").alias("leaf"),
+                                               F.col("v1").alias("h1"), F.col("v2").alias("h2"), F.lit(True).alias("fixed"))
+    return lines.drop("n", "filled", "v1", "v2").unionByName(verbatim)
 
 
 def line_templates(base: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS,
@@ -107,15 +124,16 @@ def line_templates(base: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS,
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
                         min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, keep_first: bool = True,
-                        counts: tuple[str, str] | None = None) -> DataFrame:
+                        counts: tuple[str, str] | None = None, every_line: bool = False) -> DataFrame:
     """docs with the lines of recurring templates cut out of the text; rows and other columns stay.
 
     With ``keep_first`` the document with the least doc_id keeps its lines of a template, so no text
     is lost altogether.  Rows without doc_id and null texts stay as they are.  ``counts`` names two
-    more columns: lines of the text and lines dropped.
+    more columns: lines of the text and lines dropped.  Lines of fewer than ``depth`` tokens, and lines
+    that are the same throughout but mostly tokens with digits, count with ``every_line`` alone.
     """
     base = _base(docs, id_col, text_col)
-    lines = parse_lines(base, depth, min_constant)
+    lines = parse_lines(base, depth, min_constant, every_line)
     marked = cut_lineage(line_templates(base, lines, min_docs, min_constant))
     hits = lines.join(marked, ["h1", "h2"])
     if keep_first:

@@ -2,6 +2,7 @@
 
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import pytest
 
 from codescan.llm import line_templates as lt
@@ -91,6 +92,17 @@ def test_repeated_rows_count_once(spark):
     assert all((i, f"own {n}") in got for i, n in enumerate("abcdef") if i)
 
 
+def test_the_pipeline_drops_every_line_that_recurs(spark):
+    """Short lines, and lines of digits that are the same throughout; blank ones and digits that differ stay."""
+    rows = [(i, f"Les.\n\nAnd ornd.\n  Tel: 555-1234 / 555-9999\n7 7 7 7\n{i} {i}\nPage {i}\n \nown {'abcdefghijkl'[i]}") for i in range(12)]
+    rows += [(20 + i, "rare one") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    assert got == {i: t if i == 0 or i >= 20 else f"\n{i} {i}\nPage {i}\n \nown {'abcdefghijkl'[i]}" for i, t in rows}
+    both = {r.doc_id: r.text for r in lt.drop_repeated_lines(docs, every_line=True, keep_first=False).collect()}
+    assert both[0] == "\n0 0\nPage 0\n \nown a"
+
+
 @pytest.mark.parametrize("url,host,path,rule", [
     ("http://A.Example.NET/en/x?q#f", "a.example.net", "/en/x", "example.net/en/"),
     ("http://example.net/en", "example.net", "/en", "net/"),
