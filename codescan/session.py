@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def work_table(spark: SparkSession, purpose: str) -> str:
+    """A new name for a managed table in the shared folder; DROP TABLE deletes its files."""
+    folder = f"{shared_dir(spark)}/tables"
+    database = f"codescan_{zlib.crc32(folder.encode()):08x}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{folder}'")
+    return f"{database}.{purpose}_{uuid.uuid4().hex}"
+
+
 def write_counted(df: DataFrame, path: str) -> int:
     """Write a table and return its number of rows, counted on the way."""
     seen = Observation()
