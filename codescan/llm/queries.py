@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codescan.llm import decontaminate, digests, licenses, line_templates, packing, quality, simhash, substring, toxicity, urls
+from codescan.llm import (
+    decontaminate, digests, lexical, licenses, line_templates, packing, quality, residents, simhash, substring, suffixes, toxicity, urls,
+)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -167,6 +169,93 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
 """
 
+
+def op11_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that start anywhere else."""
+    kept = suffixes.remove_repeats(_table(spark, sf, "documents"), length=400)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# Bytes are pairs of hex digits here.  Runs that touch are one run.
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT rid, b, substr(x, CAST(2 * b + 1 AS BIGINT), 2 * (512 + 399)) AS y
+      FROM (SELECT rid, x, unnest(range(0, len(x) // 2 - 399, 512)) AS b FROM d)),
+w AS (SELECT rid, b + j AS i, md5(substr(y, CAST(2 * j + 1 AS BIGINT), 800)) AS g
+      FROM (SELECT rid, b, y, unnest(range(0, len(y) // 2 - 399)) AS j FROM c)),
+r AS (SELECT rid, i FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(*) > 1)),
+e AS (SELECT *, i > coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -1000) + 400 AS new FROM r),
+k AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY rid ORDER BY i) AS island FROM e),
+runs AS (SELECT rid, min(i) AS a, max(i) + 400 AS b FROM k GROUP BY rid, island),
+gaps AS (SELECT rid, a, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS since
+         FROM (SELECT rid, a, b FROM runs UNION ALL SELECT rid, len(x) // 2, len(x) // 2 FROM d)),
+kept AS (SELECT rid, string_agg(substr(x, CAST(2 * since + 1 AS BIGINT), CAST(2 * (a - since) AS BIGINT)), '' ORDER BY a) AS h
+         FROM gaps JOIN d USING (rid) GROUP BY rid),
+n AS (SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY rid)
+SELECT doc_id, len(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(h)) AS kept_sha256
+FROM d JOIN kept USING (rid) LEFT JOIN n USING (rid)
+"""
+
+
+def op12_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every finite vector as four indexes into codebooks of 256 entries, after four rounds."""
+    codes, books = residents.compress(_table(spark, sf, "embeddings"))
+    totals = codes.groupBy(F.col("label").alias("of")).agg(F.try_sum("error").alias("label_error"))
+    digits = F.array_join(F.transform("code", lambda e: F.lpad(F.lower(F.hex(e)), 2, "0")), "")
+    return codes.join(totals, codes["label"].eqNullSafe(totals["of"])).select(
+        "vec_id", digits.alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def _op12_sql() -> str:
+    turn = lambda i: f"""
+a{i} AS MATERIALIZED (SELECT row, p, any_value(x) AS x, min((xx - 2 * list_inner_product(x, y) + yy) * 256 + e) AS m FROM parts JOIN c{i} USING (p) GROUP BY row, p)"""
+    mean = lambda i: f"""
+m{i} AS (SELECT p, CAST(m AS BIGINT) % 256 AS e, k, floor(sum(x[k]) / count(*)) AS v
+         FROM (SELECT p, m, x, unnest(range(1, len(x) + 1)) AS k FROM a{i}) GROUP BY ALL),
+n{i} AS (SELECT p, e, list(v ORDER BY k) AS y FROM m{i} GROUP BY p, e),
+c{i + 1} AS MATERIALIZED (SELECT p, e, y, list_inner_product(y, y) AS yy FROM (
+    SELECT c.p, c.e, coalesce(n.y, c.y) AS y FROM c{i} c LEFT JOIN n{i} n ON c.p = n.p AND c.e = n.e))"""
+    rounds = ",".join(turn(i) + "," + mean(i) for i in range(4))
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label,
+               list_transform(embedding, lambda v: floor(CAST(v AS DOUBLE) * 1024)) AS v
+        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+parts AS MATERIALIZED (SELECT row, p, x, list_inner_product(x, x) AS xx FROM (
+    SELECT row, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x FROM kept, range(4) t(p))),
+c0 AS MATERIALIZED (SELECT p, row - 1 AS e, x AS y, xx AS yy FROM parts WHERE row <= 256),{rounds},{turn(4)},
+coded AS (SELECT row, string_agg(printf('%02x', CAST(CAST(m AS BIGINT) % 256 AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(CAST(m AS BIGINT) // 256) AS BIGINT) AS error FROM a4 GROUP BY row),
+book AS (SELECT sha256(string_agg(CAST(CAST(y[k] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, k)) AS h
+         FROM (SELECT p, e, y, unnest(range(1, len(y) + 1)) AS k FROM c4))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM coded JOIN kept USING (row), book
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_lexical(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_ALNUM_WORDS} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS iid, item_id, {_ALNUM_WORDS} AS w FROM benchmark),
+s AS (SELECT count(*) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM d WHERE len(w) > 0),
+q AS (SELECT iid, item_id, term, count(*) AS times FROM (SELECT iid, item_id, unnest(w) AS term FROM b) GROUP BY ALL),
+p AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, s GROUP BY term, big_n),
+v AS (SELECT rid, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * big_n) // big_l))) AS worth
+      FROM p JOIN f USING (term), s),
+r AS (SELECT iid, item_id, rid, doc_id, CAST(sum(times * worth) AS BIGINT) AS score FROM q JOIN v USING (term) GROUP BY ALL
+      HAVING sum(times * worth) > 0),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r)
+SELECT * FROM o WHERE rank <= 10
+"""
+
 QUERIES = {
     "op1_substring": (op1_substring, None),
     "op2_quality": (op2_quality, None),
@@ -178,4 +267,7 @@ QUERIES = {
     "op8_lines": (op8_lines, OP8_SQL),
     "op9_urls": (op9_urls, OP9_SQL),
     "op10_licenses": (op10_licenses, None),
+    "op11_suffixes": (op11_suffixes, OP11_SQL),
+    "op12_codes": (op12_codes, OP12_SQL),
+    "op13_lexical": (op13_lexical, OP13_SQL),
 }
