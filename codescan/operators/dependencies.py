@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codescan.functions.text import cvss_severity
 from codescan.operators.skew import salted_lookup
+from codescan.session import cut_lineage
 
 CAP = 3
 
@@ -39,15 +40,70 @@ def version_key(version: Column) -> Column:
     return F.concat(pad(release, r"\."), F.when(rest != "", F.concat(F.lit("+"), pad(rest, r"[.\-_]|(?<=\D)(?=\d)"))).otherwise(","))
 
 
-def resolve_ranges(deps: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Advisory rows for the versions that occur in ``deps`` and lie in a range; ``fixed`` is outside its range."""
-    used = deps.where(F.col("version") != "").select("ecosystem", "name", "version").distinct()
-    key = version_key(F.col("version"))
-    rows = used.join(ranges, ["ecosystem", "name"]).where(
-        ((F.col("introduced") == "0") | (key >= version_key(F.col("introduced"))))
-        & (F.col("fixed").isNull() | (key < version_key(F.col("fixed"))))
-        & (F.col("last_affected").isNull() | (key <= version_key(F.col("last_affected")))))
-    return rows.drop("introduced", "fixed", "last_affected")
+PACKAGE = ["ecosystem", "name"]
+_DIGITS = 18  # of a number in a version key; so many characters start a key's first part
+
+
+def _ranked(points: DataFrame) -> DataFrame:
+    """Adds rank: how many version keys of the package come before a point (ecosystem, name, key, side).
+
+    Side 0 is a version, -1 a bound before versions of its key, 1 one behind them.  The sweep runs in parts of a
+    package, cut by the first number of the version; what a part starts with comes from one row for each part,
+    so one package with very many versions is spread over its parts.
+    """
+    part = [*PACKAGE, "part"]
+    points = points.withColumn("part", F.substring("key", 1, _DIGITS))
+    is_version = F.when(F.col("side") == 0, 1).otherwise(0)
+    within = Window.partitionBy(*part).orderBy("key", "side").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*PACKAGE).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = points.groupBy(*part).agg(F.sum(is_version).alias("n")).select(
+        *part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    upto = F.sum(is_version).over(within) - is_version
+    return points.withColumn("_in", upto).join(parts, part).withColumn(
+        "rank", (F.col("start") + F.col("_in")).cast("int")).drop("part", "start", "_in")
+
+
+def resolve_ranges(deps: DataFrame, ranges: DataFrame, cap: int | None = None) -> DataFrame:
+    """Advisory rows for the versions that occur in ``deps`` and lie in a range; ``fixed`` is outside its range.
+
+    Versions of a package are numbered in order, so a range covers a run of numbers.  A run is cut into
+    blocks of 1, 2, 4, ... numbers, of which it needs two of each size at most, and a version lies in one block of
+    each size: the join meets only pairs that hold.  With ``cap`` a block keeps so many advisories, the first by (seq, id),
+    before it is joined; no version can need more of them.
+    """
+    used = deps.where(F.col("version") != "").select(*PACKAGE, "version", version_key(F.col("version")).alias("key")).distinct()
+    numbered = ranges.withColumn("range", F.monotonically_increasing_id())
+    numbered = cut_lineage(numbered)  # the number is stored, so both ends of a range agree on it
+    start = F.when(F.col("introduced") != "0", version_key(F.col("introduced")))
+    bound = lambda key, side, end: F.struct(key.alias("key"), F.lit(side).alias("side"), F.lit(end).alias("end"))
+    bounds = numbered.select(*PACKAGE, "range", F.explode(F.array(
+        bound(start, -1, "lo"), bound(version_key(F.col("fixed")), -1, "hi"),
+        bound(version_key(F.col("last_affected")), 1, "hi"))).alias("b")).select(*PACKAGE, "range", "b.*").where(F.col("key").isNotNull())
+    versions = used.select(*PACKAGE, "key").distinct().withColumn("side", F.lit(0))
+    ranked = cut_lineage(_ranked(versions.unionByName(bounds, allowMissingColumns=True)))
+    places = ranked.where("side = 0").select(*PACKAGE, "key", "rank")
+    runs = ranked.where("side <> 0").groupBy("range").agg(
+        F.max(F.when(F.col("end") == "lo", F.col("rank"))).alias("lo"), F.min(F.when(F.col("end") == "hi", F.col("rank"))).alias("hi"))
+    counts = places.groupBy(*PACKAGE).agg((F.max("rank") + 1).alias("versions"))
+    runs = numbered.join(runs, "range", "left").join(counts, PACKAGE).withColumn("lo", F.coalesce("lo", F.lit(0))).withColumn(
+        "hi", F.coalesce("hi", "versions")).where("lo < hi")
+    # The blocks of a run, smallest first: an odd number at either end is a block of its own size.
+    sizes = F.expr("sequence(0, int(ceil(log2(versions + 1))))")
+    cut = F.expr("filter(flatten(transform(sizes, s -> array(named_struct('size', s, 'block', ceil(lo / power(2, s)), 'odd', 1L, "
+                 "'other', floor(hi / power(2, s))), named_struct('size', s, 'block', floor(hi / power(2, s)) - 1, 'odd', 0L, 'other', "
+                 "ceil(lo / power(2, s)))))), b -> (b.odd = 1 AND b.block % 2 = 1 AND b.block < b.other) OR "
+                 "(b.odd = 0 AND b.block % 2 = 0 AND b.block >= b.other))")
+    blocks = runs.withColumn("sizes", sizes).withColumn("b", F.explode(cut)).select(
+        *numbered.drop("range", "introduced", "fixed", "last_affected").columns, F.col("b.size").alias("size"), F.col("b.block").alias("block"))
+    if cap is not None:
+        key = [*PACKAGE, "size", "block"]
+        first = Window.partitionBy(*key).orderBy("seq", "id")
+        blocks = blocks.dropDuplicates([*key, "id"]).withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= cap).drop("_rn")
+    inside = places.join(counts, PACKAGE).withColumn("size", F.explode(sizes)).withColumn(
+        "block", F.floor(F.col("rank") / F.pow(F.lit(2.0), F.col("size")))).select(*PACKAGE, "key", "size", "block")
+    hits = inside.join(blocks, [*PACKAGE, "size", "block"]).drop("size", "block")
+    return used.join(hits, [*PACKAGE, "key"]).drop("key").select(
+        *PACKAGE, "version", *[c for c in ranges.columns if c not in (*PACKAGE, "introduced", "fixed", "last_affected")])
 
 
 def scan_dependencies(deps: DataFrame, advisories: DataFrame, compat: bool = False, salts: int = 16,
@@ -59,7 +115,7 @@ def scan_dependencies(deps: DataFrame, advisories: DataFrame, compat: bool = Fal
     """
     if ranges is not None:
         open_ended = ranges.drop("introduced", "fixed", "last_affected").withColumn("version", F.lit(""))
-        advisories = advisories.unionByName(resolve_ranges(deps, ranges)).unionByName(open_ended).dropDuplicates(
+        advisories = advisories.unionByName(resolve_ranges(deps, ranges, CAP)).unionByName(open_ended).dropDuplicates(
             ["ecosystem", "name", "version", "id"])
     pinned, open_ = deps.where(F.col("version") != ""), deps.where(F.col("version") == "")
     by_version = salted_lookup(

@@ -70,16 +70,17 @@ def drop_block_comment_lines(lines: DataFrame, key: tuple[str, ...] = ("file",),
     """The same filter for a table that holds lines rather than files.
 
     The state before a line is the last opening or closing event above it, so a running
-    ``last`` replaces the state machine.
+    ``last`` replaces the state machine.  Only files of languages with block comments that hold an opening mark
+    are put in order; the lines of all others pass by.
     """
     opens, closes = F.col("line").contains("/*"), F.col("line").contains("*/")
-    blocky = F.col("language").isin(*lang.BLOCK_COMMENT)
+    language = F.coalesce(F.col("language"), F.lit(""))
+    blocky, rest = lines.where(language.isin(*lang.BLOCK_COMMENT)), lines.where(~language.isin(*lang.BLOCK_COMMENT))
+    marked = blocky.where(opens).select(*key).distinct()
     event = F.when(closes, F.lit("close")).when(opens, F.lit("open"))
-    return (
-        last_above(lines.withColumn("_event", event), key, "line_no", "_event", "_state", block)
-        .where(~(blocky & ((F.coalesce("_state", F.lit("close")) == "open") | opens)))
-        .drop("_state", "_event")
-    )
+    states = last_above(blocky.join(marked, list(key), "left_semi").withColumn("_event", event), key, "line_no", "_event", "_state", block)
+    outside = states.where((F.coalesce("_state", F.lit("close")) != "open") & ~opens).select(*lines.columns)
+    return rest.unionByName(blocky.join(marked, list(key), "left_anti")).unionByName(outside)
 
 
 def clamped_bracket_fold(line: Column) -> Column:

@@ -181,6 +181,27 @@ def page(rows: DataFrame, order: list, number: int = 1, limit: int = 20) -> Data
     return rows.orderBy(*order).offset((max(1, number) - 1) * limit).limit(limit)
 
 
+def page_by_range(rows: DataFrame, key: Column, bucket: Column, order: list, number: int = 1, limit: int = 20,
+                  descending: bool = False) -> DataFrame:
+    """A page of a long listing that sorts one range of its leading key instead of all rows.
+
+    ``bucket`` is a coarser value of the key that keeps its order, such as a day.  Rows are counted for each
+    bucket; only the buckets that the page lies in, of which a row each is gathered, are read and sorted.
+    """
+    limit = min(100, max(1, limit))
+    skip = (max(1, number) - 1) * limit
+    upto = Window.orderBy(F.desc_nulls_last("b") if descending else F.asc_nulls_first("b")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    counts = rows.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(upto))
+    hit = counts.where((F.col("upto") > skip) & (F.col("upto") - F.col("n") < skip + limit)).orderBy("upto").collect()
+    if not hit:
+        return rows.limit(0)
+    inside = F.lit(False)
+    for r in hit:
+        inside = inside | bucket.eqNullSafe(F.lit(r["b"]))
+    return rows.where(inside).orderBy(*order).offset(skip - (hit[0]["upto"] - hit[0]["n"])).limit(limit)
+
+
 def page_counts(rows: DataFrame, limit: int = 20) -> DataFrame:
     limit = min(100, max(1, limit))
     return rows.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / limit))

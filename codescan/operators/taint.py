@@ -1,32 +1,44 @@
 """Scope taint: sources to sinks over assignment and call facts.
 
 All languages share one propagation: nodes are (file, scope, name, label), edges come
-from assignments, and a round is an equi-join followed by an anti-join with what is
-known.  The label tells where the taint started, so the flows of the web sources and of
-every function parameter are computed together.
+from assignments, and what a file's seeds reach is found where its edges lie.  The label tells where
+the taint started, so the flows of the web sources and of every function parameter are computed together.
 """
 
 from __future__ import annotations
 
-import itertools
-from dataclasses import dataclass
+from collections import defaultdict
+from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codescan.functions import text as tx
 from codescan.operators import facts as fa
 from codescan.operators.skew import salted_lookup
 from codescan.rules.metadata import cwe_of, owasp_of
 from codescan.rules.taint_tables import (
     FLOW_SINKS, JS_REQUEST_PARAMS, PROPERTY_SINKS, REQUEST_NAMES, SQL_WORDS, sink_message,
 )
-from codescan.session import cut_lineage, work_folder, write_counted
+from codescan.session import cut_lineage, work_table
 
 WEB = "web"
 NODE = ["file", "scope", "name", "label"]
 
 
+@dataclass(frozen=True)
+class FlowRules:
+    """Rows of a user beside the fixed ones.
+
+    ``sources`` and ``sanitisers`` map a language to an expression: of untrusted input, and of the name of a call
+    that cleans its arguments.  ``sinks`` are rows (language, rule, severity, policy, receiver, callees, message).
+    """
+
+    sources: dict[str, str] = field(default_factory=dict)
+    sanitisers: dict[str, str] = field(default_factory=dict)
+    sinks: tuple = ()
+
+
 @dataclass
 class CodeFacts:
     scoped: DataFrame
@@ -35,15 +47,17 @@ class CodeFacts:
     returned: DataFrame
     params: DataFrame
     guarded: DataFrame
+    rules: FlowRules
 
 
-def extract(files: DataFrame) -> CodeFacts:
+def extract(files: DataFrame, rules: FlowRules | None = None) -> CodeFacts:
     """Facts of (file, language, content) rows, one row per file; kept in the shared folder."""
-    scoped = cut_lineage(fa.with_scopes(fa.statements(files)))
-    assigned = cut_lineage(fa.assignments(scoped))
+    rules = rules or FlowRules()
+    scoped = cut_lineage(fa.statements(files))
+    assigned = cut_lineage(fa.assignments(scoped, rules.sources, rules.sanitisers))
     called = cut_lineage(fa.calls(scoped))
-    return CodeFacts(scoped, assigned, called, fa.returns(scoped), fa.parameters(scoped),
-                     fa.guarded_names(scoped, assigned))
+    return CodeFacts(scoped, assigned, called, fa.returns(scoped, rules.sources, rules.sanitisers), fa.parameters(scoped),
+                     fa.guarded_names(scoped, assigned), rules)
 
 
 def scope_of(name: Column, func: Column, class_name: Column) -> Column:
@@ -52,13 +66,9 @@ def scope_of(name: Column, func: Column, class_name: Column) -> Column:
     return F.when(field, F.concat(F.lit("class "), class_name)).otherwise(func)
 
 
-def flow_edges(facts: CodeFacts, seeds: DataFrame) -> DataFrame:
-    """(file, scope, name, to_scope, to_name): taint of the first reaches the second.
-
-    Edges stay inside a file, so only files that hold a seed contribute.
-    """
-    files = seeds.select("file").distinct()
-    a, c = (rows.join(files, "file", "left_semi") for rows in (facts.assigned, facts.called))
+def flow_edges(facts: CodeFacts) -> DataFrame:
+    """(file, scope, name, to_scope, to_name): taint of the first reaches the second.  Edges stay inside a file."""
+    a, c = facts.assigned, facts.called
     steps = (
         a.select("file", "func", "class_name", "target", F.explode_outer("uses").alias("name"))
         .where(F.col("name").isNotNull() & (F.col("name") != F.col("target")))
@@ -75,7 +85,7 @@ def flow_edges(facts: CodeFacts, seeds: DataFrame) -> DataFrame:
         .select("file", F.col("parent").alias("scope"), "name", F.col("func").alias("to_scope"),
                 F.col("name").alias("to_name"))
     )
-    return steps.unionByName(seen).distinct()
+    return steps.unionByName(seen)
 
 
 def source_seeds(facts: CodeFacts) -> DataFrame:
@@ -109,36 +119,75 @@ def parameter_seeds(facts: CodeFacts, sinks: DataFrame, languages=("python", "ja
         F.concat("func", F.lit("#"), F.col("idx").cast("string")).alias("label")).distinct()
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """All nodes reachable from the seeds.
+class Reach:
+    """Nodes reached over edges, both in tables bucketed by file.
 
-    Each round joins only the newest nodes with the edges and adds what is new as one
-    more part of a table in the shared folder: the plan stays short, and a lost executor
-    costs one round.  Cycles end because known nodes are removed before the next round.
+    An edge never leaves its file, so one pass over the edges of a file, a cell of the input, ends the
+    search in it, however long the chains are.  Edges are shuffled once, when they are stored; a round finds edges and
+    known nodes of a file in one bucket, and its new nodes are written where they belong.
     """
-    spark = seeds.sparkSession
-    table = work_folder(spark, "reached")
-    schema = seeds.select(*NODE).schema
 
-    def read(path: str) -> DataFrame:
-        return spark.read.schema(schema).parquet(path).select(*NODE)
+    def __init__(self, edges: DataFrame):
+        self.spark = edges.sparkSession
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.edges, self.nodes, self.turn = work_table(self.spark, "edges"), work_table(self.spark, "reached"), 0
+        steps = edges.select("file", "scope", "name", "to_scope", "to_name").repartition(self.buckets, "file").distinct()
+        steps.write.bucketBy(self.buckets, "file").saveAsTable(self.edges)
+
+    def _store(self, rows: DataFrame) -> None:
+        rows.write.mode("append").bucketBy(self.buckets, "file").format("parquet").saveAsTable(self.nodes)
+
+    def add(self, nodes: DataFrame, turn: int) -> None:
+        """Store nodes without following them."""
+        self._store(nodes.select(*NODE).distinct().withColumn("turn", F.lit(turn)).repartition(self.buckets, "file"))
+
+    def grow(self, seeds: DataFrame) -> None:
+        """Add seeds that are not known yet, and all nodes that they reach."""
+        known = self.spark.catalog.tableExists(self.nodes)
+        self.add(seeds.select(*NODE).join(self.table(), NODE, "left_anti") if known else seeds, self.turn)
+        self._store(self.following(self.turn))
+        self.turn += 1
+
+    def following(self, turn: int) -> DataFrame:
+        """The nodes that the seeds of a round reach and that are not known."""
+
+        def follow(edges: pa.Table, nodes: pa.Table) -> pa.Table:
+            rows = list(zip(*(nodes.column(c).to_pylist() for c in ("scope", "name", "label", "turn"))))
+            seen = {r[:3] for r in rows}
+            todo = [r[:3] for r in rows if r[3] == turn]
+            found = []
+            if todo:
+                steps = defaultdict(list)
+                for scope, name, *to in zip(*(edges.column(c).to_pylist() for c in ("scope", "name", "to_scope", "to_name"))):
+                    steps[scope, name].append(to)
+            while todo:
+                scope, name, label = todo.pop()
+                for to in steps.get((scope, name), ()):
+                    node = (*to, label)
+                    if node not in seen:
+                        seen.add(node)
+                        found.append(node)
+                        todo.append(node)
+            file = nodes.column("file")[0].as_py() if nodes.num_rows else None
+            columns = [[file] * len(found), *([n[i] for n in found] for i in range(3))]
+            return pa.table([*(pa.array(c, pa.string()) for c in columns), pa.array([turn] * len(found), pa.int32())], [*NODE, "turn"])
+
+        read = self.spark.table
+        return read(self.edges).groupBy("file").cogroup(read(self.nodes).groupBy("file")).applyInArrow(
+            follow, "file string, scope string, name string, label string, turn int")
+
+    def table(self, upto: int | None = None) -> DataFrame:
+        rows = self.spark.table(self.nodes)
+        return (rows if upto is None else rows.where(F.col("turn") <= upto)).select(*NODE)
 
-    def so_far() -> DataFrame:
-        return read(table) if known is None else read(table).unionByName(known.select(*NODE))
 
-    step = seeds.select(*NODE).distinct()
+def propagate(seeds: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """All nodes reachable from the seeds, and the known ones."""
+    reach = Reach(edges)
     if known is not None:
-        step = step.join(known, NODE, "left_anti")
-    for i in itertools.count():
-        part = f"{table}/round={i}"
-        if write_counted(step, part) == 0:
-            break
-        step = (
-            read(part).join(edges, ["file", "scope", "name"])
-            .select("file", F.col("to_scope").alias("scope"), F.col("to_name").alias("name"), "label").distinct()
-            .join(so_far(), NODE, "left_anti")
-        )
-    return so_far()
+        reach.add(known, -1)
+    reach.grow(seeds)
+    return reach.table()
 
 
 def sink_table(spark, extra: tuple = ()) -> DataFrame:
@@ -153,17 +202,17 @@ def sink_table(spark, extra: tuple = ()) -> DataFrame:
 
 def sink_arguments(facts: CodeFacts, extra: tuple = ()) -> DataFrame:
     """Arguments of sink calls that count for the sink: (…, rule_id, uses, is_source)."""
-    spark = facts.called.sparkSession
+    spark, extra = facts.called.sparkSession, (*facts.rules.sinks, *extra)
     key = F.when(F.col("language") == "php", F.lower("last")).otherwise(F.col("last"))
     hits = (
         facts.called.withColumn("last", key)
         .join(F.broadcast(sink_table(spark, extra)), ["language", "last"])  # bounded: a fixed table of a few hundred names
         .where((F.col("receiver_like") == "") | F.expr("receiver rlike concat('^(?:', receiver_like, ')$')"))
     )
-    counted = F.when(F.col("policy") == "first", F.slice("args", 1, 1)).when(
-        F.col("policy") == "rest", F.slice("args", F.lit(2), F.greatest(F.size("args"), F.lit(1)))).otherwise(F.col("args"))
-    clean = lambda a: fa.without_sanitised(a, F.col("language"))
-    keep = ["file", "language", "line_no", "raw", "func", "func_name", "parent", "class_name", "rule_id", "severity",
+    counted = F.when(F.col("policy") == "first", F.slice("paired_args", 1, 1)).when(
+        F.col("policy") == "rest", F.slice("paired_args", F.lit(2), F.greatest(F.size("args"), F.lit(1)))).otherwise(F.col("paired_args"))
+    clean = lambda a: fa.without_sanitised(a, F.col("language"), facts.rules.sanitisers)
+    keep = ["file", "language", "line_no", "snippet", "func", "func_name", "parent", "class_name", "rule_id", "severity",
             "message", "sink_ord"]
     calls = hits.select(*keep, F.array_join(F.transform(counted, clean), " , ").alias("_text"))
     # Writes to dangerous properties are sinks too.
@@ -179,7 +228,7 @@ def sink_arguments(facts: CodeFacts, extra: tuple = ()) -> DataFrame:
     both = calls.unionByName(writes)
     return (
         both.withColumn("uses", fa.names_in(F.col("_text")))
-        .withColumn("is_source", fa.has_source(F.col("_text"), F.col("language"))).drop("_text")
+        .withColumn("is_source", fa.has_source(F.col("_text"), F.col("language"), facts.rules.sources)).drop("_text")
     )
 
 
@@ -222,7 +271,7 @@ def _findings(rows: DataFrame, engine_ord: Column | int, message: Column) -> Dat
     order = F.lit(engine_ord) if isinstance(engine_ord, int) else engine_ord
     out = rows.select(
         "file", F.col("line_no").alias("line"), "severity", "rule_id", "language", message.alias("message"),
-        tx.snippet(F.col("raw")).alias("code_snippet"), F.lit("HIGH").alias("confidence"), cwe.alias("cwe"),
+        F.col("snippet").alias("code_snippet"), F.lit("HIGH").alias("confidence"), cwe.alias("cwe"),
         owasp.alias("owasp"), F.lit("").alias("ai_explanation"), order.alias("engine_ord"),
         F.col("sink_ord").alias("ord"))
     rest = [c for c in out.columns if c not in ("file", "line", "rule_id")]
@@ -306,14 +355,14 @@ def interprocedural(facts: CodeFacts, tainted: DataFrame, summaries: DataFrame)
     """
     args = (
         facts.called.where(F.col("language").isin("python", "javascript"))
-        .select("language", "file", "line_no", "raw", "func", "func_name", "class_name", "callee", "last",
-                F.posexplode("args").alias("idx", "arg"))
-        .where(~F.col("arg").rlike(r"^\w+=(?!=)"))
-        .withColumn("name", F.explode_outer(fa.names_in(fa.without_sanitised(F.col("arg"), F.col("language")))))
+        .select("language", "file", "line_no", "snippet", "func", "func_name", "class_name", "callee", "last",
+                F.posexplode("paired_args").alias("idx", "arg"))
+        .where(~F.col("arg").rlike(r"^\s*\w+=(?!=)"))
+        .withColumn("name", F.explode_outer(fa.names_in(fa.without_sanitised(F.col("arg"), F.col("language"), facts.rules.sanitisers))))
         .where(F.col("name").isNotNull())
         .withColumn("scope", scope_of(F.col("name"), F.col("func"), F.col("class_name")))
         .join(tainted.where(F.col("label") == WEB).select("file", "scope", "name"), ["file", "scope", "name"], "left_semi")
-        .select("language", "file", "line_no", "raw", "func", F.col("func_name").alias("caller"), "callee", "last", "idx")
+        .select("language", "file", "line_no", "snippet", "func", F.col("func_name").alias("caller"), "callee", "last", "idx")
         .distinct()
     )
     s = summary_keys(summaries).select(
@@ -335,8 +384,7 @@ def interprocedural(facts: CodeFacts, tainted: DataFrame, summaries: DataFrame)
 def sql_parameter_concat(facts: CodeFacts) -> DataFrame:
     """A parameter joined into SQL text that is then executed without bound values (SEC004T)."""
     joined = (
-        facts.assigned.where((F.col("language") == "python") & F.col("raw").rlike(f"(?i)[\"'].*{SQL_WORDS}")
-                             & F.regexp_replace("rhs", fa.BAL, "").rlike(r"[+%]"))
+        facts.assigned.where((F.col("language") == "python") & F.col("raw").rlike(f"(?i)[\"'].*{SQL_WORDS}") & F.col("joins"))
         .select("file", "func", F.col("target").alias("name"), F.explode_outer("uses").alias("param"))
     )
     own = facts.params.select("file", "func", F.col("name").alias("param")).distinct()
@@ -360,14 +408,14 @@ def spread_taint(facts: CodeFacts, sinks: DataFrame) -> tuple[DataFrame, DataFra
 
     A function may return what another returned: results are added until no call yields a new one.
     """
-    seeds = cut_lineage(source_seeds(facts).unionByName(parameter_seeds(facts, sinks)))
-    first = tainted = propagate(seeds, cut_lineage(flow_edges(facts, seeds)))
+    reach = Reach(flow_edges(facts))
+    reach.grow(cut_lineage(source_seeds(facts).unionByName(parameter_seeds(facts, sinks))))
     while True:
-        results = call_result_seeds(facts, tainted_functions(facts, tainted)).distinct()
-        results = cut_lineage(results.join(tainted, NODE, "left_anti"))
+        results = call_result_seeds(facts, tainted_functions(facts, reach.table())).distinct()
+        results = cut_lineage(results.join(reach.table(), NODE, "left_anti"))
         if results.isEmpty():
-            return first, tainted
-        tainted = cut_lineage(propagate(results, cut_lineage(flow_edges(facts, results)), known=tainted))
+            return reach.table(upto=0), reach.table()
+        reach.grow(results)
 
 
 def scan_flow(facts: CodeFacts) -> DataFrame:

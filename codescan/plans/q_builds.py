@@ -167,21 +167,41 @@ PAGE = f"""SELECT build_id, status, strftime(received_at, '%Y-%m-%d %H:%M:%S') A
 ORDER BY received_at DESC, build_id LIMIT 100 OFFSET 200"""
 
 
+def page_deep(spark, sf):
+    """The page in the middle of all builds, found by counts per day."""
+    rows = builds(spark, sf)
+    number = rows.count() // 40 + 1
+    return rp.page_by_range(rows, F.col("received_at"), F.date_trunc("day", "received_at"), [F.desc("received_at"), "build_id", "status"],
+                            number, descending=True).select("build_id", "status", F.date_format("received_at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+PAGE_DEEP = f"""SELECT build_id, status, strftime(received_at, '%Y-%m-%d %H:%M:%S') AS at FROM ({BUILDS})
+ORDER BY received_at DESC, build_id, status LIMIT 20 OFFSET (SELECT CAST(count(*) // 40 * 20 AS BIGINT) FROM ({BUILDS}))"""
+
+
 def page_counts(spark, sf):
     return rp.page_counts(bd.scope_builds(builds(spark, sf), "admin", None, status="failure"), 25)
 
 
 # --- streams --------------------------------------------------------------------
-def event_stream(spark, sf):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return spark.sql(tb.BUILDS_SQL, events=rows)
+def delivered(spark, sf, turn):
+    """The builds as a stream of four deliveries, a batch each; ``turn`` numbers the delivery of a row from 0 to 3."""
+    rows = builds(spark, sf).withColumn("turn", turn)
+    path = work_folder(spark, "deliveries")
+    for i in range(4):
+        rows.where(F.col("turn") == i).drop("turn").write.mode("append").parquet(path)
+    files = spark.read.parquet(path)
+    # A delivery is as many files as there were tasks.
+    size = max(1, len(files.inputFiles()) // 4)
+    return spark.readStream.schema(files.schema).option("maxFilesPerTrigger", size).parquet(path)
 
 
 def stream_build_window(spark, sf):
-    """Windows of 30 days, each written once it is closed."""
+    """Windows of 30 days over four deliveries in order of time, each written once it is closed."""
     sink = work_folder(spark, "rate")
-    sb.write_success_rate(event_stream(spark, sf), sink, work_folder(spark, "state"), once=True).awaitTermination()
+    lo, hi = builds(spark, sf).agg(F.min(F.unix_timestamp("received_at")), F.max(F.unix_timestamp("received_at")) + 1).first()
+    turn = F.floor((F.unix_timestamp("received_at") - lo) * 4 / (hi - lo))
+    sb.write_success_rate(delivered(spark, sf, turn), sink, work_folder(spark, "state"), once=True).awaitTermination()
     return spark.read.parquet(sink).select(
         F.date_format("start", "yyyy-MM-dd").alias("start"), "builds", "successes", "success_rate")
 
@@ -201,9 +221,10 @@ def rolling_success_rate(spark, sf):
 
 
 def stream_dedupe(spark, sf):
-    """Builds that are kept, and every repeat."""
+    """Builds that are kept, and every repeat, of four deliveries that repeat each other's ids."""
     sink, repeats = work_folder(spark, "unique"), work_folder(spark, "conflicts")
-    sb.dedupe(event_stream(spark, sf), sink, repeats, work_folder(spark, "state"), once=True).awaitTermination()
+    turn = F.pmod(F.unix_timestamp("received_at"), F.lit(4))
+    sb.dedupe(delivered(spark, sf, turn), sink, repeats, work_folder(spark, "state"), once=True).awaitTermination()
     read = lambda path, kind: spark.read.schema("build_id string").parquet(path).select("build_id", F.lit(kind).alias("kind"))
     return read(sink, "kept").unionByName(read(repeats, "repeat"))
 
@@ -253,6 +274,7 @@ QUERIES = {
     "owner_report_counts": (owner_report_counts, OWNER_COUNTS),
     "owner_enrich": (owner_enrich, ENRICH),
     "page_builds": (page_builds, PAGE),
+    "page_deep": (page_deep, PAGE_DEEP),
     "page_counts": (page_counts, f"SELECT count(*) AS total, CAST(ceil(count(*) / 25) AS BIGINT) AS pages FROM ({BUILDS}) WHERE status = 'failure'"),
     "rolling_success_rate": (rolling_success_rate, ROLLING),
     "stream_build_window": (stream_build_window, WINDOWS),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codescan.operators import dependencies as dp
 from codescan.operators import secrets
 from codescan.plans.q_lines import LITERAL_RE2, entropy_sql, q
+from codescan.plans.scan import scan
 from codescan.plans.tables import derive, duck
 from codescan.rules.languages import SECRET_PREFIXES
 from codescan.session import work_folder
@@ -99,6 +100,38 @@ hits AS (SELECT d.*, a.id, row_number() OVER (PARTITION BY d.file, d.line, d.nam
          WHERE v IS NULL OR (listed AND v = 2) OR (ranged AND v >= lo AND v < hi))
 SELECT file, line, 'HIGH' AS severity, name || CASE WHEN version <> '' THEN ' ' || version ELSE '' END AS code_snippet, id FROM hits WHERE rn <= 3"""
 
+# --- the whole scan of repositories with manifests and ranges ------------------------
+REPOS_SQL = """
+SELECT concat('app', CAST(p_partkey AS STRING), '/requirements.txt') AS file,
+       concat('pkg', CAST(p_partkey % 400 AS STRING), '==1.', CAST(p_size % 4 AS STRING), CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat('.', CAST(p_partkey % 3 AS STRING)) END, chr(10),
+              '# none', chr(10), 'pkg', CAST((p_partkey * 7) % 400 AS STRING), chr(10), 'pkg', CAST(p_partkey % 900 AS STRING), '==1.', CAST(p_size % 3 + 1 AS STRING), 'rc1') AS content
+FROM {part}
+UNION ALL
+SELECT concat('app', CAST(p_partkey AS STRING), '/main.py'), concat('import os', chr(10), 'size = ', CAST(p_size AS STRING)) FROM {part}
+"""
+
+
+def scan_with_ranges(spark, sf):
+    """The scan of a corpus with manifests: listed versions and ranges of a dump of advisories."""
+    path = work_folder(spark, "osv")
+    derive(spark, sf, OSV_SQL, "part").write.json(path)
+    found, _ = scan(derive(spark, sf, REPOS_SQL, "part"), advisories=read_osv_dump(spark, path), ranges=read_osv_ranges(spark, path))
+    return found.select("file", "line", "rule_id", "code_snippet", F.regexp_extract("message", "vulnerability (\\S+):", 1).alias("id"))
+
+
+# A version is 1.v.w here; rc is one before its release.  Listed is 1.2 alone, and a range is [lo, hi) of v.
+SCAN_RANGES = """
+WITH a AS (SELECT 'OSV-' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id, 'pkg' || p_partkey % 500 AS name,
+                  p_partkey % 3 <> 1 AS listed, p_partkey % 3 <> 0 AS ranged, p_size % 3 AS lo, p_size % 3 + 1 + p_size % 2 AS hi FROM part),
+d AS (SELECT 'app' || p_partkey || '/requirements.txt' AS file, 1 AS line, 'pkg' || p_partkey % 400 AS name,
+             '1.' || p_size % 4 || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '.' || p_partkey % 3 END AS version, p_size % 4 * 2 AS pos FROM part
+      UNION ALL SELECT 'app' || p_partkey || '/requirements.txt', 3, 'pkg' || (p_partkey * 7) % 400, '', NULL FROM part
+      UNION ALL SELECT 'app' || p_partkey || '/requirements.txt', 4, 'pkg' || p_partkey % 900, '1.' || (p_size % 3 + 1) || 'rc1', (p_size % 3 + 1) * 2 - 1 FROM part),
+hits AS (SELECT d.*, a.id, row_number() OVER (PARTITION BY d.file, d.line ORDER BY a.id) AS rn FROM d JOIN a USING (name)
+         WHERE version = '' OR (listed AND version = '1.2') OR (ranged AND (lo = 0 OR pos >= lo * 2) AND pos < hi * 2))
+SELECT file, line, 'SCA001' AS rule_id, name || CASE WHEN version <> '' THEN ' ' || version ELSE '' END AS code_snippet, id
+FROM (SELECT *, row_number() OVER (PARTITION BY file, line ORDER BY rn) AS first FROM hits) WHERE rn <= 3"""
+
 # --- manifests written from part ------------------------------------------------
 MANIFEST_SQL = """
 SELECT concat('r', CAST(p_partkey AS STRING), CASE p_partkey % 7 WHEN 3 THEN '/node_modules/x/' WHEN 4 THEN '/distx/' ELSE '/' END, CASE p_partkey % 5 WHEN 0 THEN 'requirements-dev.txt' WHEN 1 THEN 'package.json'
@@ -187,7 +220,17 @@ SELECT split_part(o.file, '|', 1) AS sha, split_part(o.file, '|', 2) AS file, o.
        substr(coalesce(l.v, trim(o.line)), 1, 100) AS code_snippet, l.v IS NOT NULL AS literal
 FROM ok o LEFT JOIN lit l ON o.file = l.file AND o.line_no = l.line WHERE l.v IS NOT NULL OR {_PREFIX}"""
 
+def recent_commits(spark, sf):
+    """Added lines of the last hundred commits; of one time the first by sha."""
+    return patches.added_lines(patches.recent_commits(patch_rows(spark, sf), 100)).groupBy("sha").agg(F.count("*").alias("lines"))
+
+
+RECENT = f"""SELECT sha, count(*) AS lines FROM ({_PATCH_LINES}) WHERE sha IN (
+  SELECT 'c' || conv_id || 't' || turn FROM conversations ORDER BY 'c' || conv_id || 't' || turn LIMIT 100) GROUP BY sha"""
+
 QUERIES = {
+    "scan_with_ranges": (scan_with_ranges, SCAN_RANGES),
+    "recent_commits": (recent_commits, RECENT),
     "dependency_advisories_top3": (dependency_advisories, DEPENDENCY),
     "advisory_ranges": (advisory_ranges, RANGES),
     "cap_advisories": (cap_advisories, CAP),

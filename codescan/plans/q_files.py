@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
+from codescan.functions import text as tx
 from codescan.plans import tables as tb
 from codescan.plans.tables import derive, duck
 from codescan.session import work_folder
-from codescan.sources import reports
+from codescan.sources import corpus, reports
 
 # Fifty orders make one report of a tool; a report is one JSON document, hence one file.
 _REPORT = "CAST(floor(l_orderkey / 50) AS BIGINT)"
@@ -83,7 +89,86 @@ SELECT count(*) AS total, count(*) FILTER (severity = 'HIGH') AS high, count(*)
   sum(line) AS lines, count(DISTINCT file) AS files,
   count(DISTINCT CASE WHEN severity = 'HIGH' THEN rule_id || ':' || file || ':' || substr(code_snippet, 1, 80) END) AS known FROM ({_F})"""
 
+# --- folders, single files, archives ------------------------------------------------
+def corpus_folder(spark, sf):
+    """Documents written as text files, then read as a folder and, one of the files, alone."""
+    path = work_folder(spark, "corpus")
+    docs = derive(spark, sf, "SELECT doc_id, text FROM {documents}", "documents")
+    docs.select("text").repartition(16, "text").write.text(path)
+    folder = corpus.read_corpus(spark, path)
+    named = folder.where(~F.col("file").endswith("_SUCCESS")).select(
+        tx.relative_path(F.col("file"), re.sub("^file:/+", "/", path)).alias("name"), "file", "content")
+    first = named.agg(F.min("file")).first()[0]
+    alone = corpus.read_corpus(spark, first).select("content")
+    lines = lambda rows, kind: rows.select(F.explode(F.split(F.regexp_replace("content", r"\n\z", ""), "\n")).alias("line")).groupBy(
+        F.md5("line").alias("line_md5")).agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+    rooted = named.where(F.col("name").contains("/")).count()
+    same = named.where(F.col("file") == first).select("content").exceptAll(alone).count()
+    assert not rooted and not same
+    return lines(named, "folder")
+
+
+CORPUS_FOLDER = """SELECT md5(line) AS line_md5, count(*) AS n, 'folder' AS kind FROM (
+  SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1"""
+
+
+def _zipped(rows: pd.DataFrame) -> pd.DataFrame:
+    """One archive of a group of documents; every seventh has an entry that leaves it."""
+    number = int(rows["archive"].iloc[0])
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
+        for doc_id, text in zip(rows["doc_id"], rows["text"]):
+            z.writestr(f"src/d{doc_id}.py", text)
+        z.writestr("src/", "")
+        if number % 7 == 3:
+            z.writestr("../evil.py", "x")
+    return pd.DataFrame({"path": [f"a{number}.zip"], "content": [body.getvalue() if number % 7 != 5 else b"no archive"]})
+
+
+def archive_entries(spark, sf):
+    """Archives of documents, expanded; archives with an unsafe entry and what is no archive are left out."""
+    docs = derive(spark, sf, "SELECT doc_id, text, floor(doc_id / 25) AS archive FROM {documents}", "documents")
+    archives = docs.groupBy("archive").applyInPandas(_zipped, "path string, content binary")
+    path = work_folder(spark, "archives")
+    archives.write.parquet(path)
+    found = corpus.expand_archives(spark.read.parquet(path))
+    return found.select("archive", "file", F.md5("content").alias("content_md5"))
+
+
+ARCHIVES = """SELECT 'a' || CAST(floor(doc_id / 25) AS BIGINT) || '.zip' AS archive, 'src/d' || doc_id || '.py' AS file, md5(text) AS content_md5
+FROM documents WHERE CAST(floor(doc_id / 25) AS BIGINT) % 7 NOT IN (3, 5)"""
+
+# --- benchmark files ----------------------------------------------------------------
+SCORES_SQL = """
+SELECT CASE l_suppkey % 3 WHEN 0 THEN 'ours' WHEN 1 THEN 'semgrep' ELSE 'bandit' END AS tool,
+       count(CASE WHEN l_returnflag = 'R' AND l_linenumber < 4 THEN 1 END) AS TP, count(CASE WHEN l_returnflag <> 'R' AND l_linenumber < 3 THEN 1 END) AS FP,
+       count(CASE WHEN l_returnflag = 'R' AND l_linenumber >= 4 THEN 1 END) AS FN, count(CASE WHEN l_returnflag <> 'R' AND l_linenumber >= 3 THEN 1 END) AS TN
+FROM {lineitem} GROUP BY 1
+"""
+
+
+def benchmark_files(spark, sf):
+    """Metrics of tools, written as CSV and JSON and read back."""
+    path = work_folder(spark, "benchmark")
+    reports.write_benchmark(derive(spark, sf, SCORES_SQL, "lineitem"), path)
+    schema = "tool string, TP long, FP long, FN long, TN long, precision double, recall double, f1 double"
+    csv = spark.read.option("header", True).csv(f"{path}/csv")
+    both = [rows.select("tool", *[F.col(c).cast("long").alias(c) for c in ("TP", "FP", "FN", "TN")],
+                        *[F.col(c).cast("double").alias(c) for c in ("precision", "recall", "f1")], F.lit(kind).alias("kind"))
+            for rows, kind in ((csv, "csv"), (spark.read.schema(schema).json(f"{path}/json"), "json"))]
+    return both[0].unionByName(both[1])
+
+
+BENCHMARK_FILES = f"""
+WITH s AS ({duck(SCORES_SQL, 'lineitem')}),
+m AS (SELECT *, TP / (TP + FP) AS p, TP / (TP + FN) AS r FROM s)
+SELECT tool, TP, FP, FN, TN, round(p, 4) AS precision, round(r, 4) AS recall, round(2 * p * r / (p + r), 4) AS f1, kind
+FROM m, (VALUES ('csv'), ('json')) k(kind)"""
+
 QUERIES = {
+    "corpus_folder": (corpus_folder, CORPUS_FOLDER),
+    "archive_entries": (archive_entries, ARCHIVES),
+    "benchmark_files": (benchmark_files, BENCHMARK_FILES),
     "tool_reports": (tool_reports, TOOL_REPORTS),
     "ground_truth": (ground_truth, GROUND_TRUTH),
     "report_files": (report_files, REPORT_FILES),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from codescan.operators import structural as st
@@ -15,9 +17,12 @@ from codescan.plans.q_lines import (
 from codescan.plans.scan import scan_files
 from codescan.plans.tables import derive, duck
 from codescan.rules.regex_packs import multiline_rules
+from codescan.rules.structural_packs import JAVASCRIPT as JAVASCRIPT_SHAPES
+from codescan.rules.structural_packs import PYTHON as PYTHON_SHAPES
 from codescan.rules.structural_packs import structural_rules
 from codescan.rules.taint_tables import FLOW_SINKS, WINDOW_SINKS, WINDOW_SOURCES
 from codescan.session import cut_lineage
+from codescan.sources.rule_files import load_rules
 
 # --- window taint on code lines -------------------------------------------------
 WINDOW = 2 * tb.LINE_STEP
@@ -80,15 +85,24 @@ FROM {lineitem}
 
 
 def taint_fixed_point(spark, sf):
-    rows = derive(spark, sf, EDGE_SQL, "lineitem")
-    edges = cut_lineage(rows.drop("seed").distinct())
+    """Nodes reached: in a graph for each supplier, and along a chain of a thousand steps for each brand of line."""
+    rows = cut_lineage(derive(spark, sf, EDGE_SQL, "lineitem").unionByName(derive(spark, sf, CHAIN_SQL, "lineitem")))
     seeds = rows.where("seed").select("file", "scope", "name", F.lit("web").alias("label"))
-    return tn.propagate(seeds, edges).select("file", "name")
+    return tn.propagate(seeds, rows.drop("seed")).select("file", "name")
+
+
+# Lines of an order chain a thousand numbers; a chain is whole if the table holds all of its steps.
+CHAIN_SQL = """
+SELECT concat('k', CAST(l_linenumber AS STRING)) AS file, 'f' AS scope, concat('c', CAST(l_orderkey % 1000 AS STRING)) AS name,
+       'f' AS to_scope, concat('c', CAST(l_orderkey % 1000 + 1 AS STRING)) AS to_name, l_orderkey % 1000 = 1 AS seed
+FROM {lineitem}
+"""
 
 
 FIXED_POINT = f"""
-WITH RECURSIVE e AS (SELECT DISTINCT file, name, to_name FROM ({duck(EDGE_SQL, 'lineitem')})),
-r AS (SELECT DISTINCT file, name FROM ({duck(EDGE_SQL, 'lineitem')}) WHERE seed
+WITH RECURSIVE a AS (SELECT * FROM ({duck(EDGE_SQL, 'lineitem')}) UNION ALL SELECT * FROM ({duck(CHAIN_SQL, 'lineitem')})),
+e AS (SELECT DISTINCT file, name, to_name FROM a),
+r AS (SELECT DISTINCT file, name FROM a WHERE seed
       UNION SELECT e.file, e.to_name FROM r JOIN e ON r.file = e.file AND r.name = e.name)
 SELECT file, name FROM r"""
 
@@ -145,6 +159,8 @@ SAMPLES = [
     ("python", 'def find(db, user):|    sql = "SELECT a FROM t WHERE b = " + user|    db.execute(sql)', "3:SEC004T", ""),
     ("python", '&app.route("/x")|def page(name):|    return name', "", "3:SEC_PI012"),
     ("python", 'def hash_password(data):|    return hashlib.md5(data)', "", "2:SEC005S 2:SEC_PI015"),
+    ("python", 'def pull#():|    return request.args.get("v")', "", ""),
+    ("python", 'def use(db):|    v = pull^()|    db.execute(v)', "3:SEC004T", ""),
 ]
 _MARKS = {"|": "chr(10)", "<<": "chr(123)", ">>": "chr(125)", "@": "chr(36)", "&": "chr(64)",
           "#": "CAST(p_partkey AS STRING)", "^": "CAST(p_partkey - 1 AS STRING)"}
@@ -172,9 +188,9 @@ def expected_sql(column: int) -> str:
             f"ON p_partkey % {len(SAMPLES)} = x.i")
 
 
-# A caller in the other file exists only if the part before it does.
+# What a call in the other file reaches is there only if the part before it is.
 FLOW_SQL = f"""SELECT * FROM ({expected_sql(2)}) WHERE file NOT IN (SELECT 'p' || p.p_partkey || '.src' FROM part p
-  LEFT JOIN part b ON b.p_partkey = p.p_partkey - 1 WHERE p.p_partkey % {len(SAMPLES)} = 13 AND b.p_partkey IS NULL)"""
+  LEFT JOIN part b ON b.p_partkey = p.p_partkey - 1 WHERE p.p_partkey % {len(SAMPLES)} IN (13, 41) AND b.p_partkey IS NULL)"""
 
 
 def scope_taint(spark, sf):
@@ -237,7 +253,8 @@ def tainted_return(spark, sf):
     return tn.tainted_functions(facts, reached).select("file", "func_name")
 
 
-RETURNS = f"SELECT 'p' || p_partkey || '.src' AS file, 'fetch' || p_partkey AS func_name FROM part WHERE p_partkey % {len(SAMPLES)} = 14"
+RETURNS = f"""SELECT 'p' || p_partkey || '.src' AS file, CASE WHEN p_partkey % {len(SAMPLES)} = 14 THEN 'fetch' ELSE 'pull' END || p_partkey AS func_name
+FROM part WHERE p_partkey % {len(SAMPLES)} IN (14, 40)"""
 
 
 def interprocedural_join(spark, sf):
@@ -255,7 +272,7 @@ def summary_stats(spark, sf):
 
 # Functions are counted in the text; the other two follow from the samples.
 STATS = f"""SELECT sum(len(regexp_extract_all(content, 'def |function |=> [{{]|void f[(]|func '))) AS functions,
-  {_PER}14) AS tainted_return,
+  (SELECT count(*) FROM part WHERE p_partkey % {len(SAMPLES)} IN (14, 40)) AS tainted_return,
   (SELECT count(*) FROM part WHERE p_partkey % {len(SAMPLES)} IN (7, 11, 12, 21, 29, 37)) AS sink_reaching
 FROM ({duck(CODE_FILES_SQL, 'part')})"""
 
@@ -273,7 +290,7 @@ ASSIGNED = {
                (26, 3, "host"), (27, 3, "f"), (30, 4, "id"), (35, 3, "id")),
     "sanitised": ((3, 4, "num"), (24, 3, "id"), (32, 2, "$name"), (32, 4, "$n"), (34, 4, "n"), (36, 3, "n")),
     "other": ((1, 5, "sql"), (2, 5, "one"), (4, 5, "sql"), (5, 5, "parts"), (6, 4, "val"), (14, 6, "v"), (15, 6, "path"), (31, 3, "$html"),
-              (33, 4, "sql"), (37, 3, "sql")),
+              (33, 4, "sql"), (37, 3, "sql"), (41, 3, "v")),
     None: ((3, 4, "str"), (7, 3, "box"), (8, 6, "self self.term"), (11, 2, "text"), (12, 2, "text"), (21, 2, "True shell cmd"), (25, 3, "p.get"),
            (26, 3, "out err"), (26, 4, "out"), (27, 3, "done"), (28, 2, "req req.query req.query.next"), (29, 2, "id")),
 }
@@ -352,18 +369,49 @@ WHERE NOT (rule_id = 'SEC011' AND language = 'php' AND file NOT IN (SELECT file
 GROUP BY ALL"""
 
 # --- code as deep as the part says ----------------------------------------------
-# Python: 1 to 40 functions or tries inside each other; 1 to 20 brackets around a cleaned value; calls that
-# hand a value on through 0 to 5 functions.  JavaScript: 1 to 3000 statements on one line.
-DEEP_SQL = """
+# Python: 1 to 40 functions or tries inside each other; 1 to 60 brackets around a cleaned value; calls that
+# hand a value on through 0 to 5 functions.  JavaScript: 1 to 100 statements on one line.  All languages
+# with braces: a header, an assignment and a sink on one line, and the same with a value that is cleaned inside 1 to 60 brackets.
+_G = "repeat('g(', CAST(wide AS INT))"
+_H = "repeat(')', CAST(wide AS INT))"
+_ONE_LINE = {
+    "js": ("javascript", ('app.get("/u", (req, res) => << const id = req.query.id; db.query("SELECT a" + ', 'id', '); >>);'),
+           ('function two(req, db) << const n = parseInt(', 'req.query.n', '); db.query("SELECT b" + n); >>')),
+    "php": ("php", ('function f(@x) << @name = @_GET["n"]; echo "<b>" . ', '@name', '; >>'),
+            ('function h(@x) << @n = intval(', '@_GET["k"]', '); system("ls " . @n); >>')),
+    "java": ("java", ('class A << void f(String id) throws Exception << String sql = "SELECT a" + id; stmt.executeQuery(', 'sql', '); >> >>'),
+             ('class B << void g(String id) throws Exception << int n = Integer.parseInt(', 'id', '); stmt.executeQuery("SELECT a" + n); >> >>')),
+    "go": ("go", ('func one(w http.ResponseWriter, r *http.Request) << id := r.FormValue("id"); rows, err := db.Query("SELECT a" + ', 'id', ') >>'),
+           ('func two(w http.ResponseWriter, r *http.Request) << n, err := strconv.Atoi(', 'r.FormValue("id")', '); db.Query("SELECT a", n) >>')),
+}
+
+
+def _marked(text: str) -> str:
+    text = q(text)
+    for mark in ("<<", ">>", "@"):
+        text = f"replace({text}, '{mark}', {_MARKS[mark]})"
+    return text
+
+
+def _one_line_sql(suffix: str) -> str:
+    language, *lines = _ONE_LINE[suffix]
+    parts = [x for head, value, tail in lines for x in (_marked(head), _G, _marked(value), _H, _marked(tail), "chr(10)")]
+    return f"""
+UNION ALL
+SELECT concat('b', CAST(p_partkey AS STRING), '.{suffix}'), '{language}', concat({', '.join(parts)})
+FROM (SELECT p_partkey, p_partkey % 60 + 1 AS wide FROM {{part}})"""
+
+
+DEEP_SQL = f"""
 SELECT concat('d', CAST(p_partkey AS STRING), '.py') AS file, 'python' AS language, concat(
          array_join(transform(sequence(1, deep), i -> concat(repeat('    ', CAST(i - 1 AS INT)), CASE WHEN i % 2 = 1 THEN concat('def f', CAST(i AS STRING), '(a, b):')
                                                      ELSE 'try:' END)), chr(10)), chr(10),
          repeat('    ', CAST(deep AS INT)), 'v = request.args.get("q")', chr(10),
          repeat('    ', CAST(deep AS INT)), 'cursor.execute("SELECT a FROM t WHERE b = " + v)', chr(10),
          repeat('    ', CAST(deep AS INT)), 'pickle.loads(v)', chr(10),
-         repeat('    ', CAST(deep AS INT)), 'n = int(', repeat('g(', CAST(wide AS INT)), 'v', repeat(')', CAST(wide AS INT)), ')', chr(10),
+         repeat('    ', CAST(deep AS INT)), 'n = int(', {_G}, 'v', {_H}, ')', chr(10),
          repeat('    ', CAST(deep AS INT)), 'cursor.execute("SELECT a FROM t WHERE c = " + n)', chr(10)) AS content
-FROM (SELECT p_partkey, p_partkey % 40 + 1 AS deep, p_partkey % 20 + 1 AS wide FROM {part})
+FROM (SELECT p_partkey, p_partkey % 40 + 1 AS deep, p_partkey % 60 + 1 AS wide FROM {{part}})
 UNION ALL
 SELECT concat('r', CAST(p_partkey AS STRING), '.py'), 'python', concat(
          'def get', CAST(p_partkey AS STRING), 'x0():', chr(10), '    v = request.args.get("q")', chr(10), '    return v', chr(10),
@@ -372,13 +420,13 @@ SELECT concat('r', CAST(p_partkey AS STRING), '.py'), 'python', concat(
            '    return w', chr(10))), ''), ''),
          'def run():', chr(10), '    z = get', CAST(p_partkey AS STRING), 'x', CAST(hops AS STRING), '()', chr(10),
          '    cursor.execute("SELECT a FROM t WHERE b = " + z)', chr(10))
-FROM (SELECT p_partkey, p_partkey % 6 AS hops FROM {part})
+FROM (SELECT p_partkey, p_partkey % 6 AS hops FROM {{part}})
 UNION ALL
 SELECT concat('w', CAST(p_partkey AS STRING), '.js'), 'javascript', concat(
-         'function f(req, db) ', chr(123), chr(10), repeat('g(1);', CAST(1 + (p_partkey * 7) % 3000 AS INT)), 'const v = req.query.q;db.query("SELECT " + v);', chr(10), chr(125), chr(10),
+         'function f(req, db) ', chr(123), chr(10), repeat('g(1);', CAST(1 + (p_partkey * 7) % 100 AS INT)), 'const v = req.query.q;db.query("SELECT " + v);', chr(10), chr(125), chr(10),
          '/', '/ x', chr(10), 'function h(db) ', chr(123), chr(10), '  db.query("SELECT 1");', chr(10), chr(125), chr(10))
-FROM {part} WHERE p_partkey % 20 = 1
-"""
+FROM {{part}}
+""" + "".join(map(_one_line_sql, _ONE_LINE))
 
 
 def deep_code(spark, sf):
@@ -393,11 +441,101 @@ DEEP = """
 SELECT 'd' || p_partkey || '.py' AS file, p_partkey % 40 + 3 AS line, 'SEC004T' AS rule_id FROM part
 UNION ALL SELECT 'd' || p_partkey || '.py', 4, 'SEC_PI001' FROM part WHERE p_partkey % 40 = 0
 UNION ALL SELECT 'r' || p_partkey || '.py', 3 + 3 * (p_partkey % 6) + 3, 'SEC004T' FROM part
-UNION ALL SELECT 'w' || p_partkey || '.js', 2, 'SEC004T' FROM part WHERE p_partkey % 20 = 1
+UNION ALL SELECT 'w' || p_partkey || '.js', 2, 'SEC004T' FROM part
+UNION ALL SELECT 'b' || p_partkey || x.suffix, 1, x.rule_id FROM part,
+  (VALUES ('.js', 'SEC004T'), ('.php', 'SEC006TS'), ('.java', 'SEC004TS'), ('.go', 'SEC004TS')) x(suffix, rule_id)
 """
 
+# --- a call of each shape ---------------------------------------------------------
+_WRAPPED = {
+    "SEC_PI007": ("def show(a):", '    password = "hunter2hunter2"'),
+    "SEC_PI011": ("class View:|    def get(self, req):", "        model.objects.raw(query)"),
+    "SEC_PI012": ('&app.route("/x")|def page(name):', "    return name"),
+}
+
+
+def _shape(language: str, rule_id: str, pattern: str) -> tuple[str, int]:
+    """Code with a call of the pattern, and the line it is on."""
+    call = re.sub(r"\$([A-Z]\w*)", lambda m: m.group(1).lower(), pattern).replace("'", '"')
+    if rule_id in _WRAPPED:
+        head, call = _WRAPPED[rule_id]
+    elif rule_id == "SEC_PI013":
+        head, call = "def hash_password(data):", '    open(path, "w")'
+    else:
+        head, call = ("def hash_password(data):", "    " + call) if language == "python" else ("function show(a) <<", "  " + call.replace(
+            "{", "<<").replace("}", ">>").replace("$", "@") + ";|>>")
+    return f"{head}|{call}", head.count("|") + 2
+
+
+SHAPE_FILES = [(language, row[0], *_shape(language, row[0], row[3]))
+               for language, table in (("python", PYTHON_SHAPES), ("javascript", JAVASCRIPT_SHAPES)) for row in table]
+
+
+def _shapes_sql() -> str:
+    pick = lambda values: "split_part('" + "~".join(values) + f"', '~', CAST(p_partkey % {len(SHAPE_FILES)} + 1 AS INT))"
+    text = pick(s[2] for s in SHAPE_FILES)
+    for mark in ("|", "<<", ">>", "@", "&"):
+        text = f"replace({text}, '{mark}', {_MARKS[mark]})"
+    return (f"SELECT concat('c', CAST(p_partkey AS STRING), '.src') AS file, {pick(s[0] for s in SHAPE_FILES)} AS language, {text} AS content, "
+            f"{pick(s[1] for s in SHAPE_FILES)} AS shape FROM {{part}}")
+
+
+def call_shapes(spark, sf):
+    """A file for every call shape: the finding of the shape it was written for."""
+    files = derive(spark, sf, _shapes_sql(), "part")
+    found = st.scan_structural(tn.extract(files.drop("shape")))
+    return found.join(files.select("file", "shape"), "file").where(F.col("rule_id") == F.col("shape")).select("file", "line", "rule_id")
+
+
+_SHAPE_ROWS = ", ".join(f"({i}, {s[3]}, {q(s[1])})" for i, s in enumerate(SHAPE_FILES))
+CALL_SHAPES = f"""SELECT 'c' || p_partkey || '.src' AS file, x.line, x.rule_id FROM part JOIN (VALUES {_SHAPE_ROWS}) x(i, line, rule_id)
+ON p_partkey % {len(SHAPE_FILES)} = x.i"""
+
+# --- rows of a user ---------------------------------------------------------------
+SHAPE_PACK = """
+rules:
+  - id: OWN1
+    language: python
+    kind: structural
+    severity: high
+    cwe: CWE-200
+    pattern: show_part($KEY, raw=True)
+  - id: OWN2
+    language: javascript
+    kind: structural
+    pattern: store($A, ...)
+    pattern_either: ["store($A, ...)", "keep.$B($A)"]
+"""
+USER_SQL = """
+SELECT concat('u', CAST(p_partkey AS STRING), '.src') AS file, CASE WHEN p_partkey % 2 = 0 THEN 'python' ELSE 'javascript' END AS language,
+       CASE p_partkey % 4 WHEN 0 THEN concat('def f(db):', chr(10), '    v = queue.take(', CAST(p_partkey AS STRING), ')', chr(10), '    db.execute("SELECT " + v)', chr(10),
+                                             '    show_part(v, raw=True)')
+         WHEN 2 THEN concat('def f(db):', chr(10), '    v = tidy(g(request.args.get("q")))', chr(10), '    db.execute("SELECT " + v)', chr(10), '    show_part(v)')
+         WHEN 1 THEN concat('function f(req) ', chr(123), chr(10), '  launch(req.query.x);', chr(10), '  store(1, 2, 3);', chr(10), chr(125))
+         ELSE concat('function f(req) ', chr(123), chr(10), '  const v = tidy(req.query.x);', chr(10), '  launch(v);', chr(10), '  keep(1);', chr(10), chr(125)) END AS content
+FROM {part}
+"""
+USER_RULES = tn.FlowRules(
+    sources={"python": r"\bqueue\.take\b"}, sanitisers={"python": "tidy", "javascript": "tidy"},
+    sinks=(("javascript", "OWN3", "HIGH", "any", "", ("launch",), "Launches"),))
+
+
+def user_rows(spark, sf):
+    """Sources, sanitisers, sinks and call shapes that a user adds."""
+    _, shapes, problems = load_rules(SHAPE_PACK)
+    assert not problems
+    facts = tn.extract(derive(spark, sf, USER_SQL, "part"), USER_RULES)
+    own = st.scan_structural(facts, shapes).select("file", "line", "rule_id")
+    return tn.scan_flow(facts).select("file", "line", "rule_id").unionByName(own)
+
+
+USER_ROWS = """SELECT 'u' || p_partkey || '.src' AS file, x.line, x.rule_id FROM part
+JOIN (VALUES (0, 3, 'SEC004T'), (0, 4, 'OWN1'), (1, 2, 'OWN3'), (1, 3, 'OWN2')) x(i, line, rule_id) ON p_partkey % 4 = x.i"""
+
 QUERIES = {
     "deep_code": (deep_code, DEEP),
+    "call_shapes": (call_shapes, CALL_SHAPES),
+    "user_rows": (user_rows, USER_ROWS),
     "taint_window_join": (taint_window_join, WINDOW_SQL),
     "taint_fixed_point": (taint_fixed_point, FIXED_POINT),
     "scope_taint": (scope_taint, FLOW_SQL),

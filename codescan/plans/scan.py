@@ -16,9 +16,9 @@ from codescan.sources.corpus import scannable
 from codescan.sources.manifests import read_dependencies
 
 
-def scan_files(files: DataFrame, rules=None, struct_rules=None, window: int = 25) -> DataFrame:
+def scan_files(files: DataFrame, rules=None, struct_rules=None, window: int = 25, flow_rules: taint.FlowRules | None = None) -> DataFrame:
     """Findings of (file, language, content) rows, first per (file, line, rule) in engine order."""
-    facts = taint.extract(files)
+    facts = taint.extract(files, flow_rules)
     windows = ln.explode_lines(taint_window.candidate_files(files))
     found = fd.union_engines(
         secrets.scan_text(files, rules), scan_multiline(files), taint.scan_flow(facts),
@@ -27,17 +27,18 @@ def scan_files(files: DataFrame, rules=None, struct_rules=None, window: int = 25
 
 
 def scan(corpus: DataFrame, advisories: DataFrame | None = None, added: DataFrame | None = None,
-         baseline: DataFrame | None = None, least: str = "LOW", exclude=None, **options) -> tuple[DataFrame, DataFrame]:
+         baseline: DataFrame | None = None, least: str = "LOW", exclude=None, ranges: DataFrame | None = None,
+         **options) -> tuple[DataFrame, DataFrame]:
     """(findings, suppressed count) of a (file, content) corpus.
 
-    Optional: an advisory table (dependency scan), added lines (history scan), a baseline
-    of known fingerprints and a least confidence.
+    Optional: an advisory table (dependency scan) and version ranges of advisories, added lines (history
+    scan), a baseline of known fingerprints and a least confidence.
     """
     files = scannable(corpus, exclude) if exclude is not None else scannable(corpus)
     found = scan_files(files, **options).select(*FINDING_COLUMNS)
     if advisories is not None:
         manifests = read_dependencies(corpus) if exclude is None else read_dependencies(corpus, exclude)
-        deps = scan_dependencies(manifests, advisories)
+        deps = scan_dependencies(manifests, advisories, ranges=ranges)
         found = found.unionByName(deps.select(*FINDING_COLUMNS))
     if added is not None:
         found = found.unionByName(secrets.scan_history(added).select(*FINDING_COLUMNS))

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from codescan.operators import builds as bd
 from codescan.session import write_epoch
 
 
-def _stored(spark, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # nothing written yet
-        return None
-
-
 def _run(writer, checkpoint: str, once: bool) -> StreamingQuery:
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -41,35 +38,60 @@ def ingest(reports: DataFrame, owners: DataFrame, accepted: str, rejected: str,
     return _run(reports.writeStream.foreachBatch(batch), checkpoint, once)
 
 
+def first_and_repeats(builds: DataFrame) -> DataFrame:
+    """Adds is_first: whether a build id was never seen before, in this batch or any earlier one.
+
+    The state holds one flag for an id, so a batch costs what it brings, however many builds are stored.  Of a
+    batch the earliest report counts; the reports of one id pass through one task a chunk at a time.
+    """
+    columns = builds.columns
+
+    def mark(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = None
+        for rows in chunks:
+            rows = rows[columns].assign(is_first=False)
+            if not state.exists:
+                rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+                least = rows.sort_values(["received_at", *[c for c in columns if c != "received_at"]], kind="stable").index[:1]
+                held, rows = rows.loc[least], rows.drop(least)
+            if len(rows):
+                yield rows
+        if held is not None:
+            state.update((True,))
+            yield held.assign(is_first=True)
+
+    out = StructType([*builds.schema.fields, StructField("is_first", BooleanType())])
+    return builds.groupBy("build_id").applyInPandasWithState(
+        mark, out, StructType([StructField("seen", BooleanType())]), "append", GroupStateTimeout.NoTimeout)
+
+
 def dedupe(builds: DataFrame, sink: str, conflicts: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """The first report per build id goes to ``sink``, every repeat to ``conflicts``, however late either comes.
 
-    A batch is compared with what the sink holds, so ids stay unique for good and no state expires.
+    No state expires, so ids stay unique for good; nothing that was written is read again.
     """
-    spark = builds.sparkSession
-
     def batch(rows: DataFrame, epoch: int) -> None:
         rows = rows.persist()
-        known = _stored(spark, sink)
-        if known is None:
-            fresh = bd.first_builds(rows)
-        else:
-            fresh = bd.new_builds(rows, known.where(F.col("epoch") != epoch))
-        # What is left of the batch when its new builds are taken out once; spread over whole rows, not ids.
-        write_epoch(rows.select(fresh.columns).exceptAll(fresh), conflicts, epoch)
-        write_epoch(fresh, sink, epoch)
+        write_epoch(rows.where("not is_first").drop("is_first"), conflicts, epoch)
+        write_epoch(rows.where("is_first").drop("is_first"), sink, epoch)
         rows.unpersist()
 
-    return _run(builds.writeStream.foreachBatch(batch), checkpoint, once)
+    return _run(first_and_repeats(builds).writeStream.foreachBatch(batch), checkpoint, once)
 
 
 def success_rate(builds: DataFrame, window: str = "30 days", slide: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Builds, successes and success percentage per sliding window; batch or stream."""
+    """Builds, successes and success percentage per sliding window; batch or stream.
+
+    Builds are counted once, in the pane of one slide they fall into; a window sums its panes.  A window is as
+    many slides long as fit into it.
+    """
     rows = builds.withWatermark("received_at", delay) if builds.isStreaming else builds
+    panes = rows.groupBy(F.window("received_at", slide).alias("pane")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("status") == "success").alias("good"))
     return (
-        rows.groupBy(F.window("received_at", window, slide))
-        .agg(F.count("*").alias("builds"), F.count_if(F.col("status") == "success").alias("successes"))
-        .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "builds", "successes",
+        panes.groupBy(F.window(F.window_time("pane"), window, slide).alias("w"))
+        .agg(F.sum("n").alias("builds"), F.sum("good").alias("successes"))
+        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "builds", "successes",
                 F.floor(F.col("successes") * 100 / F.col("builds") + 0.5).cast("long").alias("success_rate"))
     )
 
