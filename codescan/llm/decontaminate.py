@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codescan.llm.words import ALNUM, Spans, Words, blocks, signed
+from codescan.session import cut_lineage
 
 SIZE = 10
 BLOCK_WINDOWS = 200_000  # windows of one broadcast set; an item's words are some 100 bytes a window
+BLOCK_BYTES = 64 << 20  # of their words
 SEEN = "struct<at:array<int>,upto:array<int>,items:array<string>>"
 
 
@@ -89,9 +91,10 @@ class HashSet:
 
 
 def _sets(windows: DataFrame, limit: int) -> Iterator[HashSet]:
-    """The windows in blocks of about ``limit``, each brought to the driver to be broadcast."""
-    n = windows.agg(F.count(F.lit(1))).first()[0]
-    parts = max(1, -(-n // limit))
+    """The windows in blocks of about ``limit`` windows and ``BLOCK_BYTES``, each brought to the driver to be broadcast."""
+    windows = cut_lineage(windows)
+    n, size = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("gram")), F.lit(0))).first()
+    parts = max(1, -(-n // limit), -(-size // BLOCK_BYTES))
     for part in range(parts):
         block = windows.where(F.pmod("hash", F.lit(parts)) == part) if parts > 1 else windows
         table = block.toArrow()
@@ -124,8 +127,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", seen: st
          least: int = 1, limit: int = BLOCK_WINDOWS, bench_id: str = "item_id", bench_text: str = "text") -> DataFrame:
     """docs with a column ``seen``: runs of hit words [at, upto) and the items hit; null if there are none."""
     rows = docs.withColumn(seen, F.lit(None).cast(SEEN))
-    for found in _sets(item_windows(benchmark, bench_id, bench_text, size, least), limit):
-        rows = _scan(rows, found, text_col, seen)
+    for i, found in enumerate(_sets(item_windows(benchmark, bench_id, bench_text, size, least), limit)):
+        # Rows are written between blocks, so driver and tasks hold one block at a time.
+        rows = _scan(cut_lineage(rows) if i else rows, found, text_col, seen)
     return rows
 
 

@@ -19,7 +19,6 @@ from codescan.llm.words import U64, Words, blocks, mix
 from codescan.session import cut_lineage
 
 BUCKETS = 1 << 14
-TARGET_ROWS = 20_000  # target texts: the labelled rows of good quality, this many by hash at most
 FRACTION = 0.5        # share of the rows that is kept
 PRIOR = 1000.0        # features of raw text that smooth the target model
 SEED = 17
@@ -48,7 +47,7 @@ def bucket_counts(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id"
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(target[at]), pa.array(raw[at])], ["bucket", "t", "r"])
 
-    ids = F.broadcast(target_ids.select(F.col("id").alias("_id"), F.lit(True).alias("_target")))
+    ids = target_ids.select(F.col("id").alias("_id"), F.lit(True).alias("_target"))  # Spark broadcasts it if it is small
     rows = docs.select(F.col(id_col).alias("_of"), F.col(text_col).alias("text")).join(ids, F.col("_of") == F.col("_id"), "left")
     rows = rows.select("text", F.col("_target").isNotNull().alias("target"))
     table = rows.mapInArrow(run, "bucket long, t long, r long").groupBy("bucket").agg(
@@ -113,15 +112,14 @@ def kth_largest(rows: DataFrame, column: str, k: int, few: int = 10_000, bins: i
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality: str = "quality",
-             fraction: float = FRACTION, target_rows: int = TARGET_ROWS, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
+             fraction: float = FRACTION, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
     """(doc_id, log_weight, gumbel_key, kept) for each row; ``kept`` marks the sample.
 
-    The target are the rows labelled with quality 1 (one good label suffices).  The sample holds the
+    The target are all rows labelled with quality 1 (one good label suffices).  The sample holds the
     ``floor(fraction * rows)`` largest keys; rows that tie with the last of them are kept too.
     Without target rows all weights are about equal and the sample is plain.
     """
-    good = labels.where((F.col(quality) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
-    good = cut_lineage(good.orderBy(F.xxhash64("id"), "id").limit(target_rows))
+    good = cut_lineage(labels.where((F.col(quality) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct())
     ratio = log_ratio(*bucket_counts(docs, good, id_col, text_col, buckets))
     rows = cut_lineage(log_weights(docs, ratio, id_col, text_col, seed))
     k = int(rows.count() * fraction)

@@ -62,7 +62,7 @@ def op7_digests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document without the lines of templates that recur in ten documents or more."""
+    """Every document without the lines of templates that recur in ten documents or more; the first document keeps them."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     kept = line_templates.drop_repeated_lines(docs, counts=("n_lines", "n_dropped"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -73,25 +73,30 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(text, chr(10
 raw AS (SELECT rid, doc_id, unnest(w) AS line, unnest(range(len(w))) AS line_no FROM d),
 plain AS (SELECT rid, doc_id, line_no, line,
                  trim(translate(line, chr(9) || chr(13) || chr(12) || chr(11), '    ')) AS p FROM raw),
-masked AS (SELECT rid, doc_id, line_no, line, regexp_replace(p, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM plain),
+masked AS (SELECT rid, doc_id, line_no, line, p, regexp_replace(p, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM plain),
 t AS (SELECT *, len(m) - len(replace(m, ' ', '')) + 1 AS n, array_to_string(string_split(m, ' ')[1:3], ' ') AS lead FROM masked),
-deep AS (SELECT * FROM t WHERE n >= 3 AND doc_id IS NOT NULL),
-kinds AS (SELECT n, lead, m, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM deep GROUP BY n, lead, m),
-leaves AS (SELECT n, lead FROM deep GROUP BY n, lead HAVING count(DISTINCT doc_id) >= 10),
-tok AS (SELECT n, lead, m, docs, first, unnest(string_split(m, ' ')) AS token, unnest(range(n)) AS place FROM kinds SEMI JOIN leaves USING (n, lead)),
-con AS (SELECT n, lead, place, token FROM tok WHERE token <> '<*>' GROUP BY ALL HAVING sum(docs) >= 10),
-shaped AS (SELECT tok.n, tok.lead, m, docs, first, count(con.token) AS constants,
+f AS (SELECT *, n - (len(m) - len(replace(m, '<*>', ''))) / 3 >= n * 0.6 AS fixed FROM t),
+deep AS (SELECT * FROM f WHERE m <> '' AND doc_id IS NOT NULL),
+kinds AS (SELECT n, lead, m, fixed, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM deep GROUP BY n, lead, m, fixed),
+verbatim AS (SELECT p, min(doc_id) AS f FROM deep WHERE NOT fixed GROUP BY p HAVING count(DISTINCT doc_id) >= 10),
+leaves AS (SELECT n, lead, count(DISTINCT doc_id) AS leaf_docs FROM deep WHERE n > 3 GROUP BY n, lead HAVING count(DISTINCT doc_id) >= 10),
+tok AS (SELECT n, lead, leaf_docs, m, docs, unnest(string_split(m, ' ')[4:]) AS token, unnest(range(n - 3)) AS place
+        FROM kinds JOIN leaves USING (n, lead)),
+con AS (SELECT n, lead, place, token FROM tok WHERE token <> '<*>' GROUP BY n, lead, leaf_docs, place, token
+        HAVING sum(docs) >= 10 AND sum(docs) >= leaf_docs * 0.1),
+shaped AS (SELECT tok.n, tok.lead, m, count(con.token) AS constants,
                   list(CASE WHEN con.token IS NULL THEN NULL ELSE tok.token END ORDER BY tok.place) AS template
            FROM tok LEFT JOIN con ON con.n = tok.n AND con.lead = tok.lead AND con.place = tok.place AND con.token = tok.token
-           GROUP BY tok.n, tok.lead, m, docs, first),
-good AS (SELECT * FROM shaped WHERE constants >= n * 0.6),
-recur AS (SELECT n, lead, template, min(first) AS f FROM good GROUP BY n, lead, template HAVING sum(docs) >= 10),
+           GROUP BY tok.n, tok.lead, m),
+good AS (SELECT n, lead, m, template FROM shaped WHERE constants > 0 AND constants >= (n - 3) * 0.6),
+recur AS (SELECT n, lead, template, min(doc_id) AS f FROM good JOIN deep USING (n, lead, m)
+          GROUP BY n, lead, template HAVING count(DISTINCT doc_id) >= 10),
 marked AS (SELECT m, min(f) AS f FROM (SELECT m, f FROM good JOIN recur USING (n, lead, template)
-                                       UNION ALL SELECT m, first FROM kinds WHERE docs >= 10
-                                         AND n - (len(m) - len(replace(m, '<*>', ''))) / 3 >= n * 0.6) GROUP BY m),
-kept AS (SELECT rid, count(*) FILTER (n >= 3 AND f < doc_id) AS n_dropped,
-                string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT coalesce(n >= 3 AND f < doc_id, false)) AS kept
-         FROM t LEFT JOIN marked USING (m) GROUP BY rid)
+                                       UNION ALL SELECT m, first FROM kinds WHERE docs >= 10 AND fixed) GROUP BY m),
+hits AS (SELECT f.*, coalesce(m <> '' AND (k.f < doc_id OR (NOT fixed AND v.f < doc_id)), false) AS gone
+         FROM f LEFT JOIN marked k USING (m) LEFT JOIN verbatim v USING (p)),
+kept AS (SELECT rid, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone) AS kept
+         FROM hits GROUP BY rid)
 SELECT doc_id, coalesce(len(w), 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
        CASE WHEN w IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
 FROM d LEFT JOIN kept USING (rid)
@@ -123,12 +128,16 @@ named AS (SELECT host, n, k, string_split(bare, '.') AS w, array_to_string(strin
 hosts AS (SELECT host, n, k, CASE WHEN two IN ({_SECOND_LEVEL}) THEN two ELSE w[-1] END AS suffix,
                  CASE WHEN two IN ({_SECOND_LEVEL}) THEN array_to_string(w[-3:], '.') ELSE two END AS domain FROM named),
 doms AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
-sufs AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM hosts) AS mean FROM hosts GROUP BY suffix),
-suf AS (SELECT suffix, (k + s * mean) / (n + s) AS rate FROM sufs, (SELECT {_strength_sql('sufs')} AS s)),
-domm AS (SELECT doms.*, rate AS mean FROM doms JOIN suf USING (suffix)),
-dom AS (SELECT domain, (k + s * mean) / (n + s) AS rate FROM domm, (SELECT {_strength_sql('domm')} AS s)),
-hostm AS (SELECT hosts.*, rate AS mean FROM hosts JOIN dom USING (domain)),
-judged AS (SELECT host, (k + s * mean) / (n + s) AS rate, n + s AS total FROM hostm, (SELECT {_strength_sql('hostm')} AS s)),
+sufs AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM hosts) AS mean,
+                (SELECT sum(n) + 2 FROM hosts) AS most FROM hosts GROUP BY suffix),
+suf AS (SELECT suffix, (k + least(s, most) * mean) / (n + least(s, most)) AS rate, n + least(s, most) AS total
+        FROM sufs, (SELECT {_strength_sql('sufs')} AS s)),
+domm AS (SELECT doms.*, rate AS mean, total AS most FROM doms JOIN suf USING (suffix)),
+dom AS (SELECT domain, (k + least(s, most) * mean) / (n + least(s, most)) AS rate, n + least(s, most) AS total
+        FROM domm, (SELECT {_strength_sql('domm')} AS s)),
+hostm AS (SELECT hosts.*, rate AS mean, total AS most FROM hosts JOIN dom USING (domain)),
+judged AS (SELECT host, (k + least(s, most) * mean) / (n + least(s, most)) AS rate, n + least(s, most) AS total
+           FROM hostm, (SELECT {_strength_sql('hostm')} AS s)),
 ruled AS (SELECT page_id, host, path, CASE
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codescan.llm.components import components
@@ -54,15 +54,22 @@ def fingerprint_texts(texts: pa.Array, shingle: int = 3) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one fingerprint for each row, zero for a text without words."""
+    """(doc_id, key, fp): one fingerprint for each row, zero for a text without words; ``key`` is a hash of the text.
+
+    A doc_id must be a whole number, or text that is one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            fp = fingerprint_texts(block.column(1), shingle)
-            yield pa.RecordBatch.from_arrays([block.column(0), signed(fp)], ["doc_id", "fp"])
+            fp = fingerprint_texts(block.column(2), shingle)
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), signed(fp)], ["doc_id", "key", "fp"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(text_col).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, fp long")
+
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+def _key(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -210,6 +217,14 @@ def node_links(fps: DataFrame, distance: int = 2, limit: int = NODE_LIMIT) -> Da
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _roots(rows: DataFrame, distance: int) -> DataFrame:
+    """(fp, first, root): each fingerprint with its least doc_id and the root of its component."""
+    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = cut_lineage(components(node_links(nodes.select("fp"), distance)))
+    return cut_lineage(nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     distance: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) for each row: the least doc_id reachable over close fingerprints.
@@ -219,21 +234,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (null if no member has a doc_id).  Repeated rows are returned as often as they come.
     """
     rows = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
-    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = cut_lineage(components(node_links(nodes.select("fp"), distance)))
-    linked = cut_lineage(nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")))
+    linked = _roots(rows, distance)
     least = cut_lineage(linked.groupBy("root").agg(F.min("first").alias("component_id")))
     classes = cut_lineage(linked.join(least, "root").select("fp", "component_id"))
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose doc_id is the least of their group, each doc_id once.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
+    """One row of docs for each group of near copies: the one with the least doc_id, then the least hash of its text.
 
-    Of repeated rows with that doc_id one stays.  Rows without doc_id stay: nothing names them.
+    Rows without doc_id come last, so they stay only where their group has no other.  Rows that share a doc_id
+    but not their text are judged each by its own text.  Of rows that share both, the one with the
+    least hash of all columns stays.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
-    named = docs.join(first, docs[id_col] == first["_first"], "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    rows = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
+    members = rows.join(_roots(rows, distance).select("fp", "root"), "fp")
+    # Combined on the map side: a group of any size costs a row for each task.
+    stays = cut_lineage(members.groupBy("root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("s")).select("s.doc_id", "s.key"))
+    own = F.struct(*docs.columns)
+    marked = docs.select(F.col(id_col).cast("long").alias("_doc"), _key(text_col).alias("_key"), own.alias("_all"))
+    chosen = marked.join(stays, marked["_doc"].eqNullSafe(stays["doc_id"]) & (marked["_key"] == stays["key"]), "left_semi")
+    one = chosen.groupBy("_doc", "_key").agg(F.min_by("_all", F.xxhash64(F.to_json("_all"))).alias("_all"))
+    return one.select("_all.*")

@@ -172,26 +172,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, size: int) -> DataFrame:
-    """(toxic, text) of the sampled documents; texts that share their least shingle hash count once."""
+    """(toxic, text) of the sampled documents; near copies with one label, by three least shingle hashes, count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             words = Words(block.column(1), ALNUM, lower=True)
             one, start = words.hashes(), words.first[:-1]
             three = mix(one[:-2] + U64(3) * one[1:-1] + U64(5) * one[2:]) if len(one) > 2 else one[:0]
-            sketch = np.zeros(words.n_docs, dtype=U64)
+            sketch = np.zeros((3, words.n_docs), dtype=U64)
             for i, n in enumerate(words.count):
                 part = three[start[i]:start[i] + n - 2] if n > 2 else one[start[i]:start[i] + n]
-                sketch[i] = part.min() if len(part) else 0
-            yield block.append_column("sketch", signed(sketch))
+                if len(part):
+                    sketch[:, i] = [mix(part ^ U64(seed)).min() for seed in (0, 0x5BD1E995, 0xC2B2AE35)]
+            for k in range(3):
+                block = block.append_column(f"s{k}", signed(sketch[k]))
+            yield block
 
     known = labels.where(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(size)  # the bound of what is broadcast below
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.join(F.broadcast(known), rows["doc_id"] == known["_id"]).select("doc_id", "text", "toxic")
-    rows = rows.mapInArrow(run, "doc_id long, text string, toxic int, sketch long")
-    return rows.groupBy("sketch").agg(F.min_by(F.struct("toxic", "text"), "doc_id").alias("r")).select("r.*")
+    rows = rows.mapInArrow(run, "doc_id long, text string, toxic int, s0 long, s1 long, s2 long")
+    return rows.groupBy("toxic", "s0", "s1", "s2").agg(F.min_by("text", "doc_id").alias("text")).select("toxic", "text")
 
 
 def _supports(rows: DataFrame, candidates: int) -> tuple[int, pa.Table]:

@@ -63,11 +63,16 @@ def _strength(level: DataFrame) -> float:
 
 
 def _shrink(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    """Children with the mean of their parent and their own posterior (alpha, beta, rate)."""
-    level = children.join(parents.select(key, F.col("rate").alias("mean")), key)
-    weight = F.lit(_strength(level))
+    """Children with the mean of their parent and their own posterior (alpha, beta, rate).
+
+    A prior counts for no more pages than its parent knows of: where a level has few groups or all
+    are alike, a few outcomes elsewhere settle nothing.
+    """
+    level = children.join(parents.select(key, F.col("rate").alias("mean"), F.col("total").alias("most")), key)
+    weight = F.least(F.lit(_strength(level)), F.col("most"))
     alpha, beta = F.col("k") + weight * F.col("mean"), F.col("n") - F.col("k") + weight * (1 - F.col("mean"))
-    return level.withColumn("alpha", alpha).withColumn("beta", beta).withColumn("rate", alpha / (alpha + beta)).drop("mean")
+    return level.withColumn("alpha", alpha).withColumn("beta", beta).withColumn("rate", alpha / (alpha + beta)).withColumn(
+        "total", alpha + beta).drop("mean", "most")
 
 
 def host_reputation(outcomes: DataFrame, limit: float = LIMIT, deviations: float = DEVIATIONS) -> DataFrame:
@@ -81,11 +86,11 @@ def host_reputation(outcomes: DataFrame, limit: float = LIMIT, deviations: float
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(F.sum("n"), F.sum("k")).first()
-    mean = ((total[1] or 0) + 1) / ((total[0] or 0) + 2)
-    root = suffixes.select("suffix", F.lit(mean).alias("rate"))
+    pages = (total[0] or 0) + 2
+    root = suffixes.select("suffix", F.lit(((total[1] or 0) + 1) / pages).alias("rate"), F.lit(float(pages)).alias("total"))
     suffixes = _shrink(suffixes, root, "suffix")
     domains = _shrink(domains, suffixes, "suffix")
-    hosts = _shrink(hosts, domains.select("domain", "rate"), "domain")
+    hosts = _shrink(hosts, domains.select("domain", "rate", "total"), "domain")
     spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("alpha") + F.col("beta") + 1))
     bound = F.col("rate") - F.lit(deviations) * spread
     return hosts.select("host", "n", "k", "rate", bound.alias("bound"),

@@ -54,9 +54,20 @@ def test_same_as_plain(docs, rows):
 def test_keep_first(docs, rows):
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
-    got = [r["doc_id"] for r in kept.collect()]
-    assert sorted(x for x in got if x is not None) == sorted({c for d, _, c in plain(rows) if d is not None and c is not None})
-    assert got.count(None) == 2
+    group = classes([fingerprint(t) for _, t in rows])
+    least = {}
+    for (doc_id, _), g in zip(rows, group):
+        least[g] = min(least.get(g, (True, 0)), (doc_id is None, doc_id or 0))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == sorted(least.values())
+
+
+def test_no_text_is_lost(spark):
+    """Rows of one doc_id and two texts are judged by their texts; rows without doc_id too."""
+    a, b, c = ("one two three four five six", "red green blue black white grey", "up down left right in out")
+    rows = [(6, a, 1), (6, b, 2), (7, b, 3), (7, b, 4), (None, c, 5), (None, c, 6), (None, a, 7), (8, None, 8), (9, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_first(docs).collect()), key=str)
+    assert got == sorted([(6, a), (6, b), (None, c), (8, None)], key=str)
 
 
 def close_fingerprints():
