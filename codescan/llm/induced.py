@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 WIDEST = 256  # symbols of a reduced string; more are written as two digits
+SHORT = 1 << 18  # names of a reduced string that are ordered without a further recursion
 
 
 class _Text:
@@ -98,7 +99,9 @@ def _sorted(symbols: np.ndarray, n_symbols: int) -> np.ndarray:
         of = np.empty(len(t), dtype=np.int64)
         of[order] = name
         reduced, many = of[at], int(name[-1]) + 1
-        if many < WIDEST:
+        if len(reduced) <= SHORT:
+            order = at[_doubled(reduced)]
+        elif many < WIDEST:
             order = at[_sorted(reduced + 1, many + 1)[1:]]
         else:
             base = int(np.ceil(np.sqrt(many)))
@@ -108,6 +111,34 @@ def _sorted(symbols: np.ndarray, n_symbols: int) -> np.ndarray:
     return text.induce(order)
 
 
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """Suffixes of a short string in order: where the recursion ends.
+
+    Suffixes are ranked by twice as many names in each round, those that are alone with their rank no more.
+    """
+    n, step = len(names), 1
+    order = np.argsort(names, kind="stable")
+    new = np.diff(names[order], prepend=-1) != 0
+    rank = np.empty(n + 1, dtype=np.int64)
+    rank[n] = -1
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    tied = order[~(new & np.append(new[1:], True))]
+    while len(tied):
+        key = rank[tied] * (n + 1) + rank[np.minimum(tied + step, n)] + 1
+        by = np.argsort(key)
+        tied, key = tied[by], key[by]
+        group = rank[tied]
+        place = np.arange(len(tied))
+        first = np.maximum.accumulate(np.where(np.diff(group, prepend=-1) != 0, place, 0))
+        new = np.diff(key, prepend=-1) != 0
+        rank[tied] = np.maximum.accumulate(np.where(new, group + place - first, 0))
+        tied = tied[~(new & np.append(new[1:], True))]
+        step *= 2
+    out = np.empty(n, dtype=np.int64)
+    out[rank[:n]] = np.arange(n)
+    return out
+
+
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of some bytes, in order; a suffix is smaller than those it begins."""
     if not len(data):

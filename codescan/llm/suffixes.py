@@ -34,8 +34,8 @@ from codescan.llm.words import Spans, blocks, signed, sliding_min_at, text_bytes
 from codescan.session import cut_lineage
 
 LENGTH, ANCHOR = 400, 100
-SHARD = 2 << 20  # bytes of a shard, about
-CROWDED = 256 << 10  # bytes of the kinds of one anchor that stay together
+SHARD = 1 << 20  # bytes of a shard, about
+CROWDED = 1 << 20  # bytes of the kinds of one anchor that stay together
 CHUNK = 1 << 20  # windows that are hashed at once
 STRIP = 64 << 10  # windows of a longer text at most
 CLOSE = b"\xff"  # no byte of UTF-8
@@ -92,12 +92,16 @@ def pieces(base: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataF
     return base.mapInArrow(run, f"{_KIND}, k1 long, k2 long, a long, reps int")
 
 
-def _read(base: DataFrame, spans: DataFrame, fields: str, make, schema: str) -> DataFrame:
+def _read(base: DataFrame, spans: DataFrame, fields: str, make, schema: str, few: bool = False) -> DataFrame:
     """Apply ``make(bytes, spans)`` to each row that has spans (k1, k2, ...fields): lists of columns, one list for a row.
 
-    A task that meets a repeated row again passes it by.
+    A task that meets a repeated row again passes it by.  With ``few`` the rows are looked up by their keys
+    first, which Spark can broadcast if they are as few as expected.
     """
     wanted = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct(*fields.split())).alias("s"))  # bounded by the text itself
+    if few:
+        wanted = cut_lineage(wanted)
+        base = base.join(cut_lineage(wanted.select("k1", "k2")), ["k1", "k2"], "left_semi")
     rows = base.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "s")
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -135,35 +139,52 @@ def _batch(rows: list[tuple], names: list[str], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(col), type=kind) for col, kind in zip(zip(*rows), kinds)], names)
 
 
-def _halves(base: DataFrame, crowd: DataFrame, length: int) -> DataFrame:
-    """Pieces (core, h, n, o, lo, hi, …) in two: by the bytes that windows far to the left, or the others, all hold.
+def _texts_of(base: DataFrame, crowd: DataFrame, length: int) -> DataFrame:
+    """(r1, r2, data): the bytes of kinds, read where each is first."""
+
+    def make(data: np.ndarray, s: dict[str, np.ndarray]) -> Iterator[tuple]:
+        for r1, r2, a, n in zip(*(s[c].tolist() for c in ("r1", "r2", "a", "n"))):
+            yield r1, data[a:a + n + length - 1].tobytes(), r2
+
+    spans = crowd.select("r1", "r2", "n", "first.k1", "first.k2", "first.a")
+    return _read(base, spans, "r1 r2 a n", make, "r1 long, data binary, r2 long", few=True)
+
+
+def _halves(crowd: DataFrame, length: int) -> DataFrame:
+    """Parts (core, h, n, o, lo, hi, …, data) in two: by the bytes that windows far to the left, or the others, all hold.
 
     All windows of a class have their anchor lo to hi bytes behind their start, so they share the bytes
     from ``lo`` before the anchor to ``hi`` before the anchor plus a window.
     """
+    names, own = crowd.columns, ("core", "h", "n", "o", "lo", "hi", "off", "data")
+    others = [c for c in names if c not in own]
 
-    def make(data: np.ndarray, s: dict[str, np.ndarray]) -> Iterator[tuple]:
-        for core, h, n, o, lo, hi, a, off, r1, r2 in zip(*(s[c].tolist() for c in ("core", "h", "n", "o", "lo", "hi", "a", "off", "r1", "r2"))):
-            middle = (lo + hi + 1) // 2
-            upper = min(max(o - middle + 1, 0), n)
-            for skip, many, low, high in ((0, upper, middle, hi), (upper, n - upper, lo, middle - 1)):
-                if many:
-                    at, near = a + skip, o - skip
-                    text = data[at:at + many + length - 1]
-                    code = _hashes(text, _ANCHOR)
-                    begin = near - low  # where the shared bytes begin in the text
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, source = [], []
+            for i, (n, o, lo, hi, off, data) in enumerate(zip(*(batch.column(names.index(c)).to_pylist() for c in own[2:]))):
+                data = np.frombuffer(data, dtype=np.uint8)
+                middle = (lo + hi + 1) // 2
+                upper = min(max(o - middle + 1, 0), n)
+                for skip, many, low, high in ((0, upper, middle, hi), (upper, n - upper, lo, middle - 1)):
+                    if not many:
+                        continue
+                    near, text = o - skip, data[skip:skip + many + length - 1]
+                    begin = np.array([near - low])  # where the shared bytes begin in the text
                     shape = np.uint64((many * 1024 + near) * 0x9E3779B97F4A7C15 % 2**64)
-                    key = code(np.array([begin]), np.array([begin + low - high + length])) ^ np.uint64((low * 1024 + high + 1) * 0xC2B2AE3D27D4EB4F % 2**64)
-                    name = _hashes(text, _PIECE)(np.array([0]), np.array([len(text)])) ^ shape
-                    yield (core, h, int(key.view(np.int64)[0]), int(name.view(np.int64)[0]), many, near, low, high, skip, r1, r2, off + skip)
+                    kind = np.uint64((low * 1024 + high + 1) * 0xC2B2AE3D27D4EB4F % 2**64)
+                    core = _hashes(text, _ANCHOR)(begin, begin + low - high + length) ^ kind
+                    h = _hashes(text, _PIECE)(np.array([0]), np.array([len(text)])) ^ shape
+                    rows.append((int(core.view(np.int64)[0]), int(h.view(np.int64)[0]), many, near, low, high, off + skip, text.tobytes()))
+                    source.append(i)
+            if rows:
+                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.binary()]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(list(c), type=k) for c, k in zip(zip(*rows), kinds)),
+                     *(batch.column(names.index(c)).take(pa.array(source)) for c in others)], [*own, *others])
 
-    spans = crowd.select("core", "h", "n", "o", "lo", "hi", "off", "r1", "r2", "first.k1", "first.k2", "first.a")
-    schema = "core0 long, h0 long, core long, h long, n int, o int, lo int, hi int, skip int, r1 long, r2 long, off int"
-    made = _read(base, spans, "core h n o lo hi a off r1 r2", make, schema)
-    old = crowd.select(F.col("core").alias("core0"), F.col("h").alias("h0"), "r1", "r2", F.col("off").alias("off0"), "places", "first", "last")
-    moved = lambda c: F.struct(F.col(c)["k1"].alias("k1"), F.col(c)["k2"].alias("k2"), (F.col(c)["a"] + F.col("skip")).alias("a")).alias(c)
-    return made.withColumn("off0", F.col("off") - F.col("skip")).join(old, ["core0", "h0", "r1", "r2", "off0"]).select(
-        "core", "h", "n", "o", "lo", "hi", "r1", "r2", "off", "places", moved("first"), moved("last"))
+    fields = {f.name: f.dataType.simpleString() for f in crowd.schema}
+    return crowd.mapInArrow(run, ", ".join(f"{c} {fields[c]}" for c in (*own, *others)))
 
 
 def _sums(parts: DataFrame, length: int) -> DataFrame:
@@ -184,19 +205,23 @@ def _parts(base: DataFrame, found: DataFrame, length: int, anchor: int) -> DataF
     end = F.struct("k1", "k2", (F.col("a") + (F.col("reps") - 1) * F.col("n")).alias("a"))
     parts = found.groupBy("core", "h", "n", "o").agg(
         F.sum("reps").cast("long").alias("places"), F.min(place).alias("first"), F.max(end).alias("last")).select(
-        "core", "h", "n", "o", F.lit(0).alias("lo"), F.lit(length - anchor).alias("hi"), F.col("core").alias("r1"), F.col("h").alias("r2"),
-        F.lit(0).alias("off"), "places", "first", "last")
-    parts, settled = cut_lineage(parts), None
+        "core", "h", "n", "o", F.lit(0).alias("lo"), F.lit(length - anchor).alias("hi"), F.lit(0).alias("off"),
+        F.col("core").alias("r1"), F.col("h").alias("r2"), "places", "first", "last")
+    parts, settled, at = cut_lineage(parts), None, 0
+    moved = lambda c: F.struct(F.col(c)["k1"].alias("k1"), F.col(c)["k2"].alias("k2"), (F.col(c)["a"] + F.col("off")).alias("a")).alias(c)
     while True:
         # Sums are written before they are joined, so that a crowded core can be split in the join.
         sums = cut_lineage(_sums(parts, length))
         crowded = sums.where((F.col("bytes") > CROWDED) & (F.col("kinds") > 1))
-        calm = parts.join(sums.where((F.col("bytes") <= CROWDED) | (F.col("kinds") == 1)).select("core", "kinds"), "core")
+        calm = parts.drop("data").join(sums.where((F.col("bytes") <= CROWDED) | (F.col("kinds") == 1)).select("core", "kinds"), "core")
         settled = calm if settled is None else settled.unionByName(calm)
         if crowded.isEmpty():
-            return cut_lineage(settled)
-        crowd = cut_lineage(parts.join(crowded.select("core"), "core", "left_semi"))
-        parts = cut_lineage(_halves(base, crowd, length))
+            return cut_lineage(settled.select(*calm.columns).withColumn("first", moved("first")).withColumn("last", moved("last")))
+        crowd = parts.join(crowded.select("core"), "core", "left_semi")
+        if not at:  # the bytes of crowded kinds are read once
+            crowd = cut_lineage(crowd)
+            crowd = crowd.join(cut_lineage(_texts_of(base, crowd, length)), ["r1", "r2"])
+        parts, at = cut_lineage(_halves(crowd, length)), at + 1
 
 
 def _strips(base: DataFrame, kinds: DataFrame, length: int, shards: int) -> DataFrame:
