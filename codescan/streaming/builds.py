@@ -51,6 +51,9 @@ def first_and_repeats(builds: DataFrame) -> DataFrame:
         for rows in chunks:
             rows = rows[columns].assign(is_first=False)
             if not state.exists:
+                if held is None and len(rows) == 1:
+                    held = rows
+                    continue
                 rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
                 least = rows.sort_values(["received_at", *[c for c in columns if c != "received_at"]], kind="stable").index[:1]
                 held, rows = rows.loc[least], rows.drop(least)
@@ -79,18 +82,20 @@ def dedupe(builds: DataFrame, sink: str, conflicts: str, checkpoint: str, once:
     return _run(first_and_repeats(builds).writeStream.foreachBatch(batch), checkpoint, once)
 
 
-def success_rate(builds: DataFrame, window: str = "30 days", slide: str = "1 day", delay: str = "1 day") -> DataFrame:
+def success_rate(builds: DataFrame, window: str = "30 days", slide: str = "1 day", delay: str = "1 day", panes: bool = True) -> DataFrame:
     """Builds, successes and success percentage per sliding window; batch or stream.
 
-    Builds are counted once, in the pane of one slide they fall into; a window sums its panes.  A window is as
-    many slides long as fit into it.
+    Builds are counted once, in the pane of one slide they fall into; a window, a multiple of the slide long, sums its panes.
+    A stream in complete mode has one aggregation only: without ``panes`` a build is counted in each of its windows.
     """
     rows = builds.withWatermark("received_at", delay) if builds.isStreaming else builds
-    panes = rows.groupBy(F.window("received_at", slide).alias("pane")).agg(
+    counted = rows.groupBy(F.window("received_at", slide).alias("pane")).agg(
         F.count("*").alias("n"), F.count_if(F.col("status") == "success").alias("good"))
     return (
-        panes.groupBy(F.window(F.window_time("pane"), window, slide).alias("w"))
-        .agg(F.sum("n").alias("builds"), F.sum("good").alias("successes"))
+        (counted.groupBy(F.window(F.window_time("pane"), window, slide).alias("w"))
+         .agg(F.sum("n").alias("builds"), F.sum("good").alias("successes")) if panes
+         else rows.groupBy(F.window("received_at", window, slide).alias("w")).agg(
+             F.count("*").alias("builds"), F.count_if(F.col("status") == "success").alias("successes")))
         .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "builds", "successes",
                 F.floor(F.col("successes") * 100 / F.col("builds") + 0.5).cast("long").alias("success_rate"))
     )
@@ -105,4 +110,4 @@ def write_success_rate(builds: DataFrame, sink: str, checkpoint: str, mode: str
         else:
             write_epoch(rows, sink, epoch)
 
-    return _run(success_rate(builds, **options).writeStream.outputMode(mode).foreachBatch(batch), checkpoint, once)
+    return _run(success_rate(builds, panes=mode == "append", **options).writeStream.outputMode(mode).foreachBatch(batch), checkpoint, once)
