@@ -194,7 +194,8 @@ def restore(codes: DataFrame, books: Codebooks) -> DataFrame:
     table = spark.createDataFrame(
         [(p, i, [v / SCALE for v in row]) for p, e in enumerate(books.entries) for i, row in enumerate(e.tolist())],
         "position int, entry int, part array<double>")
-    each = codes.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.posexplode("code").alias("position", "entry"))
+    rows = codes.withColumn("row", F.monotonically_increasing_id())
+    each = rows.select("row", "vec_id", F.posexplode("code").alias("position", "entry"))
     # Bounded: a codebook's rows.
     return each.join(F.broadcast(table), ["position", "entry"]).groupBy("row").agg(
         F.first("vec_id").alias("vec_id"), F.array_sort(F.collect_list(F.struct("position", "part"))).alias("p")).select(

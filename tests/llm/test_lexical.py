@@ -60,9 +60,9 @@ def test_same_as_plain(spark, docs, rows, items):
 
 def test_blocks_of_items_and_small_chunks(spark, docs, rows, items, monkeypatch):
     """The same answers from many item blocks, chunks and posting blocks."""
-    for name, value in {"VOCABULARY": 150, "CHUNK": 7, "BLOCK": 2, "CENTRES": 4, "SEEDS": 10}.items():
+    for name, value in {"VOCABULARY": 60, "CHUNK": 7, "BLOCK": 2, "CENTRES": 4, "SEEDS": 10}.items():
         monkeypatch.setattr(lexical, name, value)
-    few = items[::4]
+    few = items[::5]
     assert len(list(lexical.question_blocks(as_items(spark, few)))) > 1
     assert result(docs, as_items(spark, few)) == plain(rows, few)
 
