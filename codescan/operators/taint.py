@@ -56,8 +56,10 @@ def extract(files: DataFrame, rules: FlowRules | None = None) -> CodeFacts:
     scoped = cut_lineage(fa.statements(files))
     assigned = cut_lineage(fa.assignments(scoped, rules.sources, rules.sanitisers))
     called = cut_lineage(fa.calls(scoped))
-    return CodeFacts(scoped, assigned, called, fa.returns(scoped, rules.sources, rules.sanitisers), fa.parameters(scoped),
-                     fa.guarded_names(scoped, assigned), rules)
+    # Rounds read these again and again, so they are kept too.
+    returned = fa.returns(scoped, rules.sources, rules.sanitisers).drop("raw", "code", "paired", "next_code", "params", "expr")
+    return CodeFacts(scoped, assigned, called, cut_lineage(returned), cut_lineage(fa.parameters(scoped)),
+                     cut_lineage(fa.guarded_names(scoped, assigned)), rules)
 
 
 def scope_of(name: Column, func: Column, class_name: Column) -> Column:
@@ -142,9 +144,8 @@ class Reach:
         self._store(nodes.select(*NODE).distinct().withColumn("turn", F.lit(turn)).repartition(self.buckets, "file"))
 
     def grow(self, seeds: DataFrame) -> None:
-        """Add seeds that are not known yet, and all nodes that they reach."""
-        known = self.spark.catalog.tableExists(self.nodes)
-        self.add(seeds.select(*NODE).join(self.table(), NODE, "left_anti") if known else seeds, self.turn)
+        """Add seeds, of which none may be known yet, and all nodes that they reach."""
+        self.add(seeds, self.turn)
         self._store(self.following(self.turn))
         self.turn += 1
 
@@ -186,6 +187,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, known: DataFrame | None = None
     reach = Reach(edges)
     if known is not None:
         reach.add(known, -1)
+        seeds = seeds.select(*NODE).join(known.select(*NODE), NODE, "left_anti")
     reach.grow(seeds)
     return reach.table()
 
