@@ -19,6 +19,7 @@ from codescan.llm.words import U64, Words, blocks, mix
 from codescan.session import cut_lineage
 
 BUCKETS = 1 << 14
+BLOCK_IDS = 1 << 20   # ids of target texts that are broadcast at once; more take one more scan each
 FRACTION = 0.5        # share of the rows that is kept
 PRIOR = 1000.0        # features of raw text that smooth the target model
 SEED = 17
@@ -35,7 +36,11 @@ def _features(words: Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def bucket_counts(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of every bucket over the target texts and over all texts: ``buckets`` rows, counted in Spark."""
+    """Counts of every bucket over the target texts and over all texts: ``buckets`` rows, counted in Spark.
+
+    Texts are not shuffled: the ids of target texts are broadcast, in blocks of a bounded size, and a scan counts the
+    targets of a block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, raw = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
@@ -47,14 +52,18 @@ def bucket_counts(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id"
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(target[at]), pa.array(raw[at])], ["bucket", "t", "r"])
 
-    ids = target_ids.select(F.col("id").alias("_id"), F.lit(True).alias("_target"))  # Spark broadcasts it if it is small
-    rows = docs.select(F.col(id_col).alias("_of"), F.col(text_col).alias("text")).join(ids, F.col("_of") == F.col("_id"), "left")
-    rows = rows.select("text", F.col("_target").isNotNull().alias("target"))
-    table = rows.mapInArrow(run, "bucket long, t long, r long").groupBy("bucket").agg(
-        F.sum("t").alias("t"), F.sum("r").alias("r")).toArrow()
     target, raw = np.zeros(buckets), np.zeros(buckets)
-    at = table.column("bucket").to_numpy()
-    target[at], raw[at] = table.column("t").to_numpy(), table.column("r").to_numpy()
+    parts = max(1, -(-target_ids.count() // BLOCK_IDS))
+    for part in range(parts):
+        ids = target_ids.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+        ids = F.broadcast(ids.select(F.col("id").alias("_id"), F.lit(True).alias("_target")))  # bounded: a block of ids
+        rows = docs.select(F.col(id_col).alias("_of"), F.col(text_col).alias("text")).join(ids, F.col("_of") == F.col("_id"), "left")
+        rows = rows.select("text", F.col("_target").isNotNull().alias("target"))
+        table = rows.mapInArrow(run, "bucket long, t long, r long").groupBy("bucket").agg(
+            F.sum("t").alias("t"), F.sum("r").alias("r")).toArrow()
+        at = table.column("bucket").to_numpy()
+        target[at] += table.column("t").to_numpy()
+        raw[at] = table.column("r").to_numpy()
     return target, raw
 
 

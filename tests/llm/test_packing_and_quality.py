@@ -89,8 +89,10 @@ def test_sample_prefers_the_target(mixed):
     assert min(r.gumbel_key for r in kept) >= max(r.gumbel_key for r in got if not r.kept)
 
 
-def test_weights_are_those_of_the_counts(mixed):
-    """Against plain counting of the same buckets."""
+@pytest.mark.parametrize("ids", [quality.BLOCK_IDS, 40])
+def test_weights_are_those_of_the_counts(mixed, monkeypatch, ids):
+    """Against plain counting of the same buckets, with the target's ids in one block or in several."""
+    monkeypatch.setattr(quality, "BLOCK_IDS", ids)
     docs, labels, rows = mixed
     wanted = {r.doc_id for r in labels.where("quality = 1").collect()} - {None}
     import pyarrow as pa
