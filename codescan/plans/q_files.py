@@ -7,13 +7,14 @@ import re
 import zipfile
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from codescan.functions import text as tx
 from codescan.plans import tables as tb
 from codescan.plans.tables import derive, duck
 from codescan.session import work_folder
-from codescan.sources import corpus, reports
+from codescan.sources import archives, corpus, reports
 
 # Fifty orders make one report of a tool; a report is one JSON document, hence one file.
 _REPORT = "CAST(floor(l_orderkey / 50) AS BIGINT)"
@@ -128,9 +129,8 @@ def _zipped(rows: pd.DataFrame) -> pd.DataFrame:
 def archive_entries(spark, sf):
     """Archives of documents, expanded; archives with an unsafe entry and what is no archive are left out."""
     docs = derive(spark, sf, "SELECT doc_id, text, floor(doc_id / 25) AS archive FROM {documents}", "documents")
-    archives = docs.groupBy("archive").applyInPandas(_zipped, "path string, content binary")
     path = work_folder(spark, "archives")
-    archives.write.parquet(path)
+    docs.groupBy("archive").applyInPandas(_zipped, "path string, content binary").write.parquet(path)
     found = corpus.expand_archives(spark.read.parquet(path))
     return found.select("archive", "file", F.md5("content").alias("content_md5"))
 
@@ -138,6 +138,28 @@ def archive_entries(spark, sf):
 ARCHIVES = """SELECT 'a' || CAST(floor(doc_id / 25) AS BIGINT) || '.zip' AS archive, 'src/d' || doc_id || '.py' AS file, md5(text) AS content_md5
 FROM documents WHERE CAST(floor(doc_id / 25) AS BIGINT) % 7 NOT IN (3, 5)"""
 
+def _zip_file(folder: str):
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        made = _zipped(rows).iloc[0]
+        filesystem, inner = fs.FileSystem.from_uri(folder)
+        filesystem.create_dir(inner)
+        with filesystem.open_output_stream(f"{inner}/{made['path']}") as out:
+            out.write(made["content"])
+        return pd.DataFrame({"path": [made["path"]]})
+    return write
+
+
+def archive_source(spark, sf):
+    """Archives of documents as files, read in ranges of 16 kB, so that each is several tasks."""
+    docs = derive(spark, sf, "SELECT doc_id, text, floor(doc_id / 100) AS archive FROM {documents}", "documents")
+    path = work_folder(spark, "zips")
+    docs.groupBy("archive").applyInPandas(_zip_file(path), "path string").write.format("noop").mode("overwrite").save()
+    found = archives.read_archives(spark, path, split_bytes=16 << 10)
+    return found.select(F.substring_index("archive", "/", -1).alias("archive"), "file", F.md5("content").alias("content_md5"))
+
+
+ARCHIVE_SOURCE = ARCHIVES.replace("/ 25", "/ 100")
+
 # --- benchmark files ----------------------------------------------------------------
 SCORES_SQL = """
 SELECT CASE l_suppkey % 3 WHEN 0 THEN 'ours' WHEN 1 THEN 'semgrep' ELSE 'bandit' END AS tool,
@@ -168,6 +190,7 @@ FROM m, (VALUES ('csv'), ('json')) k(kind)"""
 QUERIES = {
     "corpus_folder": (corpus_folder, CORPUS_FOLDER),
     "archive_entries": (archive_entries, ARCHIVES),
+    "archive_source": (archive_source, ARCHIVE_SOURCE),
     "benchmark_files": (benchmark_files, BENCHMARK_FILES),
     "tool_reports": (tool_reports, TOOL_REPORTS),
     "ground_truth": (ground_truth, GROUND_TRUTH),

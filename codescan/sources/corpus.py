@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codescan.rules import languages as lang
+from codescan.sources.archives import leaves_archive
 
 
 def read_corpus(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -99,7 +99,7 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if info.is_dir():
                         continue
                     name = info.filename
-                    unsafe = name.startswith("/") or ".." in posixpath.normpath(name).split("/") or ".." in name.split("/")
+                    unsafe = leaves_archive(name)
                     body = "" if unsafe else z.read(info).decode("utf-8", errors="ignore")
                     yield pd.DataFrame({"archive": [path], "file": [name], "content": [body], "unsafe": [unsafe]})
 
