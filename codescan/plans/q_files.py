@@ -90,6 +90,40 @@ SELECT count(*) AS total, count(*) FILTER (severity = 'HIGH') AS high, count(*)
   sum(line) AS lines, count(DISTINCT file) AS files,
   count(DISTINCT CASE WHEN severity = 'HIGH' THEN rule_id || ':' || file || ':' || substr(code_snippet, 1, 80) END) AS known FROM ({_F})"""
 
+
+
+def report_documents(spark, sf):
+    """A report, a SARIF log and a baseline as one file each, their lines read back."""
+    found = derive(spark, sf, tb.FINDINGS_SQL, "lineitem").drop("engine_ord", "ord")
+    path = {kind: work_folder(spark, kind) for kind in ("report", "sarif", "baseline")}
+    reports.write_report_document(found, path["report"])
+    reports.write_sarif_document(found, path["sarif"])
+    reports.write_baseline_document(found.where("severity = 'HIGH'"), path["baseline"])
+    text = {kind: spark.read.text(p) for kind, p in path.items()}
+    element = F.from_json(F.regexp_replace("value", ",$", ""), "rule_id string, line int, total long, high long")
+    rows = text["report"].select(element.alias("e")).where("e.rule_id IS NOT NULL").groupBy("e.rule_id").agg(
+        F.count("*").alias("n"), F.sum("e.line").alias("lines"))
+    head = text["report"].select(F.from_json(F.concat("value", F.lit("]}")), "total long, high long").alias("h")).where("h.total IS NOT NULL")
+    each = lambda key: F.regexp_extract_all("value", F.lit(key), F.lit(1))
+    results = text["sarif"].select(F.explode(F.arrays_zip(
+        each('"ruleId":"([^"]*)"').alias("rule_id"), each('"startLine":([0-9]+)').alias("line"))).alias("r"))
+    known = text["baseline"].where("value LIKE '\"%'")
+    return (
+        rows.select(F.lit("report").alias("kind"), "rule_id", "n", "lines")
+        .unionByName(head.select(F.lit("head").alias("kind"), F.lit(None).cast("string").alias("rule_id"),
+                                 F.col("h.total").alias("n"), F.col("h.high").alias("lines")))
+        .unionByName(results.groupBy("r.rule_id").agg(F.count("*").alias("n"), F.sum(F.col("r.line").cast("long")).alias("lines"))
+                     .select(F.lit("sarif").alias("kind"), "rule_id", "n", "lines"))
+        .unionByName(known.groupBy(F.regexp_extract("value", '^"([^:]*):', 1).alias("rule_id")).agg(F.count("*").alias("n"))
+                     .select(F.lit("baseline").alias("kind"), "rule_id", "n", F.lit(None).cast("long").alias("lines"))))
+
+
+REPORT_DOCUMENTS = f"""
+WITH f AS ({_F})
+SELECT kind, rule_id, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM f, (VALUES ('report'), ('sarif')) k(kind) GROUP BY kind, rule_id
+UNION ALL SELECT 'head', NULL, count(*), count(*) FILTER (severity = 'HIGH') FROM f
+UNION ALL SELECT 'baseline', rule_id, count(DISTINCT file || ':' || substr(code_snippet, 1, 80)), NULL FROM f WHERE severity = 'HIGH' GROUP BY rule_id"""
+
 # --- folders, single files, archives ------------------------------------------------
 def corpus_folder(spark, sf):
     """Documents written as text files, then read as a folder and, one of the files, alone."""
@@ -187,7 +221,36 @@ m AS (SELECT *, TP / (TP + FP) AS p, TP / (TP + FN) AS r FROM s)
 SELECT tool, TP, FP, FN, TN, round(p, 4) AS precision, round(r, 4) AS recall, round(2 * p * r / (p + r), 4) AS f1, kind
 FROM m, (VALUES ('csv'), ('json')) k(kind)"""
 
+
+
+def benchmark_documents(spark, sf):
+    """Metrics of tools over labelled cases as one CSV and one JSON file, read back."""
+    path = work_folder(spark, "benchmark")
+    times = derive(spark, sf, TIMES_SQL, "lineitem")
+    reports.write_benchmark_documents(derive(spark, sf, SCORES_SQL, "lineitem"), derive(spark, sf, TRUTH_SQL, "lineitem"), path, times)
+    scores = "TP long, FP long, FN long, TN long, precision double, recall double, f1 double, fpr double"
+    csv = spark.read.option("header", True).schema(f"tool string, {scores}, scan_time_s double").csv(f"{path}.csv")
+    form = f"corpus struct<total: long, vulnerable: long, safe: long>, tools map<string, struct<metrics: struct<{scores}>, scan_time_s: double>>"
+    json = spark.read.schema(form).option("multiLine", True).json(f"{path}.json")
+    return (
+        json.select("corpus", F.explode("tools").alias("tool", "t")).select("tool", "t.metrics.*", "t.scan_time_s", "corpus.vulnerable", "corpus.safe")
+        .unionByName(csv, allowMissingColumns=True))
+
+
+TIMES_SQL = """
+SELECT CASE l_suppkey % 3 WHEN 0 THEN 'ours' ELSE 'semgrep' END AS tool, round(count(*) / 64, 2) AS scan_time_s
+FROM {lineitem} WHERE l_suppkey % 3 < 2 GROUP BY 1
+"""
+BENCHMARK_DOCUMENTS = f"""
+WITH s AS ({duck(SCORES_SQL, 'lineitem')}), m AS (SELECT *, TP / (TP + FP) AS p, TP / (TP + FN) AS r FROM s),
+a AS (SELECT tool, TP, FP, FN, TN, round(p, 4) AS precision, round(r, 4) AS recall, round(2 * p * r / (p + r), 4) AS f1,
+  round(FP / (FP + TN), 4) AS fpr, scan_time_s FROM m LEFT JOIN ({duck(TIMES_SQL, 'lineitem')}) USING (tool)),
+c AS (SELECT count(*) FILTER (vulnerable) AS vulnerable, count(*) FILTER (NOT vulnerable) AS safe FROM ({duck(TRUTH_SQL, 'lineitem')}))
+SELECT a.*, vulnerable, safe FROM a, c UNION ALL SELECT a.*, NULL, NULL FROM a"""
+
 QUERIES = {
+    "report_documents": (report_documents, REPORT_DOCUMENTS),
+    "benchmark_documents": (benchmark_documents, BENCHMARK_DOCUMENTS),
     "corpus_folder": (corpus_folder, CORPUS_FOLDER),
     "archive_entries": (archive_entries, ARCHIVES),
     "archive_source": (archive_source, ARCHIVE_SOURCE),

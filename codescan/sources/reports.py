@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codescan import schemas
 from codescan.operators import evaluate, findings as fd, report as rp
+from codescan.session import cut_lineage
+from codescan.sources.documents import write_document
 
 
 # --- baseline -------------------------------------------------------------------
@@ -61,6 +63,31 @@ def write_sarif(findings: DataFrame, path: str) -> None:
     rp.sarif_document(findings).orderBy("section", "key").select("value").write.mode("overwrite").text(path)
 
 
+def _json(*columns) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def write_report_document(findings: DataFrame, path: str, suppressed: DataFrame | None = None) -> None:
+    """The report as one JSON file: totals, findings per language, then the findings by (file, line, rule), one a line."""
+    findings = cut_lineage(findings.select(*schemas.FINDING_COLUMNS))
+    head = report_header(findings, suppressed).select(_json("*")).first()[0]
+    order = ["file", "line", "rule_id", *[c for c in schemas.FINDING_COLUMNS if c not in ("file", "line", "rule_id")]]
+    write_document(findings.orderBy(*order).select(_json(*schemas.FINDING_COLUMNS)), path,
+                   head[:-1] + ',"findings":[\n', ",\n", "\n]}\n")
+
+
+def write_sarif_document(findings: DataFrame, path: str) -> None:
+    """A SARIF log as one file."""
+    write_document(rp.sarif_document(findings).orderBy("section", "key", "value").select("value"), path)
+
+
+def write_baseline_document(findings: DataFrame, path: str) -> None:
+    """A baseline as one JSON file of sorted fingerprints, one a line."""
+    prints = cut_lineage(fd.fingerprints(findings).select("fingerprint"))
+    write_document(prints.orderBy("fingerprint").select(F.regexp_extract(F.to_json(F.array("fingerprint")), r"(?s)^\[(.*)\]$", 1)), path,
+                   f'{{"version":1,"count":{prints.count()},"fingerprints":[\n', ",\n", "\n]}\n")
+
+
 def ingest_reports(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Report rows and finding rows of (id, name, source, uploaded_at, parent_id, json).
 
@@ -133,3 +160,19 @@ def write_benchmark(per_tool: DataFrame, path: str) -> None:
     rows = evaluate.metrics(per_tool.select("tool", "TP", "FP", "FN", "TN"), digits=4)
     rows.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
     rows.write.mode("overwrite").json(f"{path}/json")
+
+
+def write_benchmark_documents(per_tool: DataFrame, truth: DataFrame, path: str, times: DataFrame | None = None) -> None:
+    """``path.csv`` and ``path.json``, a file each: metrics of every tool, its seconds where ``times`` (tool, scan_time_s)
+    knows them, and in JSON the size of the corpus."""
+    rows = evaluate.metrics(per_tool.select("tool", "TP", "FP", "FN", "TN"), digits=4)
+    rows = cut_lineage(rows.withColumn("scan_time_s", F.lit(None).cast("double")) if times is None else rows.join(times, "tool", "left"))
+    shown = ["TP", "FP", "FN", "TN", "precision", "recall", "f1", "fpr"]
+    columns = ["tool", *shown, "scan_time_s"]
+    rows = rows.orderBy("tool")
+    write_document(rows.select(F.to_csv(F.struct(*columns))), f"{path}.csv", ",".join(columns) + "\n")
+    corpus = truth.agg(F.count("*").alias("total"), F.count_if("vulnerable").alias("vulnerable"),
+                       F.count_if(~F.col("vulnerable")).alias("safe")).select(_json("*")).first()[0]
+    entry = F.to_json(F.create_map("tool", F.struct(F.struct(*shown).alias("metrics"), "scan_time_s")), {"ignoreNullFields": "false"})
+    write_document(rows.select(F.regexp_extract(entry, r"(?s)^\{(.*)\}$", 1)), f"{path}.json",
+                   f'{{"corpus":{corpus},"tools":{{\n', ",\n", "\n}}\n")
