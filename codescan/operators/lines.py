@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codescan.functions import text as tx
-from codescan.operators.skew import last_above
 from codescan.rules import languages as lang
 
 BRACKETS = r"[\[\](){}]"
@@ -66,21 +65,42 @@ def drop_block_comments(files: DataFrame) -> DataFrame:
     return files.withColumn("content", F.when(has, tx.blank_block_comments(content)).otherwise(F.col("content")))
 
 
-def drop_block_comment_lines(lines: DataFrame, key: tuple[str, ...] = ("file",), block: int = 10_000) -> DataFrame:
-    """The same filter for a table that holds lines rather than files.
+def block_comment_ranges(lines: DataFrame, key: tuple[str, ...], block: int) -> DataFrame:
+    """(key, block, ranges) of the blocks of line numbers in which a block comment hides lines.
 
-    The state before a line is the last opening or closing event above it, so a running
-    ``last`` replaces the state machine.  Only files of languages with block comments that hold an opening mark
-    are put in order; the lines of all others pass by.
+    A mark opens or closes the comment behind its line.  One row a block leaves the scan of the lines: its marks in
+    order.  What a block inherits is the last mark of the blocks above it.
     """
     opens, closes = F.col("line").contains("/*"), F.col("line").contains("*/")
+    mark = F.when(closes | opens, F.struct("line_no", (~closes).alias("open")))
+    above = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        lines.groupBy(*key, F.floor(F.col("line_no") / block).alias("_block")).agg(F.sort_array(F.collect_list(mark)).alias("_marks"))
+        .withColumn("_carried", F.last(F.try_element_at("_marks", F.lit(-1)), ignorenulls=True).over(above))
+    )
+    marks = F.when(F.col("_carried.open"), F.concat(F.array("_carried"), F.col("_marks"))).otherwise(F.col("_marks"))
+    ranges = F.filter(F.transform(marks, lambda m, i: F.struct(
+        m["open"].alias("open"), m["line_no"].alias("after"), F.get(marks, i + 1)["line_no"].alias("upto"))), lambda r: r["open"])
+    return blocks.select(*key, "_block", ranges.alias("_ranges")).where(F.size("_ranges") > 0)
+
+
+def drop_block_comment_lines(lines: DataFrame, key: tuple[str, ...] = ("file",), block: int = 1000) -> DataFrame:
+    """The same filter for a table that holds lines rather than files.
+
+    Lines are not put in order: each meets the hidden ranges of its block of ``block`` line numbers, a table that
+    grows with the comments and is broadcast by Spark where it is small.  Lines of other languages pass by.
+    """
     language = F.coalesce(F.col("language"), F.lit(""))
     blocky, rest = lines.where(language.isin(*lang.BLOCK_COMMENT)), lines.where(~language.isin(*lang.BLOCK_COMMENT))
-    marked = blocky.where(opens).select(*key).distinct()
-    event = F.when(closes, F.lit("close")).when(opens, F.lit("open"))
-    states = last_above(blocky.join(marked, list(key), "left_semi").withColumn("_event", event), key, "line_no", "_event", "_state", block)
-    outside = states.where((F.coalesce("_state", F.lit("close")) != "open") & ~opens).select(*lines.columns)
-    return rest.unionByName(blocky.join(marked, list(key), "left_anti")).unionByName(outside)
+    number = F.col("line_no")
+    hidden = F.exists("_ranges", lambda r: (number > r["after"]) & (r["upto"].isNull() | (number <= r["upto"])))
+    outside = (
+        blocky.where(~F.coalesce(F.col("line").contains("/*"), F.lit(False)))
+        .withColumn("_block", F.floor(number / block))
+        .join(block_comment_ranges(blocky, key, block), [*key, "_block"], "left")
+        .where(~F.coalesce(hidden, F.lit(False)))
+    )
+    return rest.unionByName(outside.select(*lines.columns))
 
 
 def clamped_bracket_fold(line: Column) -> Column:

@@ -100,3 +100,15 @@ def test_block_comment_lines(spark):
             want.add((f, n))
         state[f] = False if "*/" in line else True if "/*" in line else inside
     assert rows(ln.drop_block_comment_lines(df), "file", "line_no") == want
+
+
+def test_long_comments_and_nulls(spark):
+    """A comment hides whole blocks of numbers; null texts, languages and files are no marks and stay."""
+    data = [("a", "go", 1, "x"), ("a", "go", 3, "/* from"), ("a", "go", 4, None), ("a", "go", 2500, "y"), ("a", "go", 7001, "to */"),
+            ("a", "go", 7002, "z"), ("a", "go", 9000, "/* open"), ("a", "go", 12000, "w"), ("b", "go", 5, None), ("b", None, 6, "/* q"),
+            (None, "go", 7, "r"), ("c", "go", 1, "*/"), ("c", "go", 2, "s"), ("d", "python", 1, "/*"), ("d", "python", 2, "t")]
+    df = spark.createDataFrame(data, "file string, language string, line_no long, line string").repartition(3)
+    want = {("a", 1), ("a", 7002), ("b", 5), ("b", 6), (None, 7), ("c", 1), ("c", 2), ("d", 1), ("d", 2)}
+    for block in (1000, 1, 10_000_000):
+        assert {(r.file, r.line_no) for r in ln.drop_block_comment_lines(df, block=block).collect()} == want
+    assert ln.drop_block_comment_lines(df.limit(0)).count() == 0
