@@ -59,7 +59,7 @@ def assign_owner(reports: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def unowned(reports: DataFrame, owners: DataFrame) -> DataFrame:
-    return reports.join(owners.select("webhook_secret"), "webhook_secret", "left_anti")
+    return salted_lookup(reports, owners.select("webhook_secret"), ["webhook_secret"], how="left_anti")
 
 
 def first_builds(reports: DataFrame, order: str = "received_at") -> DataFrame:

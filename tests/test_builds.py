@@ -117,6 +117,17 @@ def test_stream_ingest(spark, tmp_path):
         ("b2", "status must be one of: success, failure, cancelled"), ("b3", "unknown secret")}
 
 
+def test_owners_are_not_broadcast(spark):
+    """Owners grow with the input: whoever looks them up shuffles both sides."""
+    owners = spark.createDataFrame([(1, "ann", "s1"), (2, "bob", None)], "id long, username string, webhook_secret string")
+    raw = spark.createDataFrame([("b1", "s1", 1), ("b2", "zz", 2), ("b3", None, 3)], "buildId string, webhook_secret string, owner_id long")
+    lost = bd.unowned(raw, owners)
+    assert rows(lost, "buildId") == {("b2",), ("b3",)}
+    assert rows(bd.owner_enrich(raw, owners), "buildId", "owner_username") == {("b1", "ann"), ("b2", "bob"), ("b3", None)}
+    for df in (lost, bd.owner_enrich(raw, owners)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stream_scan(spark, tmp_path):
     files = spark.createDataFrame([("a.py", "python", "password = 'hunter2222'\n"), ("b.js", "javascript", "eval(x)\n")],
                                   "file string, language string, content string")

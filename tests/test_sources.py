@@ -203,6 +203,8 @@ def test_hot_key_lookup(spark):
     right = spark.range(0, 5000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     assert rows(salted_lookup(left, right, ["k"]), "id", "v") == rows(left.join(right, "k"), "id", "v")
     assert rows(salted_lookup(left, right, ["k"], how="left"), "id", "v") == rows(left.join(right, "k", "left"), "id", "v")
+    # The copies of a lookup are never broadcast: its size does not tell Spark how many there are.
+    assert "Broadcast" not in salted_lookup(left, right, ["k"])._jdf.queryExecution().executedPlan().toString()
 
 
 def test_lineage(spark):
