@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 
 from codescan import schemas
 from codescan.operators import builds as bd
+from codescan.operators import findings as fd
 from codescan.operators import report as rp
+from codescan.operators import secrets
+from codescan.plans import q_builds
+from codescan.plans.q_lines import documents
 from codescan.streaming import builds as sb
 from codescan.streaming import scan as ss
 from tests.conftest import rows
@@ -128,6 +132,15 @@ def test_owners_are_not_broadcast(spark):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_streams_of_tables_in_folders(spark, tmp_path):
+    """A table may be one file or a folder of files; a stream takes all rows of either."""
+    docs = spark.createDataFrame([(i, "web", "en", f"password = 'hunter{i}22'\n") for i in range(6)], "doc_id long, source string, lang string, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = q_builds.stream_scan(spark, str(tmp_path))
+    want = fd.dedupe_findings(secrets.scan_text(documents(spark, str(tmp_path)))).where("line % 3 <> 0")
+    assert rows(got, "file", "line", "rule_id") == rows(want, "file", "line", "rule_id") and got.count() >= 6
+
+
 def test_stream_scan(spark, tmp_path):
     files = spark.createDataFrame([("a.py", "python", "password = 'hunter2222'\n"), ("b.js", "javascript", "eval(x)\n")],
                                   "file string, language string, content string")
