@@ -26,6 +26,11 @@ FROM {{lineitem}}
 FOUND = duck(FOUND_SQL, "lineitem")
 
 
+def _bound(report):
+    """Forty reports bound into one document, a few megabytes: a table of any size makes few files for what they hold."""
+    return F.floor(F.col(report) / 40)
+
+
 def _write(rows, path: str) -> str:
     rows.write.option("maxRecordsPerFile", 1).json(path)
     return path
@@ -33,7 +38,7 @@ def _write(rows, path: str) -> str:
 
 def tool_reports(spark, sf):
     """Findings of three tools, read from their own report formats."""
-    found = derive(spark, sf, FOUND_SQL, "lineitem")
+    found = derive(spark, sf, FOUND_SQL, "lineitem").withColumn("report", _bound("report"))
     bandit = found.groupBy("report").agg(F.collect_list(F.struct(
         F.col("severity").alias("issue_severity"), F.col("file").alias("filename"), F.col("line").alias("line_number"))).alias("results"))
     semgrep = found.groupBy("report").agg(F.collect_list(F.struct(
@@ -60,7 +65,7 @@ FROM {{lineitem}} GROUP BY l_orderkey
 
 def ground_truth(spark, sf):
     """Labelled cases, read from their files."""
-    rows = derive(spark, sf, TRUTH_SQL, "lineitem")
+    rows = derive(spark, sf, TRUTH_SQL, "lineitem").withColumn("report", _bound("report"))
     tests = rows.groupBy("report").agg(F.collect_list(F.struct("id", "file", "language", "category", "vulnerable")).alias("tests"))
     path = _write(tests.drop("report"), work_folder(spark, "truth"))
     return reports.read_ground_truth(spark, path).select("id", "file", "language", "category", "vulnerable")

@@ -5,6 +5,7 @@ import zipfile
 
 import pytest
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from codescan import schemas
@@ -14,6 +15,7 @@ from codescan.operators import evaluate as ev
 from codescan.operators import findings as fd
 from codescan.operators import report as rp
 from codescan.operators.skew import salted_lookup
+from codescan.plans import q_files
 from codescan.sources import advisories, corpus, manifests, patches, reports
 from tests.conftest import rows
 
@@ -102,6 +104,31 @@ def test_archives(spark, tmp_path):
     assert rows(got, "file", "content") == {("a.py", "code a.py"), ("d/b.py", "code d/b.py")}
 
 
+def test_archive_members_come_in_batches(tmp_path):
+    """Members of many archives share a frame; what is unsafe is found without reading any member."""
+    blobs = []
+    for i in range(5):
+        with zipfile.ZipFile(tmp_path / f"{i}.zip", "w") as z:
+            z.writestr("a.py", f"code {i}")
+            z.writestr("../b.py" if i == 3 else "b.py", "x")
+        blobs.append((tmp_path / f"{i}.zip").read_bytes())
+    batch = pd.DataFrame({"path": list("01234"), "content": blobs})
+    (made,) = corpus._entries(iter([batch]))
+    assert len(made) == 10 and list(made["content"])[::2] == [f"code {i}" for i in range(5)]
+    assert [list(f["path"]) for f in corpus._unsafe(iter([batch]))] == [["3"]]
+
+
+def test_reports_are_bound_into_few_files(spark, tmp_path):
+    """Files of reports grow with what they hold, not with the number of reports."""
+    spark.range(4000).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit("R").alias("l_returnflag")).write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    truth = q_files.ground_truth(spark, str(tmp_path))
+    assert truth.count() == 4000 and truth.select("id").distinct().count() == 4000
+    assert len(truth.inputFiles()) == 2
+    found = q_files.tool_reports(spark, str(tmp_path))
+    assert rows(found.groupBy("tool").agg(F.sum("n").alias("n")), "tool", "n") == {("bandit", 4000), ("semgrep", 4000), ("safety", 4000)}
+
+
 def test_changed_files(spark):
     files = spark.createDataFrame([("a", "x"), ("b", "y")], "file string, content string")
     assert rows(corpus.changed_files(files, spark.createDataFrame([("b",), ("b",), ("c",)], "file string")), "file") == {("b",)}
