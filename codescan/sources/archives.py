@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SPLIT_BYTES = 64 << 20
 OPEN_COST = 1 << 20
+TASKS = 2048
 BATCH_BYTES = 8 << 20
 SCHEMA = pa.schema([("archive", pa.string()), ("file", pa.string()), ("content", pa.string())])
 
@@ -37,15 +38,24 @@ class Split(InputPartition):
 
 
 def pack(files: list[tuple[str, int]], size: int) -> list[Split]:
-    """Ranges of at most ``size`` bytes, small archives together; opening one counts as a megabyte."""
+    """Ranges of at most ``size`` bytes, small archives together; opening one counts as a megabyte.
+
+    Where that makes more than ``TASKS`` tasks of small ranges, a task takes more of them, up to ``SPLIT_BYTES``;
+    neighbours in one archive become one range, so it is opened once.
+    """
+    opening = min(OPEN_COST, size)
+    total = sum(length + max(1, -(-length // size)) * opening for _, length in files)
+    share = max(size, min(SPLIT_BYTES, total // TASKS))
     splits, current, load = [], [], 0
     for path, length in files:
         for start in range(0, max(length, 1), size):
             end = min(start + size, length)
-            cost = end - start + min(OPEN_COST, size)
-            if current and load + cost > size:
+            cost = end - start + opening
+            if current and load + cost > share:
                 splits.append(Split(tuple(current)))
                 current, load = [], 0
+            if current and share > size and current[-1][0] == path:
+                start = current.pop()[1]
             current.append((path, start, end))
             load += cost
     # Without files one task with nothing to read: Spark would call it without a split.

@@ -73,3 +73,14 @@ def test_small_archives_share_a_task():
     ranges = [r for s in splits for r in s.ranges]
     assert len(ranges) == 204 and len(splits) < 12
     assert sum(e - s for p, s, e in ranges if p == "big") == 200 << 20
+
+
+def test_many_small_ranges_share_tasks():
+    """The number of tasks is bounded, however small the ranges; an archive is opened about once."""
+    files = [(f"a{i}", 100 << 10) for i in range(30_000)]
+    splits = archives.pack(files, 16 << 10)
+    ranges = sorted(r for s in splits for r in s.ranges)
+    assert len(splits) < 2 * archives.TASKS and len(ranges) < 1.2 * len(files)
+    assert sum(e - b for _, b, e in ranges) == len(files) * (100 << 10)
+    assert all(x[0] != y[0] or x[2] == y[1] for x, y in zip(ranges, ranges[1:]))
+    assert len(archives.pack(files[:10], 16 << 10)) == 70
