@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codescan.rules import languages as lang
-from codescan.sources.archives import leaves_archive
+from codescan.sources.archives import BATCH_BYTES, leaves_archive
+
+BATCH_ROWS = 10_000
 
 
 def read_corpus(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -87,32 +89,53 @@ def changed_files(files: DataFrame, changed: DataFrame) -> DataFrame:
     return files.join(changed.select("file").distinct(), "file", "left_semi")
 
 
+def _is_unsafe(blob: bytes | None) -> bool:
+    """Whether an archive is no zip or has a member that leaves it; only its list of members is read."""
+    if not zipfile.is_zipfile(io.BytesIO(blob)):
+        return True
+    with zipfile.ZipFile(io.BytesIO(blob)) as z:
+        return any(leaves_archive(info.filename) for info in z.infolist() if not info.is_dir())
+
+
+def _unsafe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The paths of unsafe archives."""
+    for batch in batches:
+        yield pd.DataFrame({"path": [path for path, blob in zip(batch["path"], batch["content"]) if _is_unsafe(blob)]}, dtype=object)
+
+
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per archive member; a member that leaves the archive is marked unsafe."""
+    """One row per archive member, some megabytes at a time; a member that leaves the archive has no text."""
+    rows: list[tuple] = []
+    held = 0
+    made = lambda: pd.DataFrame(rows, columns=["archive", "file", "content"])
     for batch in batches:
         for path, blob in zip(batch["path"], batch["content"]):
             if not zipfile.is_zipfile(io.BytesIO(blob)):
-                yield pd.DataFrame({"archive": [path], "file": [""], "content": [""], "unsafe": [True]})
+                rows.append((path, "", ""))
                 continue
             with zipfile.ZipFile(io.BytesIO(blob)) as z:
                 for info in z.infolist():
                     if info.is_dir():
                         continue
-                    name = info.filename
-                    unsafe = leaves_archive(name)
-                    body = "" if unsafe else z.read(info).decode("utf-8", errors="ignore")
-                    yield pd.DataFrame({"archive": [path], "file": [name], "content": [body], "unsafe": [unsafe]})
+                    body = "" if leaves_archive(info.filename) else z.read(info).decode("utf-8", errors="ignore")
+                    rows.append((path, info.filename, body))
+                    held += len(body)
+                    if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                        yield made()
+                        rows, held = [], 0
+    if rows:
+        yield made()
 
 
 def expand_archives(archives: DataFrame) -> DataFrame:
     """(archive, file, content) of zip archives given as (path, content binary).
 
-    An archive with an absolute or ``..`` entry, or one that is no zip, is rejected as a whole.
+    An archive with an absolute or ``..`` entry, or one that is no zip, is rejected as a whole, before it is expanded.
     """
-    rows = archives.select("path", "content").mapInPandas(
-        _entries, "archive string, file string, content string, unsafe boolean")
-    bad = rows.where("unsafe").select("archive").distinct()
-    return rows.join(bad, "archive", "left_anti").drop("unsafe")
+    given = archives.select("path", "content")
+    bad = given.mapInPandas(_unsafe, "path string").distinct()
+    return given.join(bad, "path", "left_anti").select("path", "content").mapInPandas(
+        _entries, "archive string, file string, content string")
 
 
 def validate_repo_url(url: Column) -> Column:
