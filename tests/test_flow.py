@@ -310,3 +310,19 @@ def test_assert_statements(spark):
     lines = ln.explode_lines(spark.createDataFrame([("a", "python", "  assert x\nasserted = 1\n")],
                                                    "file string, language string, content string"))
     assert rows(scan_assert(lines), "line", "rule_id") == {(1, "SEC003")}
+
+
+def test_files_of_a_shard_stay_apart(spark):
+    """Files share shards, so rounds cost what their edges are; names of one file never reach another, nor are nodes broadcast."""
+    edges = spark.range(300).select(F.concat(F.lit("f"), "id").alias("file"), F.lit("s").alias("scope"), F.lit("a").alias("name"),
+                                    F.lit("s").alias("to_scope"), F.lit("b").alias("to_name"))
+    reach = taint.Reach(edges)
+    assert reach.shards == reach.buckets
+    seed = lambda lo, hi: spark.range(lo, hi).select(F.concat(F.lit("f"), "id").alias("file"), F.lit("s").alias("scope"),
+                                                     F.lit("a").alias("name"), F.lit("web").alias("label"))
+    reach.grow(seed(0, 100))
+    reach.grow(seed(200, 250))
+    hit = lambda upto: {(f"f{i}", n) for i in [*range(100), *(range(200, 250) if upto else ())] for n in "ab"}
+    assert rows(reach.table(upto=0), "file", "name") == hit(0) and rows(reach.table(), "file", "name") == hit(1)
+    joined = edges.join(reach.table(), ["file", "scope", "name"], "left_semi")
+    assert joined.count() == 150 and "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
