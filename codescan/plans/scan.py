@@ -23,7 +23,8 @@ def scan_files(files: DataFrame, rules=None, struct_rules=None, window: int = 25
     found = fd.union_engines(
         secrets.scan_text(files, rules), scan_multiline(files), taint.scan_flow(facts),
         taint_window.taint_window(windows, window), structural.scan_structural(facts, struct_rules))
-    return fd.drop_unconfirmed(fd.dedupe_findings(found))
+    # Kept once: the filter reads the findings three times, and the passes behind them run only here.
+    return fd.drop_unconfirmed(cut_lineage(fd.dedupe_findings(found)))
 
 
 def scan(corpus: DataFrame, advisories: DataFrame | None = None, added: DataFrame | None = None,
