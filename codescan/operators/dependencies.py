@@ -114,9 +114,11 @@ def scan_dependencies(deps: DataFrame, advisories: DataFrame, compat: bool = Fal
     name version ranges; one that also lists a version counts once for it.
     """
     if ranges is not None:
+        # Kept once: both are read again by each step below, with all manifests and ranges behind them.
+        deps = cut_lineage(deps)
         open_ended = ranges.drop("introduced", "fixed", "last_affected").withColumn("version", F.lit(""))
-        advisories = advisories.unionByName(resolve_ranges(deps, ranges, CAP)).unionByName(open_ended).dropDuplicates(
-            ["ecosystem", "name", "version", "id"])
+        advisories = cut_lineage(advisories.unionByName(resolve_ranges(deps, ranges, CAP)).unionByName(open_ended).dropDuplicates(
+            ["ecosystem", "name", "version", "id"]))
     pinned, open_ = deps.where(F.col("version") != ""), deps.where(F.col("version") == "")
     by_version = salted_lookup(
         pinned, first_advisories(advisories, ["ecosystem", "name", "version"]), ["ecosystem", "name", "version"], salts)

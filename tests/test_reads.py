@@ -1,7 +1,9 @@
 """What several steps read is kept once, and a batch is read by its columns."""
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from codescan.operators import dependencies as dp
 from codescan.operators import findings as fd
 from codescan.operators.outline import files_of
 from codescan.plans.scan import scan_files
@@ -22,6 +24,20 @@ def test_passes_of_a_scan_run_once(spark, monkeypatch):
     assert "Generate" not in plan_of(seen[0]) and "Aggregate" not in plan_of(seen[0])
 
 
+def test_dependencies_with_ranges_are_read_once(spark):
+    deps = spark.range(6).select(
+        F.concat(F.lit("f"), "id").alias("file"), F.lit(1).alias("line"), F.lit("PyPI").alias("ecosystem"), F.lit("p").alias("name"),
+        F.when(F.col("id") == 5, "").otherwise(F.concat(F.lit("1."), "id")).alias("version"))
+    scored = "ecosystem string, name string, {} seq int, id string, summary string, severity array<struct<type:string,score:string>>"
+    listed = spark.createDataFrame([("PyPI", "p", "1.0", 0, "A", "s", [])], scored.format("version string,"))
+    ranges = spark.createDataFrame([("PyPI", "p", "1.2", "1.4", None, 1, "B", "s", [])],
+                                   scored.format("introduced string, fixed string, last_affected string,"))
+    found = dp.scan_dependencies(deps, listed, ranges=ranges)
+    assert "Range (" not in plan_of(found)
+    assert rows(found.withColumn("id", F.regexp_extract("message", r"vulnerability (\S+):", 1)), "file", "id") == {
+        ("f0", "A"), ("f2", "B"), ("f3", "B"), ("f5", "A"), ("f5", "B")}
+
+
 def test_files_of_a_batch():
     fields = [("line_no", pa.int32()), ("raw", pa.string()), ("snippet", pa.string()), ("code", pa.string())]
     lines = [[dict(line_no=i, raw=f"r{i}", snippet=f"s{i}", code=f"c{i}") for i in range(n)] if n is not None else None
