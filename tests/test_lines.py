@@ -192,3 +192,12 @@ def test_running_state_in_blocks(files):
     lines = ln.explode_lines(df)
     want = rows(ln.drop_block_comment_lines(lines), "file", "line_no")
     assert rows(ln.drop_block_comment_lines(lines, block=2), "file", "line_no") == want
+
+
+def test_totals_shuffle_what_they_count(spark):
+    """Snippets and tags of findings are not carried into the groups of the totals."""
+    from codescan.plans import q_lines
+
+    plan = q_lines.scan_totals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    groups = [part for part in plan.split("\n") if "min_by(" in part]
+    assert len(groups) == 2 and not any("code_snippet" in g or "owasp" in g for g in groups)
