@@ -6,6 +6,7 @@ before, between and after the elements.  A failed or repeated task leaves no tra
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 COPY_BYTES = 1 << 20
 JOIN_BYTES = 1 << 30
+ABORT_TRIES = 10
 
 
 @dataclass
@@ -40,6 +42,11 @@ class DocumentWriter(DataSourceArrowWriter):
         filesystem, inner = fs.FileSystem.from_uri(self.path)
         return filesystem, inner, f"{inner}.parts-{self.token}"
 
+    def prepare(self) -> None:
+        """Make the folder of the parts, before any task runs: one that outlives a failed job cannot make it again."""
+        filesystem, _, folder = self._place()
+        filesystem.create_dir(folder)
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         task = TaskContext.get()
         filesystem, _, folder = self._place()
@@ -51,7 +58,6 @@ class DocumentWriter(DataSourceArrowWriter):
                     if text is None:
                         continue
                     if out is None:
-                        filesystem.create_dir(folder)
                         path = f"{folder}/{number:08d}-{task.taskAttemptId()}"
                         out = filesystem.open_output_stream(path, buffer_size=COPY_BYTES)
                         size += out.write(text.encode())
@@ -100,8 +106,15 @@ class DocumentWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list[Part | None]) -> None:
         filesystem, _, folder = self._place()
-        if filesystem.get_file_info(folder).type == fs.FileType.Directory:
-            filesystem.delete_dir(folder)
+        for tries in range(ABORT_TRIES):
+            if filesystem.get_file_info(folder).type != fs.FileType.Directory:
+                return
+            try:
+                filesystem.delete_dir(folder)
+            except OSError:  # a task that still runs has opened a part meanwhile
+                if tries == ABORT_TRIES - 1:
+                    raise
+                time.sleep(0.1)
 
 
 def _clear(filesystem: fs.FileSystem, path: str) -> None:
@@ -120,8 +133,10 @@ class DocumentSource(DataSource):
 
     def writer(self, schema, overwrite: bool) -> DocumentWriter:
         get = self.options.get
-        return DocumentWriter(self.options["path"], get("head", ""), get("separator", "\n"), get("tail", "\n"),
+        made = DocumentWriter(self.options["path"], get("head", ""), get("separator", "\n"), get("tail", "\n"),
                               int(get("joinbytes", JOIN_BYTES)))
+        made.prepare()
+        return made
 
 
 def write_document(rows: DataFrame, path: str, head: str = "", separator: str = "\n", tail: str = "\n",

@@ -1,7 +1,9 @@
 """Documents written by many tasks are one file, whole and in order."""
 
 import json
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,17 @@ def test_failed_job_keeps_the_older_document(spark, tmp_path):
     assert path.read_text() == "old" and not leftovers(tmp_path)
 
 
+def test_late_task_leaves_nothing(tmp_path, monkeypatch):
+    """A task that gets to its first row after the job was given up finds no folder and makes none."""
+    task = SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 1)
+    monkeypatch.setattr(documents, "TaskContext", SimpleNamespace(get=lambda: task))
+    writer = documents.DocumentSource({"path": str(tmp_path / "out")}).writer(None, True)
+    writer.abort([])
+    with pytest.raises(FileNotFoundError):
+        writer.write(iter([pa.RecordBatch.from_pydict({"value": ["x"]})]))
+    assert not leftovers(tmp_path)
+
+
 @pytest.fixture
 def findings(spark):
     rows = [(f"f{i % 3}.py", i, "HIGH" if i % 2 else "LOW", f"R{i % 4}", "go" if i % 5 else "python", 'say "x"\n', f"c{i % 7}", "LOW", "CWE-89", None, "")
