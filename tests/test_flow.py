@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from codescan.operators import structural, taint, taint_window
+from codescan.operators import facts, outline, structural, taint, taint_window
 from codescan.operators import lines as ln
 from codescan.plans.q_flow import SAMPLES
 from codescan.plans.scan import scan, scan_files
@@ -326,3 +326,45 @@ def test_files_of_a_shard_stay_apart(spark):
     assert rows(reach.table(upto=0), "file", "name") == hit(0) and rows(reach.table(), "file", "name") == hit(1)
     joined = edges.join(reach.table(), ["file", "scope", "name"], "left_semi")
     assert joined.count() == 150 and "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+CALLS = [
+    ("python", "n = int(g(g(v)), b, (c, d))", [("int", ["g(g(v))", "b", "(c, d)"]), ("g", ["g(v)"]), ("g", ["v"])]),
+    ("python", "x = f( ) + h(a[1, 2], {k: 1}) + new  (z", [("f", []), ("h", ["a[1, 2]", "{k: 1}"])]),
+    ("python", "a.b.run(x, ", [("a.b.run", ["x"])]),
+    ("python", "p(x] + q(y)", [("q", ["y"])]),
+    ("javascript", "app.get('/u', (req, res) => {", [("app.get", ["'/u'", "(req, res) => {"])]),
+    ("php", "echo f($a) . h($b)", [("echo", ["f($a) . h", "$b"]), ("f", ["$a"])]),
+    ("php", "echo ($a), foo(", [("echo", ["$a)", "foo("])]),
+    ("php", "print($x->y(1, 2))", [("print", ["$x->y(1, 2)"]), ("$x.y", ["1", "2"])]),
+]
+
+
+def test_calls_are_cut_out_by_their_marks(spark):
+    """Arguments of nested, open and crossed calls; no pattern runs from every bracket to its partner."""
+    kept = ["raw", "snippet", "func", "func_name", "parent", "class_name", "header_name"]
+    flags = ["header", "in_route", "in_try", "in_method", "in_function"]
+    scoped = spark.createDataFrame([(str(i), language, outline.paired(code)) for i, (language, code, _) in enumerate(CALLS)],
+                                   "file string, language string, paired string")
+    scoped = scoped.select("*", F.lit(1).alias("line_no"), *[F.lit("").alias(c) for c in kept], *[F.lit(False).alias(c) for c in flags])
+    called = facts.calls(scoped)
+    found = called.select("file", "callee", facts.call_args().alias("args")).collect()
+    for i, (_, code, want) in enumerate(CALLS):
+        assert sorted((r["callee"], r["args"]) for r in found if r["file"] == str(i)) == sorted(want), code
+    heads = next(line for line in called._jdf.queryExecution().optimizedPlan().toString().splitlines() if "AS _heads" in line)
+    assert r"\k<b>" not in heads
+
+
+def test_arguments_are_read_for_names_with_a_summary_only(spark):
+    """Calls of other names are dropped before their arguments are taken apart, and are not stored a second time without marks."""
+    code = spark.createDataFrame([("a.py", "python", "def show(q):\n    cursor.execute(\"SELECT \" + q)\n\n"
+                                   "def run():\n    v = request.args.get(\"q\")\n    show(g(g(v)))\n    other(g(g(v)))\n")],
+                                 "file string, language string, content string")
+    known = taint.extract(code)
+    assert "args" not in known.called.columns
+    sinks = taint.sink_arguments(known)
+    _, reached = taint.spread_taint(known, sinks)
+    found = taint.interprocedural(known, reached, taint.function_summaries(known, reached, sinks))
+    assert rows(found, "file", "line", "rule_id") == {("a.py", 6, "SEC004T")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi, (last" in plan[plan.index("Generate posexplode(paired_args"):]
