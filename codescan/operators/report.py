@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codescan.functions import text as tx
@@ -111,10 +111,20 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 def sarif_document(findings: DataFrame) -> DataFrame:
     """The SARIF log as ordered text lines (section, key, value).
 
-    Written with ``orderBy('section', 'key')`` the part files concatenate to one valid
+    Written in ``sarif_order`` the part files concatenate to one valid
     document, so no task ever holds all results.
     """
-    spark, findings = findings.sparkSession, cut_lineage(findings)
+    return sarif_lines(cut_lineage(findings))
+
+
+def sarif_order() -> list[Column]:
+    """Where keys are equal, the element without a comma leads."""
+    return [F.col("section"), F.col("key"), F.col("value").startswith(","), F.col("value")]
+
+
+def sarif_lines(findings: DataFrame) -> DataFrame:
+    """``sarif_document`` of a table that may be read several times."""
+    spark = findings.sparkSession
     head = ('{"$schema":"https://schemastore.azurewebsites.net/schemas/json/sarif-2.1.0-rtm.5.json","version":"2.1.0",'
             '"runs":[{"tool":{"driver":{"name":"codescan","version":"1.0.0","rules":[')
     rules = sarif_rules(findings).select(

@@ -1,6 +1,9 @@
 """Documents written by many tasks are one file, whole and in order."""
 
+import functools
+import gzip
 import json
+import pathlib
 from types import SimpleNamespace
 
 import pyarrow as pa
@@ -8,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codescan.operators import findings as fd
+from codescan.session import shared_dir
 from codescan.sources import documents, reports
 
 
@@ -97,3 +101,42 @@ def test_benchmark(spark, tmp_path):
     lines = (tmp_path / "out.csv").read_text().splitlines()
     assert lines == ["tool,TP,FP,FN,TN,precision,recall,f1,fpr,scan_time_s", "a,16,2,4,12,0.8889,0.8,0.8421,0.1429,0.21",
                      "b,14,5,6,9,0.7368,0.7,0.7179,0.3571,"]
+
+
+@pytest.mark.parametrize("join_bytes", [0, 1 << 30])
+def test_large_reports_take_little_disk(spark, findings, tmp_path, monkeypatch, join_bytes):
+    """Parts that stay are compressed, those that are joined become plain text; copies of the rows and their shuffles go."""
+    monkeypatch.setattr(reports, "write_document", functools.partial(documents.write_document, join_bytes=join_bytes))
+    shared = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    many = findings.crossJoin(spark.range(200).select(F.col("id").alias("n"))).withColumn("line", F.expr("line + 60 * int(n)")).drop("n")
+    reports.write_report_document(many, str(tmp_path / "r"))
+    reports.write_sarif_document(many, str(tmp_path / "s"))
+    reports.write_baseline_document(many, str(tmp_path / "b"))
+    assert set(shared.iterdir()) == before
+
+    def text(name):
+        path = tmp_path / name
+        if path.is_file():
+            return path.read_text()
+        parts = sorted(path.iterdir())
+        found = "".join(gzip.decompress(p.read_bytes()).decode() for p in parts)
+        assert sum(p.stat().st_size for p in parts) < len(found) / 5 or len(found) < 10_000
+        return found
+
+    assert (tmp_path / "r").is_dir() == (join_bytes == 0)
+    doc = json.loads(text("r"))
+    assert doc["total"] == 12_000 and sorted(f["line"] for f in doc["findings"]) == list(range(12_000))
+    assert len(json.loads(text("s"))["runs"][0]["results"]) == 12_000
+    assert set(json.loads(text("b"))["fingerprints"]) == {r[0] for r in fd.fingerprints(findings).collect()}
+    read = spark.read.text(str(tmp_path / "r"))
+    assert read.where(F.col("value").startswith('{"file"')).count() == 12_000
+
+
+def test_sarif_of_findings_that_share_their_place(spark, findings, tmp_path):
+    """The first of several results of one file, line and rule has no comma before it."""
+    same = findings.withColumns({"file": F.lit("f"), "line": F.lit(1), "rule_id": F.lit("R")}).withColumn("message", F.concat(F.lit("m"), "code_snippet"))
+    reports.write_sarif_document(same, str(tmp_path / "s"))
+    assert len(json.loads((tmp_path / "s").read_text())["runs"][0]["results"]) == 60
+    reports.write_sarif(same, str(tmp_path / "t"))
+    assert len(json.loads("".join(p.read_text() for p in sorted((tmp_path / "t").glob("part-*"))))["runs"][0]["results"]) == 60
