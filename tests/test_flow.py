@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from codescan.operators import facts, outline, structural, taint, taint_window
 from codescan.operators import lines as ln
+from codescan.plans import q_flow
 from codescan.plans.q_flow import SAMPLES
 from codescan.plans.scan import scan, scan_files
 from tests.conftest import rows
@@ -337,6 +338,7 @@ CALLS = [
     ("php", "echo f($a) . h($b)", [("echo", ["f($a) . h", "$b"]), ("f", ["$a"])]),
     ("php", "echo ($a), foo(", [("echo", ["$a)", "foo("])]),
     ("php", "print($x->y(1, 2))", [("print", ["$x->y(1, 2)"]), ("$x.y", ["1", "2"])]),
+    ("java", "x = new  a.B (c) + p::q(all(d))", [("new a.B", ["c"]), ("p.q", ["all(d)"]), ("all", ["d"])]),
 ]
 
 
@@ -368,3 +370,16 @@ def test_arguments_are_read_for_names_with_a_summary_only(spark):
     assert rows(found, "file", "line", "rule_id") == {("a.py", 6, "SEC004T")}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftSemi, (last" in plan[plan.index("Generate posexplode(paired_args"):]
+
+
+def test_deep_code_is_dealt_evenly(spark, tmp_path, monkeypatch):
+    """Every task that reads the files of deep_code gets some of each kind."""
+    spark.range(400).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    taken = []
+    monkeypatch.setattr(q_flow.tn, "extract", lambda files: taken.append(files) or (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        q_flow.deep_code(spark, str(tmp_path))
+    parts = taken[0].groupBy(F.spark_partition_id().alias("p")).agg(
+        F.count_distinct(F.substring("file", 1, 1)).alias("kinds"), F.count("*").alias("n")).collect()
+    assert len(parts) >= 4 * spark.sparkContext.defaultParallelism and min(r["kinds"] for r in parts) == 4
+    assert sum(r["n"] for r in parts) == 2800
